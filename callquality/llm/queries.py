@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from callquality.llm.chat import format_chats, loss_texts, read_turns
 from callquality.llm.common import table
+from callquality.llm.jaccard import jaccard_components
 from callquality.llm.mixing import mixing_plan
 from callquality.llm.packing import default_vocabulary, load_encoder, pack_documents
 from callquality.llm.quality import quality_rules
+from callquality.llm.suffix import repeated_bytes
 from callquality.llm.warc import read_warc, write_warc
 
 
@@ -62,12 +64,24 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", at["size"].alias("size"), at["source_size"].alias("source_size"), at["target"].alias("target"), (at["copies"] * at["size"]).alias("taken"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_bytes(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_chat_format": op2_chat_format,
     "op3_pack": op3_pack,
     "op6_quality_rules": op6_quality_rules,
     "op8_mix": op8_mix,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}

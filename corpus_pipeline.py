@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from callquality.llm.common import table, written
+from callquality.llm.jaccard import near_duplicates_dropped
 from callquality.llm.mixing import mix
 from callquality.llm.packing import pack_documents
 from callquality.llm.quality import quality_rules
+from callquality.llm.suffix import repeated_bytes
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +18,30 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_rules(docs, out_col="_rules").filter("_rules.kept").drop("_rules")
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group that near-copies link: 5-word shingles, 0.8 alike."""
+    return near_duplicates_dropped(docs, width=5, percent=80)
+
+
+def unrepeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of passages that a document with a smaller id has too; n_chars follows.
+
+    A span may begin or end inside a character; what is left of such a character goes too. A null text stays null.
+    """
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = repeated_bytes(docs.withColumn("_null", docs["text"].isNull()), keep=(*others, "_null"))
+    text = F.when(~F.col("_null"), F.when(F.size("spans") > 0, whole_characters(F.col("kept"))).otherwise(F.col("kept").cast("string")))
+    found = found.withColumn("text", text)
+    if "n_chars" in others:
+        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).select(*docs.columns)
+
+
+def whole_characters(data):
+    """UTF-8 bytes as text without incomplete characters."""
+    return F.translate(F.make_valid_utf8(data.cast("string")), "\ufffd", "")
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
     return mix(docs)
@@ -25,7 +52,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("quality rules", good_documents), ("mixing", mixed_sources), ("packing", packed)]
+STAGES = [("quality rules", good_documents), ("near duplicates", distinct_documents), ("repeated passages", unrepeated_text), ("mixing", mixed_sources), ("packing", packed)]
 
 #: Tokenisation and hashes of the stages have no SQL form.
 ORACLE_SQL = None
