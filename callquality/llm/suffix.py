@@ -423,5 +423,5 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             columns = [batch.column("doc"), *[batch.column(f"keep_{c}") for c in keep], pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n_bytes", "spans", "kept"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     return both.mapInArrow(run, f"doc_id long, {kinds}n_bytes long, spans array<long>, kept binary")
