@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from callquality.llm.chat import format_chats, loss_texts, read_turns
 from callquality.llm.common import table
 from callquality.llm.jaccard import jaccard_components
+from callquality.llm.langid import identify_language, learn_dictionaries
+from callquality.llm.merkle import compare_neighbours, fingerprint, likeness, merkle_tree
 from callquality.llm.mixing import mixing_plan
 from callquality.llm.packing import default_vocabulary, load_encoder, pack_documents
 from callquality.llm.quality import quality_rules
+from callquality.llm.rulefit import fit_rules, labelled_examples, score_quality
 from callquality.llm.suffix import repeated_bytes
 from callquality.llm.warc import read_warc, write_warc
 
@@ -52,12 +55,45 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def compare(doc_id, text, tree, after, next_tree):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        other = merkle_tree(edited)
+        digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+        return doc_id, len(text), digest, fingerprint(tree), fingerprint(other), likeness(tree, other), likeness(tree, next_tree)
+
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return compare_neighbours(table(spark, sf_dir, "documents"), compare, schema)
+
+
+def _held_out(folds: int, fold: int):
+    """Whether a document is kept from learning; one without an id is."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == fold, F.lit(True))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best language is the prediction, also where the operator would reject it for its margin."""
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = learn_dictionaries(docs.filter(~_held_out(4, 2)))
+    found = identify_language(docs.select("doc_id", "text"), dictionaries)
+    return found.select("doc_id", _held_out(4, 2).alias("held_out"), F.col("language.best").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return found.select("doc_id", *[F.col("quality_rules")[n].alias(n) for n in names])
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = fit_rules(labelled_examples(docs, labels.filter(~_held_out(5, 0))))
+    found = score_quality(docs, model)
+    return found.select("doc_id", _held_out(5, 0).alias("held_out"), F.col("quality.score").alias("score"), F.col("quality.predicted").alias("predicted"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     at = F.col("mix")
@@ -78,7 +114,10 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_chat_format": op2_chat_format,
     "op3_pack": op3_pack,
+    "op4_fingerprint": op4_fingerprint,
+    "op5_language": op5_language,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_mix": op8_mix,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,

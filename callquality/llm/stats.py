@@ -46,8 +46,8 @@ def repeated_words(word_array: Column, width: int = 3) -> Column:
     return F.coalesce(count, F.lit(0)).cast("long")
 
 
-def text_statistics(text: Column) -> Column:
-    """Struct of statistics of a whole text; null counts as empty.
+def text_statistics(text: Column, names: tuple[str, ...] | None = None) -> Column:
+    """Struct of statistics of a whole text, all or those named; null counts as empty.
 
     n_words, word_chars, n_chars, n_symbols, n_bangs, n_upper, n_digits, n_lines (with a word), n_dup_lines,
     n_repeat_words, n_distinct_words, n_stop_words: long.
@@ -56,23 +56,23 @@ def text_statistics(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
     def from_words(text: Column, w: Column, lines: Column) -> Column:
-        bare = F.translate(text, SPACE_CHARS, "")
-        lowered = F.transform(w, lambda x: F.lower(F.regexp_replace(x, r"\W+$", "")))
         as_long = lambda c: c.cast("long")
-        return F.struct(
-            as_long(F.size(w)).alias("n_words"),
-            as_long(F.length(bare)).alias("word_chars"),
-            as_long(F.length(text)).alias("n_chars"),
-            _count_of(text, SYMBOLS).alias("n_symbols"),
-            _count_of(text, "!").alias("n_bangs"),
-            as_long(F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))).alias("n_upper"),
-            _count_of(text, "0123456789").alias("n_digits"),
-            as_long(F.size(lines)).alias("n_lines"),
-            as_long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
-            repeated_words(w).alias("n_repeat_words"),
-            as_long(F.size(F.array_distinct(w))).alias("n_distinct_words"),
-            as_long(F.size(F.filter(lowered, lambda x: F.array_contains(stops, x)))).alias("n_stop_words"),
-        )
+        strip = lambda x: F.lower(F.regexp_replace(x, r"\W+$", ""))
+        found = {
+            "n_words": lambda: as_long(F.size(w)),
+            "word_chars": lambda: as_long(F.length(F.translate(text, SPACE_CHARS, ""))),
+            "n_chars": lambda: as_long(F.length(text)),
+            "n_symbols": lambda: _count_of(text, SYMBOLS),
+            "n_bangs": lambda: _count_of(text, "!"),
+            "n_upper": lambda: as_long(F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))),
+            "n_digits": lambda: _count_of(text, "0123456789"),
+            "n_lines": lambda: as_long(F.size(lines)),
+            "n_dup_lines": lambda: as_long(F.size(lines) - F.size(F.array_distinct(lines))),
+            "n_repeat_words": lambda: repeated_words(w),
+            "n_distinct_words": lambda: as_long(F.size(F.array_distinct(w))),
+            "n_stop_words": lambda: as_long(F.size(F.filter(w, lambda x: F.array_contains(stops, strip(x))))),
+        }
+        return F.struct(*[found[n]().alias(n) for n in names or found])
 
     worded = lambda t: F.filter(F.split(t, "\n"), lambda line: F.translate(line, SPACE_CHARS, "") != "")
     return let(text, lambda t: let(words(t), lambda w: let(worded(t), lambda lines: from_words(t, w, lines))))
