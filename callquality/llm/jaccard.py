@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callquality.llm.common import mixed, removed, row_blocks, shingle_hashes, small_side, text_bytes, written
+from callquality.llm.common import fresh, removed, row_blocks, shingle_hashes, small_side, text_bytes, written
 
 #: Counters of the frequency sketch that orders n-grams: a fixed number, whatever the corpus.
 SKETCH_BITS, CHUNK = 20, 4096
@@ -221,6 +221,7 @@ def near_duplicates_dropped(docs: DataFrame, key: str = "doc_id", text: str = "t
     """The documents without those that a document with a smaller id in their component stands for; rows with a null
     id stay. Equal ids stay together."""
     found = jaccard_components(docs, key, text, **how)
-    away = found.filter("component_id < doc_id").select(F.col("doc_id").alias("_away")).distinct()
+    own = fresh(docs, "away")
+    away = found.filter("component_id < doc_id").select(F.col("doc_id").alias(own)).distinct()
     away = small_side(written(away, "near-duplicates"), ID_ROWS)
-    return docs.join(away, docs[key].cast("long") == F.col("_away"), "left_anti")
+    return docs.join(away, docs[key].cast("long") == F.col(own), "left_anti")

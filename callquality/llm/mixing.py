@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callquality.llm.common import small_side, word_count, written
+from callquality.llm.common import fresh, small_side, word_count, written
 
 
 def mixing_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -50,17 +50,20 @@ def mixing_plan(docs: DataFrame, key: str = "doc_id", source: str = "source", te
     kept = docs.drop(out_col)
     sized = kept.withColumn(out_col, word_count(kept[text]))
     sources = kept.select(kept[source].alias("source"), word_count(kept[text]).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = small_side(written(mixing_targets(sources, **how).select(F.struct("source", "source_size", "target").alias("_mix_target")), "mix-targets"))
-    joined = sized.join(targets, sized[source].eqNullSafe(F.col("_mix_target.source")), "left")
-    rate = F.when(F.col("_mix_target.source_size") > 0, F.col("_mix_target.target") / F.col("_mix_target.source_size")).otherwise(F.lit(0.0))
+    own = fresh(sized, "mix_target")
+    targets = small_side(written(mixing_targets(sources, **how).select(F.struct("source", "source_size", "target").alias(own)), "mix-targets"))
+    of = F.col(own)
+    joined = sized.join(targets, sized[source].eqNullSafe(of["source"]), "left")
+    rate = F.when(of["source_size"] > 0, of["target"] / of["source_size"]).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     copies = whole + F.when(draw(seed, F.col(key)) < rate - whole, 1).otherwise(0)
-    return joined.withColumn(
-        out_col, F.struct(F.col(out_col).alias("size"), F.col("_mix_target.source_size").alias("source_size"), F.col("_mix_target.target").alias("target"), rate.alias("rate"), copies.cast("long").alias("copies"))
-    ).drop("_mix_target")
+    fields = (F.col(out_col).alias("size"), of["source_size"].alias("source_size"), of["target"].alias("target"), rate.alias("rate"), copies.cast("long").alias("copies"))
+    return joined.withColumn(out_col, F.struct(*fields)).drop(own)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """Each document as often as ``mixing_plan`` says, with the columns of ``docs``; none of a document with 0 copies."""
-    plan = mixing_plan(docs, out_col="_mix_plan", **how)
-    return plan.withColumn("_mix_copy", F.explode(F.when(F.col("_mix_plan.copies") > 0, F.sequence(F.lit(1), F.col("_mix_plan.copies"))))).select(*docs.columns)
+    own = fresh(docs, "mix_plan")
+    plan = mixing_plan(docs, out_col=own, **how)
+    copies = F.when(F.col(own)["copies"] > 0, F.sequence(F.lit(1), F.col(own)["copies"]))
+    return plan.withColumn(own, F.explode(copies)).select(*docs.columns)

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callquality.llm.common import written
+from callquality.llm.common import fresh, written
 from callquality.llm.stats import text_statistics
 
 STATISTICS = ("n_words", "word_chars", "n_chars", "n_symbols", "n_bangs", "n_upper", "n_digits", "n_lines", "n_dup_lines", "n_distinct_words")
@@ -120,8 +120,8 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, text: str = "text", out_
     ``out_col`` is replaced; repeated rows are scored alike; an empty table stays empty.
     """
     kept = docs.drop(out_col)
-    stats = kept.withColumn("_stats", text_statistics(kept[text], STATISTICS))
-    values = features(F.col("_stats"))
-    ratios = stats.withColumn("_stats", F.struct(*[c.alias(n) for n, c in values.items()]))
-    scored = ratios.withColumn("_score", model.score({n: F.col("_stats")[n] for n in values}))
-    return scored.withColumn(out_col, F.struct(F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))).drop("_stats", "_score")
+    own = fresh(kept, "stats")
+    stats = kept.withColumn(own, text_statistics(kept[text], STATISTICS))
+    ratios = stats.withColumn(own, F.struct(*[c.alias(n) for n, c in features(F.col(own)).items()]))
+    scored = ratios.withColumn(own, model.score({n: F.col(own)[n] for n, _, _ in FEATURES}))
+    return scored.withColumn(out_col, F.struct(F.col(own).alias("score"), (F.col(own) >= threshold).cast("int").alias("predicted"))).drop(own)

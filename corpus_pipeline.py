@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callquality.llm.common import table, written
+from callquality.llm.common import fresh, table, written
 from callquality.llm.jaccard import near_duplicates_dropped
 from callquality.llm.mixing import mix
 from callquality.llm.packing import pack_documents
@@ -15,7 +15,8 @@ from callquality.llm.suffix import repeated_bytes
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs, out_col="_rules").filter("_rules.kept").drop("_rules")
+    own = fresh(docs, "rules")
+    return quality_rules(docs, out_col=own).filter(F.col(own)["kept"]).drop(own)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,9 @@ def unrepeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A span may begin or end inside a character; what is left of such a character goes too. A null text stays null.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = repeated_bytes(docs.withColumn("_null", docs["text"].isNull()), keep=(*others, "_null"))
-    text = F.when(~F.col("_null"), F.when(F.size("spans") > 0, whole_characters(F.col("kept"))).otherwise(F.col("kept").cast("string")))
+    own = fresh(docs, "no_text")
+    found = repeated_bytes(docs.withColumn(own, docs["text"].isNull()), keep=(*others, own))
+    text = F.when(~F.col(own), F.when(F.size("spans") > 0, whole_characters(F.col("kept"))).otherwise(F.col("kept").cast("string")))
     found = found.withColumn("text", text)
     if "n_chars" in others:
         found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
