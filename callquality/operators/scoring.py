@@ -34,7 +34,7 @@ def compile_model(nodes: DataFrame) -> dict:
         if np.isnan(value[leaf]).any() or np.isnan(limit[~leaf]).any():
             raise GuardError(f"NaN in a tree of {regime} {head}")
         whole = lambda c: t[c].fillna(0).to_numpy(np.int64)
-        trees[regime, head].append((int(cls), leaf, value, whole("feature"), np.clip(limit, -FINITE, FINITE), t["missing_left"].fillna(False).to_numpy(bool), whole("left"), whole("right")))
+        trees[regime, head].append((int(cls), leaf, value, whole("feature"), np.clip(limit, -FINITE, FINITE), t["missing_left"].eq(True).to_numpy(bool), whole("left"), whole("right")))
     return dict(trees)
 
 
@@ -127,14 +127,20 @@ def score(df: DataFrame, nodes: DataFrame, knots: DataFrame, features: dict[str,
 
 
 def calibrate_column(value: Column, knots: Column) -> Column:
-    """Native piecewise-linear calibration: ``knots`` is an array of (x, y) in order of x."""
-    n = F.size(knots)
-    inside = F.filter(F.transform(knots, lambda k, i: F.struct(k.alias("a"), F.get(knots, i + 1).alias("b"))), lambda s: (s["a"]["x"] <= value) & (value <= s["b"]["x"]))
-    s = F.get(inside, F.lit(0))
-    width = s["b"]["x"] - s["a"]["x"]
-    line = F.when(width > 0, s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * (value - s["a"]["x"]) / width).otherwise(s["b"]["y"])
-    first, last = F.get(knots, F.lit(0)), F.get(knots, n - 1)
-    return F.when(F.coalesce(n, F.lit(0)) == 0, value).when(value <= first["x"], first["y"]).when(value >= last["x"], last["y"]).otherwise(line)
+    """Native piecewise-linear calibration: ``knots`` is an array of (x, y) in order of x.
+
+    The value is bound once, outside the comparisons, as it may come from a model's own function."""
+
+    def curve(v: Column) -> Column:
+        n = F.size(knots)
+        inside = F.filter(F.transform(knots, lambda k, i: F.struct(k.alias("a"), F.get(knots, i + 1).alias("b"))), lambda s: (s["a"]["x"] <= v) & (v <= s["b"]["x"]))
+        s = F.get(inside, F.lit(0))
+        width = s["b"]["x"] - s["a"]["x"]
+        line = F.when(width > 0, s["a"]["y"] + (s["b"]["y"] - s["a"]["y"]) * (v - s["a"]["x"]) / width).otherwise(s["b"]["y"])
+        first, last = F.get(knots, F.lit(0)), F.get(knots, n - 1)
+        return F.when(F.coalesce(n, F.lit(0)) == 0, v).when(v <= first["x"], first["y"]).when(v >= last["x"], last["y"]).otherwise(line)
+
+    return F.get(F.transform(F.array(value), curve), F.lit(0))
 
 
 def renormalised(probabilities: list[Column]) -> list[Column]:
