@@ -15,6 +15,7 @@ from callquality.llm.jaccard import jaccard_components
 from callquality.llm.langid import identify_language, learn_dictionaries
 from callquality.llm.merkle import compare_neighbours, fingerprint, likeness, merkle_tree
 from callquality.llm.mixing import mixing_plan
+from callquality.llm.oracles import ORACLES
 from callquality.llm.packing import default_vocabulary, load_encoder, pack_documents
 from callquality.llm.quality import quality_rules
 from callquality.llm.rulefit import fit_rules, labelled_examples, score_quality
@@ -123,4 +124,4 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
