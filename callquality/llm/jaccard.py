@@ -11,17 +11,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callquality.llm.common import fresh, removed, row_blocks, shingle_hashes, small_side, text_bytes, written
+from callquality.llm.common import fresh, release_shuffles, removed, row_blocks, shingle_hashes, small_side, text_bytes, written
 
 #: Counters of the frequency sketch that orders n-grams: a fixed number, whatever the corpus.
-SKETCH_BITS, CHUNK = 20, 4096
+SKETCH_BITS, CHUNK = 22, 1 << 16
 BLOCK_BYTES = 1 << 22
 #: Pivots of a posting list in each round; the last number holds for all rounds after.
 PIVOTS = (1, 32, 1024)
 ID_ROWS = 500_000
+#: Shared n-grams before a posting that it carries along, so that a pair is met at its first common one only.
+EARLIER = 3
 
 
 def _sets(texts, width: int):
@@ -48,7 +50,7 @@ def set_classes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     sketch of each task: chunk, counts."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         names = ["doc", "n", "hi", "lo", "chunk", "counts"]
         for batch in batches:
@@ -61,7 +63,8 @@ def set_classes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             none = [pa.nulls(len(n), t) for t in kinds[4:]]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), *none], names)
         chunks = [k for k in range(len(counts) // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
-        rows = [pa.array(chunks, pa.int32()), pa.array([counts[k * CHUNK : (k + 1) * CHUNK].astype("<i8").tobytes() for k in chunks], pa.binary())]
+        # A task's counts stop at 65535: they only order n-grams, and any order gives the same pairs.
+        rows = [pa.array(chunks, pa.int32()), pa.array([np.minimum(counts[k * CHUNK : (k + 1) * CHUNK], 65535).astype("<u2").tobytes() for k in chunks], pa.binary())]
         yield pa.RecordBatch.from_arrays([*[pa.nulls(len(chunks), t) for t in kinds[:4]], *rows], names)
 
     return _given(docs, key, text).mapInArrow(run, "doc long, n long, hi long, lo long, chunk int, counts binary")
@@ -73,12 +76,12 @@ def frequency_sketch(classes: DataFrame) -> np.ndarray:
     def add(pdf):
         total = np.zeros(CHUNK, np.int64)
         for c in pdf["counts"]:
-            total += np.frombuffer(c, "<i8")
+            total += np.frombuffer(c, "<u2")
         return pdf.head(1)[["chunk"]].assign(counts=[total.tobytes()])
 
-    sums = np.zeros(1 << SKETCH_BITS, np.int64)
+    sums = np.zeros(1 << SKETCH_BITS, np.uint32)
     for r in classes.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
-        sums[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<i8")
+        sums[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.minimum(np.frombuffer(r["counts"], "<i8"), 2**32 - 1)
     return sums
 
 
@@ -103,8 +106,10 @@ def prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, ske
     return _given(docs, key, text).mapInArrow(run, "doc long, n long, grams array<long>, s0 long, s1 long")
 
 
-def suffix_filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose sets cannot overlap enough, as the sizes of their 16 parts differ by too much in sum."""
+def suffix_filtered(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Drops pairs (a, b) whose sets cannot overlap enough, as the sizes of their 16 parts differ by too much in sum."""
+    of_a = parts.select(F.col("doc").alias("a"), "n", "s0", "s1")
+    of_b = parts.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("s0").alias("q0"), F.col("s1").alias("q1"))
 
     def run(batches):
         for batch in batches:
@@ -114,14 +119,14 @@ def suffix_filtered(pairs: DataFrame, percent: int) -> DataFrame:
             need = -(-percent * both // (100 + percent))
             yield batch.select(["a", "b"]).filter(pa.array(apart <= both - 2 * need))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.join(of_a, "a").join(of_b, "b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are as alike as asked, from the whole texts of the documents that the pairs name."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "pair-ids")
     texts = _given(docs, key, text)
-    texts = texts.join(small_side(written(ids, "pair-ids"), ID_ROWS), "doc", "left_semi")
+    texts = texts.join(small_side(ids, ID_ROWS), "doc", "left_semi")
     both = pairs.join(texts.withColumnsRenamed({"doc": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc": "b", "text": "text_b"}), "b")
 
     def run(batches):
@@ -139,48 +144,80 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
 
 def components(links: DataFrame) -> DataFrame:
     """(doc, component) of every document with a link: the smallest id it reaches, by large-star and small-star steps."""
+    spark = links.sparkSession
     edges, held = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.withColumnRenamed("m", "v")).filter("u <> v").distinct()
         after = written(step, "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         removed(edges)
         edges = after
+        release_shuffles(spark)
         if state == held:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "doc")
         held = state
 
 
-def link_components(nodes: DataFrame, verify, percent: int) -> DataFrame:
-    """(doc, component) of the linked nodes, from posting lists (gram, doc, n, pos, s0, s1)."""
-    links = seen = labels = None
-    turn = 0
+def _may_hold_a_pair(percent: int) -> Column:
+    """Of a group's aggregates: whether it has two nodes; if it has just two, whether lengths and places allow a link."""
+    apart = F.col("low") < F.col("high")
+    fits = (100 * F.col("n_low") >= percent * F.col("n_high")) & ((100 + percent) * (F.col("pos_low") + F.col("rest_low")) >= percent * (F.col("n_low") + F.col("n_high")))
+    return apart & ((F.col("nodes") > 2) | fits)
+
+
+def shared_postings(own: DataFrame, percent: int) -> DataFrame:
+    """Postings (gram, doc, n, pos, k, earlier) of n-grams that at least two nodes have in their prefixes: the
+    k-th such one of its node, and the first ``EARLIER`` of those before it. Groups of two that cannot link are gone."""
+    nodes = own.select("doc", "n", F.posexplode("grams").alias("pos", "gram"))
+    rest = F.col("n") - F.col("pos")
+    groups = nodes.groupBy("gram").agg(
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("nodes"), F.min("n").alias("n_low"), F.max("n").alias("n_high"),
+        F.min("pos").alias("pos_low"), F.min(rest).alias("rest_low"),
+    )
+    live = groups.filter(_may_hold_a_pair(percent)).select("gram")
+    kept = nodes.select("gram", "doc", "pos").join(live, "gram", "left_semi")
+    ordered = kept.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "gram"))).alias("all")).join(own.select("doc", "n"), "doc")
+    ordered = ordered.withColumn("head", F.transform(F.slice("all", 1, EARLIER), lambda x: x["gram"]))
+    each = ordered.select("doc", "n", "head", F.posexplode("all").alias("k", "at"))
+    earlier = F.when(F.col("k") <= EARLIER, F.slice("head", F.lit(1), F.col("k"))).otherwise(F.col("head"))
+    return each.select(F.col("at.gram").alias("gram"), "doc", "n", F.col("at.pos").alias("pos"), "k", earlier.alias("earlier"))
+
+
+def link_components(postings: DataFrame, parts: DataFrame, verify, percent: int) -> DataFrame:
+    """(doc, component) of the linked nodes, from their shared postings and the sizes of their sets' parts."""
+    links = seen = labels = before = None
+    nodes, turn = postings, 0  # pivots leave their lists, so the lists shrink in every round
+    fields = ("doc", "n", "pos", "k", "earlier", "comp")
     while True:
         k = PIVOTS[min(turn, len(PIVOTS) - 1)]
         turn += 1
         if labels is None:
-            named = nodes.withColumn("comp", F.col("doc"))
+            nodes_now = written(nodes.withColumn("comp", F.col("doc")), "postings")
         else:
             named = nodes.join(labels, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-        live = named.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("gram")
-        nodes_now = written(named.join(live, "gram", "left_semi"), "postings")
+            live = named.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("gram")
+            nodes_now = written(named.join(live, "gram", "left_semi"), "postings")
+        if before is not None:
+            removed(before)
+        before = nodes_now
         if nodes_now.isEmpty():
             return labels if labels is not None else nodes_now.select("doc", F.col("comp").alias("component"))
         salted = nodes_now.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(k)))
-        pivot = F.min(F.struct("doc", "n", "pos", "s0", "s1", "comp")).alias("p")
-        pivots = salted.groupBy("gram", "salt").agg(pivot).select("gram", *[F.col(f"p.{c}").alias(d) for c, d in (("doc", "pivot"), ("n", "m"), ("pos", "at"), ("s0", "q0"), ("s1", "q1"), ("comp", "other"))])
-        both = F.col("n") + F.col("m")
-        fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (
-            (100 + percent) * (F.least("pos", "at") + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))) >= percent * both
-        )
-        left, right = nodes_now.alias("l"), pivots.alias("r")
-        met = left.join(right, (F.col("l.gram") == F.col("r.gram")) & (F.col("comp") != F.col("other")) & fits)
-        met = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"), "n", "m", *[F.when(F.col("doc") < F.col("pivot"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("s0", "q0", "s0"), ("s1", "q1", "s1"), ("q0", "s0", "q0"), ("q1", "s1", "q1"))])
-        pairs = suffix_filtered(met, percent).distinct()
+        pivots = salted.groupBy("gram", "salt").agg(F.min(F.struct(*fields)).alias("p")).select("gram", "p")
+        p = {c: F.col(f"r.p.{c}") for c in fields}
+        own = {c: F.col(f"l.{c}") for c in fields}
+        both = own["n"] + p["n"]
+        first = (own["k"] <= EARLIER) & (p["k"] <= EARLIER)  # then no n-gram before this one is common
+        room = F.when(first, F.lit(0)).otherwise(F.least(own["pos"], p["pos"])) + F.least(own["n"] - own["pos"], p["n"] - p["pos"])
+        fits = (100 * F.least(own["n"], p["n"]) >= percent * F.greatest(own["n"], p["n"])) & ((100 + percent) * room >= percent * both)
+        new = (own["comp"] != p["comp"]) & ~F.arrays_overlap(own["earlier"], p["earlier"])
+        met = nodes_now.alias("l").join(pivots.alias("r"), (F.col("l.gram") == F.col("r.gram")) & fits & new)
+        met = met.select(F.least(own["doc"], p["doc"]).alias("a"), F.greatest(own["doc"], p["doc"]).alias("b")).distinct()
+        pairs = suffix_filtered(met, parts, percent)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -190,7 +227,8 @@ def link_components(nodes: DataFrame, verify, percent: int) -> DataFrame:
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 labels = small_side(written(components(links), "labels"), ID_ROWS)
-        nodes = nodes_now.drop("comp").join(pivots.select("gram", F.col("pivot").alias("doc")), ["gram", "doc"], "left_anti")
+        release_shuffles(postings.sparkSession)
+        nodes = nodes_now.drop("comp").join(pivots.select("gram", F.col("p.doc").alias("doc")), ["gram", "doc"], "left_anti")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -209,9 +247,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     firsts = written(firsts, "set-firsts")
     own = prefixes(docs, key, text, width, percent, frequency_sketch(classes))
     own = written(own.join(firsts.select(F.col("first").alias("doc")), "doc", "left_semi"), "prefixes")
-    nodes = own.select("doc", "n", "s0", "s1", F.posexplode("grams").alias("pos", "gram"))
-    nodes = nodes.select("gram", "doc", "n", "pos", "s0", "s1")
-    labels = link_components(nodes, lambda pairs: verified(pairs, docs, key, text, width, percent), percent)
+    release_shuffles(docs.sparkSession)
+    labels = link_components(shared_postings(own, percent), own.select("doc", "n", "s0", "s1"), lambda pairs: verified(pairs, docs, key, text, width, percent), percent)
     named = sets.join(firsts, ["hi", "lo"], "left").join(labels.withColumnRenamed("doc", "first"), "first", "left")
     whole = F.when(F.col("n") > 0, F.least(F.coalesce("component", "first"), F.col("doc"))).otherwise(F.col("doc"))
     return named.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), whole).alias("component_id"))
