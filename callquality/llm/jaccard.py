@@ -23,7 +23,7 @@ BLOCK_BYTES = 1 << 22
 PIVOTS = (1, 32, 1024)
 ID_ROWS = 500_000
 #: Shared n-grams before a posting that it carries along, so that a pair is met at its first common one only.
-EARLIER = 3
+EARLIER = 8
 
 
 def _sets(texts, width: int):
@@ -169,17 +169,23 @@ def _may_hold_a_pair(percent: int) -> Column:
     return apart & ((F.col("nodes") > 2) | fits)
 
 
-def shared_postings(own: DataFrame, percent: int) -> DataFrame:
-    """Postings (gram, doc, n, pos, k, earlier) of n-grams that at least two nodes have in their prefixes: the
-    k-th such one of its node, and the first ``EARLIER`` of those before it. Groups of two that cannot link are gone."""
+def shared_groups(own: DataFrame, percent: int) -> DataFrame:
+    """(gram, low, high, nodes) of the n-grams that at least two nodes have in their prefixes; groups of two that cannot
+    link are gone."""
     nodes = own.select("doc", "n", F.posexplode("grams").alias("pos", "gram"))
     rest = F.col("n") - F.col("pos")
     groups = nodes.groupBy("gram").agg(
         F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("nodes"), F.min("n").alias("n_low"), F.max("n").alias("n_high"),
         F.min("pos").alias("pos_low"), F.min(rest).alias("rest_low"),
     )
-    live = groups.filter(_may_hold_a_pair(percent)).select("gram")
-    kept = nodes.select("gram", "doc", "pos").join(live, "gram", "left_semi")
+    return groups.filter(_may_hold_a_pair(percent)).select("gram", "low", "high", "nodes")
+
+
+def shared_postings(own: DataFrame, groups: DataFrame) -> DataFrame:
+    """Postings (gram, doc, n, pos, k, earlier) of n-grams that more than two nodes share: the k-th such one of its node,
+    and the first ``EARLIER`` of those before it. A group of two is a pair already and needs no postings."""
+    nodes = own.select("doc", F.posexplode("grams").alias("pos", "gram"))
+    kept = nodes.select("gram", "doc", "pos").join(groups.filter("nodes > 2").select("gram"), "gram", "left_semi")
     ordered = kept.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "gram"))).alias("all")).join(own.select("doc", "n"), "doc")
     ordered = ordered.withColumn("head", F.transform(F.slice("all", 1, EARLIER), lambda x: x["gram"]))
     each = ordered.select("doc", "n", "head", F.posexplode("all").alias("k", "at"))
@@ -187,8 +193,9 @@ def shared_postings(own: DataFrame, percent: int) -> DataFrame:
     return each.select(F.col("at.gram").alias("gram"), "doc", "n", F.col("at.pos").alias("pos"), "k", earlier.alias("earlier"))
 
 
-def link_components(postings: DataFrame, parts: DataFrame, verify, percent: int) -> DataFrame:
-    """(doc, component) of the linked nodes, from their shared postings and the sizes of their sets' parts."""
+def link_components(postings: DataFrame, ready: DataFrame, parts: DataFrame, verify, percent: int) -> DataFrame:
+    """(doc, component) of the linked nodes, from their shared postings, the pairs (a, b) known beforehand, and the sizes
+    of their sets' parts."""
     links = seen = labels = before = None
     nodes, turn = postings, 0  # pivots leave their lists, so the lists shrink in every round
     fields = ("doc", "n", "pos", "k", "earlier", "comp")
@@ -204,7 +211,7 @@ def link_components(postings: DataFrame, parts: DataFrame, verify, percent: int)
         if before is not None:
             removed(before)
         before = nodes_now
-        if nodes_now.isEmpty():
+        if nodes_now.isEmpty() and turn > 1:
             return labels if labels is not None else nodes_now.select("doc", F.col("comp").alias("component"))
         salted = nodes_now.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(k)))
         pivots = salted.groupBy("gram", "salt").agg(F.min(F.struct(*fields)).alias("p")).select("gram", "p")
@@ -216,8 +223,10 @@ def link_components(postings: DataFrame, parts: DataFrame, verify, percent: int)
         fits = (100 * F.least(own["n"], p["n"]) >= percent * F.greatest(own["n"], p["n"])) & ((100 + percent) * room >= percent * both)
         new = (own["comp"] != p["comp"]) & ~F.arrays_overlap(own["earlier"], p["earlier"])
         met = nodes_now.alias("l").join(pivots.alias("r"), (F.col("l.gram") == F.col("r.gram")) & fits & new)
-        met = met.select(F.least(own["doc"], p["doc"]).alias("a"), F.greatest(own["doc"], p["doc"]).alias("b")).distinct()
-        pairs = suffix_filtered(met, parts, percent)
+        met = met.select(F.least(own["doc"], p["doc"]).alias("a"), F.greatest(own["doc"], p["doc"]).alias("b"))
+        if turn == 1:
+            met = met.unionByName(ready)
+        pairs = suffix_filtered(met.distinct(), parts, percent)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -248,7 +257,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     own = prefixes(docs, key, text, width, percent, frequency_sketch(classes))
     own = written(own.join(firsts.select(F.col("first").alias("doc")), "doc", "left_semi"), "prefixes")
     release_shuffles(docs.sparkSession)
-    labels = link_components(shared_postings(own, percent), own.select("doc", "n", "s0", "s1"), lambda pairs: verified(pairs, docs, key, text, width, percent), percent)
+    groups = written(shared_groups(own, percent), "shared-groups")
+    ready = groups.filter("nodes = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    labels = link_components(shared_postings(own, groups), ready, own.select("doc", "n", "s0", "s1"), lambda pairs: verified(pairs, docs, key, text, width, percent), percent)
     named = sets.join(firsts, ["hi", "lo"], "left").join(labels.withColumnRenamed("doc", "first"), "first", "left")
     whole = F.when(F.col("n") > 0, F.least(F.coalesce("component", "first"), F.col("doc"))).otherwise(F.col("doc"))
     return named.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), whole).alias("component_id"))
