@@ -7,6 +7,9 @@ to which sequences, and every piece finds its place by its length and its rank a
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -40,6 +43,35 @@ def load_encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The tokens, with their ids, that the JSON file of the same vocabulary adds to the ranks; {} without such a file.
+    Tokens that also take spaces or whole words around them are refused."""
+    whole = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(whole):
+        return {}
+    with open(whole, encoding="utf-8") as f:
+        listed = json.load(f)["added_tokens"]
+    if odd := [t["content"] for t in listed if t["lstrip"] or t["rstrip"] or t["single_word"]]:
+        raise ValueError(f"added tokens that take in what stands around them: {odd}")
+    return {t["content"]: t["id"] for t in listed}
+
+
+def added_encoder(encoder, added: dict[str, int]):
+    """A function from a text to its ids: added tokens (the longest where several begin) get their own id, the runs
+    between them are encoded each for itself."""
+    if not added:
+        return encoder.encode_ordinary
+    parts = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")")
+
+    def encode(text: str) -> list[int]:
+        runs = parts.split(text)
+        if len(runs) == 1:
+            return encoder.encode_ordinary(text)
+        return [i for k, run in enumerate(runs) for i in ([added[run]] if k % 2 else encoder.encode_ordinary(run))]
+
+    return encode
+
+
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Martello-Toth reduction on length classes: sets that dominate all others are fixed, many at once.
 
@@ -163,19 +195,21 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 def tokenized_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
     """The pieces of each document: its token ids, then ``end_id``, cut into pieces of ``capacity`` where longer; the
-    first piece takes what is over. ``nth`` counts pieces of a length within ``chunk``, the part of one task."""
+    first piece takes what is over. ``nth`` counts pieces of a length within ``chunk``, the part of one task. Strings of
+    added tokens in a text are those tokens, as ``tokenizers`` has it."""
     vocabulary = vocabulary or default_vocabulary()
+    added = added_tokens(vocabulary)
 
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, chunk = load_encoder(vocabulary), TaskContext.get().partitionId()
+        encode, chunk = added_encoder(load_encoder(vocabulary), added), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             out: list[list] = [[] for _ in range(7)]
             for at, doc in enumerate(keys):
-                ids = np.array([*encoder.encode_ordinary(texts[at].as_py() or ""), end_id], np.uint32)
+                ids = np.array([*encode(texts[at].as_py() or ""), end_id], np.uint32)
                 first = len(ids) % capacity if len(ids) > capacity else len(ids)
                 cuts = [0, *range(first or capacity, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

@@ -139,6 +139,27 @@ def test_packed_documents(docs, rows, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_added_tokens_in_texts_get_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    import public_tokenizers
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [end, f"a  {end} b{end}{end}\n\n {end}", f"<|endoftext|{end}|>", "<|endoftext", f"é{end}ü  ", f"one two  {end} three " * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter()
+    for i, text in enumerate(texts):
+        ids = np.array([*model.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert (50256 in ids) == (end in text)
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)] if len(ids) > 1024 else [0, len(ids)]
+        want.update((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    for got in (packing.pack_documents(docs), corpus_pipeline.packed(spark, docs, "")):
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got.collect()) == want
+    assert 50256 not in packing.load_encoder(packing.default_vocabulary()).encode_ordinary(end)  # plain text in chats
+
+
 # Fingerprints
 
 
