@@ -76,9 +76,10 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
     """Martello-Toth reduction on length classes: sets that dominate all others are fixed, many at once.
 
     With i the longest length left and j the longest that fits beside it: {i} alone is fixed if nothing fits; {i, j} if
-    it fills the sequence or if no two pieces fit beside i; also if j is at least as long as the best two pieces that
-    fit beside i, when no three do; {i, a, b} if those two fill the sequence. Lengths for which none of this holds are
-    left to best fit. Returns the fixed sets with their numbers, and the counts left.
+    it fills the sequence or if no two pieces fit beside i; also if j is at least as long as the best two pieces a, b
+    that fit beside i, when no three do; else {i, a, b} if a = j and no two pieces besides a, both longer than b, fit
+    beside i. Lengths for which none of this holds are left to best fit. Returns the fixed sets with their numbers, and
+    the counts left.
     """
     left = {s: n for s, n in counts.items() if n > 0}
     fixed: list[tuple[tuple[int, ...], int]] = []
@@ -92,11 +93,12 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
                 return int(s)
         return 0
 
-    def smallest(k: int) -> int:
-        """Sum of the k smallest pieces left besides the current one, or more than any capacity."""
+    def smallest(k: int, above: int = 0, besides: int = 0) -> int:
+        """Sum of the k smallest pieces longer than ``above`` left besides the current one and one of ``besides``, or
+        more than any capacity."""
         total, need = 0, k
-        for s in np.flatnonzero(present):
-            n = left[int(s)] - (int(s) == current)
+        for s in np.flatnonzero(present[above + 1 :]) + above + 1:
+            n = left[int(s)] - (int(s) == current) - (int(s) == besides)
             take = min(n, need)
             total, need = total + take * int(s), need - take
             if not need:
@@ -127,12 +129,12 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
                 continue
             if smallest(3) > room:
                 best = best_pair(left, current, room)
-                if best and sum(best) == room:
-                    take((current, *best))
-                    continue
                 if not best or j >= sum(best):
                     take((current, j))
                     continue
+                if best[0] == j and smallest(2, best[1], j) > room:
+                    take((current, *best))
+                    continue
             break
     return fixed, left
 

@@ -116,6 +116,43 @@ def test_dominance_fixes_perfect_pairs_and_loners():
     assert ((10,), 1) in fixed and ((7, 3), 1) in fixed and ((7,), 1) in fixed and not left
 
 
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying every place of every piece."""
+    sizes = sorted(sizes, reverse=True)
+    best = len(sizes)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= sizes[k]}:
+            at = rooms.index(room)
+            place(k + 1, (*rooms[:at], room - sizes[k], *rooms[at + 1 :]))
+        place(k + 1, (*rooms, capacity - sizes[k]))
+
+    place(0, ())
+    return best
+
+
+def test_fixed_sets_cost_no_sequence():
+    sizes = [60, 43, 42, 38, 37, 31, 25, 15]
+    assert fewest(sizes, 100) == 3
+    assert len({s + t for _, _, times, _, s, _ in packing.packing_plan(Counter(sizes), 100) for t in range(times)}) == 3
+    rnd, triples = np.random.default_rng(5), 0
+    for k in range(1500):
+        capacity = (30, 100)[k % 2]
+        sizes = rnd.integers(max(1, capacity // 8), capacity * (5, 7)[k % 3 == 0] // 10, rnd.integers(3, 10)).tolist()
+        fixed, left = packing.reduce_by_dominance(Counter(sizes), capacity)
+        assert all(sum(content) <= capacity for content, _ in fixed)
+        assert Counter(sizes) == Counter([s for content, times in fixed for s in content * times]) + Counter(left)
+        assert sum(t for _, t in fixed) + fewest(Counter(left).elements(), capacity) == fewest(sizes, capacity)
+        triples += any(len(content) == 3 for content, _ in fixed)
+    assert triples > 20
+
+
 def test_packed_documents(docs, rows, empty):
     from tokenizers import Tokenizer
 
