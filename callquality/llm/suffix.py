@@ -362,9 +362,10 @@ def suffixes_met(rows: DataFrame, how: Parsing) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(meet, FOUND)
 
 
-def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """A row a document: doc_id, the columns ``keep``, n_bytes, spans (start, end, start, end, ... of the maximal
-    removed runs) and kept (the remaining bytes).
+    removed runs) and kept (the remaining bytes; with ``whole_characters`` without those that the runs left of a
+    character they cut).
 
     A byte is removed if a string of ``length`` bytes covers it that also starts in a document with a smaller id; texts
     are judged as they came in, as UTF-8, and strings don't cross documents. Null and empty texts have no bytes. Rows
@@ -416,7 +417,8 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 own = away[a:b]
                 if own.any():
                     spans.append(np.flatnonzero(np.diff(own, prepend=False, append=False)))
-                    kept.append(data[a:b][~own].tobytes())
+                    rest = data[a:b][~own].tobytes()
+                    kept.append(rest.decode("utf-8", "ignore").encode() if whole_characters else rest)
                 else:
                     spans.append(np.zeros(0, np.int64))
                     kept.append(data[a:b].tobytes())

@@ -31,19 +31,13 @@ def unrepeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     own = fresh(docs, "no_text")
-    found = repeated_bytes(docs.withColumn(own, docs["text"].isNull()), keep=(*others, own))
-    text = F.when(~F.col(own), F.when(F.size("spans") > 0, whole_characters(F.col("kept"))).otherwise(F.col("kept").cast("string")))
-    found = found.withColumn("text", text)
+    found = repeated_bytes(docs.withColumn(own, docs["text"].isNull()), keep=(*others, own), whole_characters=True)
+    found = found.withColumn("text", F.when(~F.col(own), F.col("kept").cast("string")))
     if "n_chars" in others:
         found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).select(*docs.columns)
 
 
-def whole_characters(data):
-    """UTF-8 bytes as text without incomplete characters."""
-    return F.translate(F.make_valid_utf8(data.cast("string")), "\ufffd", "")
-
-
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
     return mix(docs)

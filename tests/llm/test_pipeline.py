@@ -102,6 +102,16 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert max(ends.values()) <= 1024
 
 
+def test_trimmed_texts_keep_their_own_replacement_characters(spark):
+    passage = "".join(chr(97 + k * k % 23) for k in range(70))
+    texts = [f"ĩ{passage}é", f"\ufffdé{passage} end", f"begin {passage}è\ufffd", f"{passage} \ufffd\ufffd", f"\ufffd{passage}\ufffd", "\ufffd alone"]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    want = trimmed(rows)
+    assert [r[1] for r in want[1:]] == ["\ufffd end", "begin \ufffd", "\ufffd\ufffd", "\ufffd\ufffd", "\ufffd alone"]
+    got = corpus_pipeline.unrepeated_text(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert Counter(tuple(r[c] for c in COLUMNS) for r in got) == Counter(want)
+
+
 def test_stages_keep_the_columns_and_nulls(spark):
     rows = [(None, "the and " + "word of many kinds " * 3, None, None, None), (1, None, None, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
