@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from callquality.operators.joins import GuardError
+
 
 def inside_disjoint(points: DataFrame, regions: DataFrame, by: str = "chrom", start: str = "start", end: str = "end", out: str = "inside", width: int = 1 << 16) -> DataFrame:
     """Adds whether a row's interval lies in the last of the disjoint regions that starts at or before its start.
@@ -104,10 +108,11 @@ def pairs_within(windows: DataFrame, reads: DataFrame, window: str, name: str, b
     return inside.join(mates, name).filter("here = 2 AND mates = 2").select(window, name)
 
 
-def linked_groups(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int = 1000) -> DataFrame:
+def linked_groups(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int | None = None) -> DataFrame:
     """Adds ``group``, the smallest key that a node reaches over edges (a, b), by propagating labels and halving paths.
 
-    Each round is written to the checkpoint folder; rounds end when no label falls."""
+    Each round is written to the checkpoint folder; rounds end when no label falls. GuardError if they don't
+    within ``most_rounds``, where given."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     labels = nodes.select(F.col(key).alias("node")).distinct().withColumn("label", F.col("node"))
     spark = nodes.sparkSession
@@ -115,7 +120,9 @@ def linked_groups(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    for _ in range(most_rounds):
+    for done in count():
+        if done == most_rounds:
+            raise GuardError(f"labels still fall after {most_rounds} rounds")
         near = both.join(labels.withColumnsRenamed({"node": "b", "label": "_l"}), "b").groupBy("a").agg(F.min("_l").alias("_l"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("label", F.coalesce("_l", "label")).alias("label"), F.col("label").alias("_was"))
         jump = step.join(step.select(F.col("node").alias("label"), F.col("label").alias("_far")), "label", "left")

@@ -18,11 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callquality.functions.exprs import order_hash
+from callquality.operators.joins import GuardError
 from callquality.operators.metrics import log_loss, pinball, roc_auc
 from callquality.operators.sampling import hash_ranked, quota_sample
 from callquality.operators.scoring import calibrate_column, renormalised
 from callquality.operators.splits import two_halves
 
+#: Folds that ``out_of_fold`` fits; each is a model and a part of one union.
+MOST_FOLDS = 1000
+
 
 def with_indicators(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({f"missing_{c}": F.col(c).isNull().cast("double") for c in features})
@@ -60,7 +64,8 @@ def with_predictions(df: DataFrame, features: Sequence[str], median: PipelineMod
 
 def fit_calibrators(df: DataFrame, label: str, classes: int = 3, weight: str | None = None) -> DataFrame:
     """knots (class, i, x, y) of an isotonic fit of each class; a class absent or alone has none and passes through."""
-    present = {int(r[0]) for r in df.select(F.col(label).cast("int")).distinct().limit(classes + 1).collect()}
+    of = F.col(label).cast("int")
+    present = {r[0] for r in df.filter(of.isNotNull()).select(F.when(of.between(0, classes - 1), of).otherwise(-1)).distinct().collect()}
     rows = []
     for k in range(classes):
         if k in present and len(present) > 1:
@@ -80,16 +85,17 @@ def apply_calibrators(df: DataFrame, knots: DataFrame, classes: int = 3) -> Data
 
 def early_stop(df: DataFrame, loss_by_size: str = "loss", size: str = "size", step: int = 25, patience: int = 3, tolerance: float = 1e-6) -> int:
     """The prefix at which a fit that checks every ``step`` iterations would stop, from the losses of all prefixes."""
-    rows = [(r[size], r[loss_by_size]) for r in df.select(size, loss_by_size).orderBy(size).limit(10_000).collect() if r[size] % step == 0]
-    best, best_size, waited = float("inf"), rows[0][0] if rows else 0, 0
+    rows = df.filter(F.col(size) % step == 0).select(size, loss_by_size).orderBy(size).toLocalIterator()
+    best, best_size, waited = float("inf"), None, 0
     for n, loss in rows:
+        best_size = n if best_size is None else best_size
         if loss < best - tolerance:
             best, best_size, waited = loss, n, 0
         else:
             waited += 1
             if waited >= patience:
                 break
-    return best_size
+    return best_size or 0
 
 
 def gbt_prefix_losses(model: PipelineModel, held_out: DataFrame, features: Sequence[str], target: str) -> DataFrame:
@@ -132,8 +138,11 @@ def fit_regimes(df: DataFrame, regimes: Sequence[str], fit: Callable[[DataFrame]
 
 
 def out_of_fold(df: DataFrame, folds: DataFrame, key: str, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Predictions of every row by a model that did not see its key: folds (key, fold, role)."""
-    numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").limit(1000).collect()]
+    """Predictions of every row by a model that did not see its key: folds (key, fold, role). GuardError beyond
+    ``MOST_FOLDS``."""
+    numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").limit(MOST_FOLDS + 1).collect()]
+    if len(numbers) > MOST_FOLDS:
+        raise GuardError(f"more than {MOST_FOLDS} folds")
     parts = []
     for n in numbers:
         own = folds.filter(F.col("fold") == n)

@@ -81,8 +81,11 @@ def calibrated(p: np.ndarray, knots: dict[int, list]) -> np.ndarray:
 
 
 def compile_knots(knots: DataFrame) -> dict:
+    """regime -> class -> knots in order; GuardError beyond ``MOST_NODES``."""
+    if (n := knots.count()) > MOST_NODES:
+        raise GuardError(f"{n} knots; a broadcast model has at most {MOST_NODES}")
     out: dict = defaultdict(lambda: defaultdict(list))
-    for r in knots.select("regime", "class", "i", "x", "y").orderBy("regime", "class", "i").limit(MOST_NODES).collect():
+    for r in knots.select("regime", "class", "i", "x", "y").orderBy("regime", "class", "i").collect():
         out[r["regime"]][r["class"]].append((r["x"], r["y"]))
     return {k: dict(v) for k, v in out.items()}
 

@@ -427,3 +427,41 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(out).count() == 10
     once = streams.without_duplicates(streams.arriving(spark, src, "k int, v int, ts timestamp"), "ts", "1 hour", ["k"])
     assert streams.drained(once, "once", "append").count() == 2
+
+
+# Bounds are met or said
+
+
+def test_rounds_of_linked_groups(spark):
+    chain = spark.range(40).withColumnRenamed("id", "k")
+    edges = spark.range(39).selectExpr("id AS a", "id + 1 AS b")
+    assert rows(intervals.linked_groups(chain, edges, "k").groupBy("group").count()) == [(0, 40)]
+    with pytest.raises(GuardError):
+        intervals.linked_groups(chain, edges, "k", most_rounds=1)
+
+
+def test_out_of_fold_refuses_more_folds_than_it_fits(spark):
+    folds = spark.range(1001).selectExpr("id AS k", "id AS fold", "'test' AS role")
+    with pytest.raises(GuardError):
+        ml.out_of_fold(spark.range(3).withColumnRenamed("id", "k"), folds, "k", lambda train: pytest.fail("a fit"))
+
+
+def test_too_many_knots(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "MOST_NODES", 3)
+    knots = frame(spark, "regime string, class int, i int, x double, y double", [("r", 0, i, i / 4, i / 4) for i in range(4)])
+    with pytest.raises(GuardError):
+        scoring.compile_knots(knots)
+    assert scoring.compile_knots(knots.limit(3)) == {"r": {0: [(i / 4, i / 4) for i in range(3)]}}
+
+
+def test_early_stop_reads_all_sizes(spark):
+    losses = spark.range(1, 12_001).selectExpr("id AS size", "-CAST(id AS double) AS loss")
+    assert ml.early_stop(losses) == 12_000
+    assert ml.early_stop(losses.limit(0)) == 0
+    assert ml.early_stop(spark.range(1, 12_001).selectExpr("id AS size", "abs(id - 500) / 1D AS loss")) == 500
+
+
+def test_calibrators_of_all_classes_among_many_labels(spark):
+    df = spark.range(400).selectExpr("CAST(id % 200 AS int) AS y", "id / 400D AS p_0", "id / 800D AS p_1", "1 - id / 400D AS p_2")
+    assert {r[0] for r in ml.fit_calibrators(df, "y").select("class").distinct().collect()} == {0, 1, 2}
+    assert ml.fit_calibrators(df.filter("y = 1"), "y").isEmpty()
