@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import os
 import tempfile
 import uuid
 
@@ -21,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary folder does
+    if Spark runs in one process (as in tests); a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
             held = spark.sparkContext.getCheckpointDir()
         base = held
@@ -48,22 +49,6 @@ def small_side(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def removed(df: DataFrame) -> None:
-    """Deletes the folder of a table that ``written`` made and that nothing reads any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(files[0]))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Asks for a garbage collection on the driver: Spark deletes the shuffle files of queries that are out of reach,
-    which it otherwise does every half hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not have."""
     taken = {c.lower() for c in df.columns}

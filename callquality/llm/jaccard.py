@@ -1,29 +1,35 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters; pairs verified once.
 
-The components of all links come out, without all pairs going in: documents with equal sets are one node, and in each
-posting list a few pivots are compared with the rest; what they link is one component from then on, and two nodes of
-one component need no comparison. Pivots leave their list, and the rounds go on until no list holds two components.
+The components of all links come out, without all pairs going in: documents with equal sets are one node, each posting
+list first compares its members with its most central one, and what that links is one component from then on. Two nodes
+of one component need no comparison, so the later rounds meet across components only, until every pair of a list was
+compared, filtered out or linked by others.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callquality.llm.common import fresh, release_shuffles, removed, row_blocks, shingle_hashes, small_side, text_bytes, written
+from callquality.llm.common import fresh, row_blocks, shingle_hashes, small_side, text_bytes, written
 
 #: Counters of the frequency sketch that orders n-grams: a fixed number, whatever the corpus.
 SKETCH_BITS, CHUNK = 22, 1 << 16
 BLOCK_BYTES = 1 << 22
-#: Pivots of a posting list in each round; the last number holds for all rounds after.
-PIVOTS = (1, 32, 1024)
+#: Members that each posting list compares with all others, round by round; after those, all that are left meet.
+PIVOTS = (1, 32)
+#: Members of a list that one task compares with the list, and members of a hub that one task verifies.
+SPLIT, HUB_MEMBERS = 2048, 1024
 ID_ROWS = 500_000
-#: Shared n-grams before a posting that it carries along, so that a pair is met at its first common one only.
-EARLIER = 8
+#: The parts of a hash partition of each set whose sizes are kept modulo 2, as bits of so many longs.
+WORDS = 8
+PARITY = [f"w{k}" for k in range(WORDS)]
 
 
 def _sets(texts, width: int):
@@ -86,7 +92,8 @@ def frequency_sketch(classes: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """doc, n, grams (the prefix, rarest first), s0 and s1 (sizes of 16 parts of the set, one byte each)."""
+    """doc, n, grams (the prefix, rarest first) and w0, w1, ... (a bit for each part of a hash partition of the set:
+    whether its size is odd)."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -98,146 +105,155 @@ def prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, ske
                 if n and docs[row] is not None:
                     keep = n - -(-percent * n // 100) + 1
                     order = np.lexsort((s, counts[_bucket(s)]))[:keep]
-                    parts = np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=16).astype(np.uint8)
-                    out.append((docs[row], n, s[order].view(np.int64), *np.frombuffer(parts.tobytes(), np.int64).tolist()))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc", "n", "grams", "s0", "s1"])
+                    odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+                    out.append((docs[row], n, s[order].view(np.int64), *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc", "n", "grams", *PARITY])
 
-    return _given(docs, key, text).mapInArrow(run, "doc long, n long, grams array<long>, s0 long, s1 long")
+    return _given(docs, key, text).mapInArrow(run, "doc long, n long, grams array<long>" + "".join(f", {w} long" for w in PARITY))
 
 
-def suffix_filtered(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs (a, b) whose sets cannot overlap enough, as the sizes of their 16 parts differ by too much in sum."""
-    of_a = parts.select(F.col("doc").alias("a"), "n", "s0", "s1")
-    of_b = parts.select(F.col("doc").alias("b"), F.col("n").alias("m"), F.col("s0").alias("q0"), F.col("s1").alias("q1"))
+def _alike_in_size(percent: int) -> Column:
+    """Length and suffix filter of rows l and r: parts whose sizes differ in parity differ by an n-gram at least, so
+    their number is a lower bound on the n-grams that only one set has."""
+    n, m = F.col("l.n"), F.col("r.n")
+    apart = reduce(add, [F.bit_count(F.col(f"l.{w}").bitwiseXOR(F.col(f"r.{w}"))) for w in PARITY])
+    need = F.ceil(percent * (n + m) / F.lit(100 + percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= n + m - 2 * need)
 
-    def run(batches):
-        for batch in batches:
-            x, y = (np.column_stack([batch.column(c).to_numpy() for c in cs]).astype("<i8").view(np.uint8).astype(np.int16) for cs in (("s0", "s1"), ("q0", "q1")))
-            apart = np.abs((x - y + 128) % 256 - 128).sum(axis=1)  # sizes are known modulo 256, so this is a lower bound
-            both = batch.column("n").to_numpy() + batch.column("m").to_numpy()
-            need = -(-percent * both // (100 + percent))
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= both - 2 * need))
 
-    return pairs.join(of_a, "a").join(of_b, "b").mapInArrow(run, "a long, b long")
+def _in_reach(percent: int) -> Column:
+    """Positional filter of rows l and r that share an n-gram: what may come before it and after it can be enough."""
+    n, m, p, q = F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos")
+    return (100 + percent) * (F.least(p, q) + F.least(n - p, m - q)) >= percent * (n + m)
+
+
+def _pair(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are as alike as asked, from the whole texts of the documents that the pairs name."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "pair-ids")
-    texts = _given(docs, key, text)
-    texts = texts.join(small_side(ids, ID_ROWS), "doc", "left_semi")
-    both = pairs.join(texts.withColumnsRenamed({"doc": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"doc": "b", "text": "text_b"}), "b")
+    """The pairs (a, b) whose sets are as alike as asked, from the whole texts of the documents that the pairs name.
+
+    Of each pair the document with more pairs is the hub. A task gets a hub's text once and streams the texts of its
+    members past it; a hub with many members is several hubs."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    degree = small_side(written(ends.groupBy("doc").agg(F.count("*").alias("d")), "pair-ids"), ID_ROWS)
+    of = lambda end: degree.select(F.col("doc").alias(end), F.col("d").alias(f"d_{end}"))
+    first = F.col("d_a") >= F.col("d_b")
+    split = F.pmod(F.xxhash64(F.when(first, F.col("b")).otherwise(F.col("a"))), F.ceil(F.greatest("d_a", "d_b") / F.lit(HUB_MEMBERS))).alias("part")
+    hubs = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("doc"), split)
+    hubs = written(hubs, "hubs")
+    asked = hubs.select("doc", "hub", "part", F.lit(1).alias("member")).unionByName(hubs.select(F.col("hub").alias("doc"), "hub", "part", F.lit(0).alias("member")).distinct())
+    asked = small_side(written(asked, "asked"), ID_ROWS)
+    texts = _given(docs, key, text).join(asked, "doc").repartition("hub", "part").sortWithinPartitions("hub", "part", "member")
 
     def run(batches):
+        now, hub_sets = None, {}
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                ok = []
-                for (_, x), (_, y) in zip(_sets(part.column("text_a"), width), _sets(part.column("text_b"), width), strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(bool(len(x)) and 100 * common >= percent * (len(x) + len(y) - common))
-                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            keys = list(zip(batch.column("hub").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            members, doc, out = batch.column("member").to_pylist(), batch.column("doc").to_pylist(), []
+            for row, s in _sets(batch.column("text"), width):
+                if keys[row] != now:
+                    now, hub_sets = keys[row], {}
+                if not members[row]:
+                    hub_sets[s.tobytes()] = s
+                elif len(s) and any(_linked(s, h, percent) for h in hub_sets.values()):
+                    out.append(sorted((now[0], doc[row])))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return texts.select("hub", "part", "member", "doc", "text").mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int((y[at] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc, component) of every document with a link: the smallest id it reaches, by large-star and small-star steps."""
-    spark = links.sparkSession
-    edges, held = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges"), None
+    """(doc, component) of every document with a link: the smallest id it reaches, by large-star and small-star steps
+    until all edges lead to the smallest document of their component."""
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        step = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.withColumnRenamed("m", "v")).filter("u <> v").distinct()
-        after = written(step, "edges")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        removed(edges)
-        edges = after
-        release_shuffles(spark)
-        if state == held:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "doc")
-        held = state
-
-
-def _may_hold_a_pair(percent: int) -> Column:
-    """Of a group's aggregates: whether it has two nodes; if it has just two, whether lengths and places allow a link."""
-    apart = F.col("low") < F.col("high")
-    fits = (100 * F.col("n_low") >= percent * F.col("n_high")) & ((100 + percent) * (F.col("pos_low") + F.col("rest_low")) >= percent * (F.col("n_low") + F.col("n_high")))
-    return apart & ((F.col("nodes") > 2) | fits)
-
-
-def shared_groups(own: DataFrame, percent: int) -> DataFrame:
-    """(gram, low, high, nodes) of the n-grams that at least two nodes have in their prefixes; groups of two that cannot
-    link are gone."""
+        large = both.filter("v > u").join(small_side(written(low, "lowest"), ID_ROWS), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "large-star")
+        small = written(large.groupBy("u").agg(F.min("v").alias("m")), "small-star")
+        step = large.join(small_side(small, ID_ROWS), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.withColumnRenamed("m", "v"))
+        edges = written(step.filter("u <> v").distinct(), "edges")
+        inner = edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi")
+        forked = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1")
+        if inner.isEmpty() and forked.isEmpty():
+            return edges.select(F.col("u").alias("doc"), F.col("v").alias("component"))
+
+
+def shared_groups(own: DataFrame) -> DataFrame:
+    """(gram, low, high, nodes, pos, rest) of the n-grams in the prefixes of at least two nodes."""
     nodes = own.select("doc", "n", F.posexplode("grams").alias("pos", "gram"))
-    rest = F.col("n") - F.col("pos")
-    groups = nodes.groupBy("gram").agg(
-        F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("nodes"), F.min("n").alias("n_low"), F.max("n").alias("n_high"),
-        F.min("pos").alias("pos_low"), F.min(rest).alias("rest_low"),
-    )
-    return groups.filter(_may_hold_a_pair(percent)).select("gram", "low", "high", "nodes")
+    of_all = {"low": F.min("doc"), "high": F.max("doc"), "nodes": F.count("*"), "pos": F.min("pos"), "rest": F.min(F.col("n") - F.col("pos"))}
+    return nodes.groupBy("gram").agg(*[v.alias(k) for k, v in of_all.items()]).filter("low < high")
+
+
+def lone_pairs(groups: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the n-grams that two nodes share: pairs at once, if the filters let them pass."""
+    sizes = own.select("doc", "n", *PARITY)
+    pairs = written(groups.filter("nodes = 2").groupBy(F.col("low").alias("a"), F.col("high").alias("b")).agg(F.min(F.col("pos") + F.col("rest")).alias("room")), "lone-pairs")
+    ends = written(sizes.join(small_side(written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "lone-ids"), ID_ROWS), "doc", "left_semi"), "lone-sizes")
+    ends = small_side(ends)
+    met = pairs.join(ends.alias("l"), F.col("a") == F.col("l.doc")).join(ends.alias("r"), F.col("b") == F.col("r.doc"))
+    reach = (100 + percent) * F.col("room") >= percent * (F.col("l.n") + F.col("r.n"))
+    return met.filter(reach & _alike_in_size(percent)).select("a", "b")
 
 
 def shared_postings(own: DataFrame, groups: DataFrame) -> DataFrame:
-    """Postings (gram, doc, n, pos, k, earlier) of n-grams that more than two nodes share: the k-th such one of its node,
-    and the first ``EARLIER`` of those before it. A group of two is a pair already and needs no postings."""
+    """Postings (gram, pos, doc, n, score, w0, ...) of the n-grams that more than two nodes share. The score of a node
+    is how often others have its n-grams: the text that near-copies were made from has the highest."""
     nodes = own.select("doc", F.posexplode("grams").alias("pos", "gram"))
-    kept = nodes.select("gram", "doc", "pos").join(groups.filter("nodes > 2").select("gram"), "gram", "left_semi")
-    ordered = kept.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "gram"))).alias("all")).join(own.select("doc", "n"), "doc")
-    ordered = ordered.withColumn("head", F.transform(F.slice("all", 1, EARLIER), lambda x: x["gram"]))
-    each = ordered.select("doc", "n", "head", F.posexplode("all").alias("k", "at"))
-    earlier = F.when(F.col("k") <= EARLIER, F.slice("head", F.lit(1), F.col("k"))).otherwise(F.col("head"))
-    return each.select(F.col("at.gram").alias("gram"), "doc", "n", F.col("at.pos").alias("pos"), "k", earlier.alias("earlier"))
-
-
-def link_components(postings: DataFrame, ready: DataFrame, parts: DataFrame, verify, percent: int) -> DataFrame:
-    """(doc, component) of the linked nodes, from their shared postings, the pairs (a, b) known beforehand, and the sizes
-    of their sets' parts."""
-    links = seen = labels = before = None
-    nodes, turn = postings, 0  # pivots leave their lists, so the lists shrink in every round
-    fields = ("doc", "n", "pos", "k", "earlier", "comp")
-    while True:
-        k = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        turn += 1
-        if labels is None:
-            nodes_now = written(nodes.withColumn("comp", F.col("doc")), "postings")
-        else:
-            named = nodes.join(labels, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-            live = named.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("gram")
-            nodes_now = written(named.join(live, "gram", "left_semi"), "postings")
-        if before is not None:
-            removed(before)
-        before = nodes_now
-        if nodes_now.isEmpty() and turn > 1:
-            return labels if labels is not None else nodes_now.select("doc", F.col("comp").alias("component"))
-        salted = nodes_now.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(k)))
-        pivots = salted.groupBy("gram", "salt").agg(F.min(F.struct(*fields)).alias("p")).select("gram", "p")
-        p = {c: F.col(f"r.p.{c}") for c in fields}
-        own = {c: F.col(f"l.{c}") for c in fields}
-        both = own["n"] + p["n"]
-        first = (own["k"] <= EARLIER) & (p["k"] <= EARLIER)  # then no n-gram before this one is common
-        room = F.when(first, F.lit(0)).otherwise(F.least(own["pos"], p["pos"])) + F.least(own["n"] - own["pos"], p["n"] - p["pos"])
-        fits = (100 * F.least(own["n"], p["n"]) >= percent * F.greatest(own["n"], p["n"])) & ((100 + percent) * room >= percent * both)
-        new = (own["comp"] != p["comp"]) & ~F.arrays_overlap(own["earlier"], p["earlier"])
-        met = nodes_now.alias("l").join(pivots.alias("r"), (F.col("l.gram") == F.col("r.gram")) & fits & new)
-        met = met.select(F.least(own["doc"], p["doc"]).alias("a"), F.greatest(own["doc"], p["doc"]).alias("b"))
-        if turn == 1:
-            met = met.unionByName(ready)
-        pairs = suffix_filtered(met.distinct(), parts, percent)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        if not pairs.isEmpty():
-            found = written(verify(pairs), "links")
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                labels = small_side(written(components(links), "labels"), ID_ROWS)
-        release_shuffles(postings.sparkSession)
-        nodes = nodes_now.drop("comp").join(pivots.select("gram", F.col("p.doc").alias("doc")), ["gram", "doc"], "left_anti")
+    kept = nodes.join(groups.filter("nodes > 2").select("gram", "nodes"), "gram")
+    of_doc = kept.groupBy("doc").agg(F.sum("nodes").alias("score"), F.collect_list(F.struct("gram", "pos")).alias("all"))
+    return of_doc.join(own.select("doc", "n", *PARITY), "doc").select("doc", "n", "score", *PARITY, F.inline("all"))
+
+
+def _met(nodes: DataFrame, pivots: int | None, percent: int) -> DataFrame:
+    """(a, b) of the members of different components that meet in a list: with its ``pivots`` most central members, one
+    for each of as many salts, or (None) all with all, where a long list is dealt to several tasks."""
+    if pivots:
+        fields = [c for c in nodes.columns if c not in ("gram", "size")]
+        salt = F.pmod(F.xxhash64("doc"), F.lit(pivots))
+        best = F.max_by(F.struct(*fields), F.struct("score", -F.col("doc"))).alias("p")
+        others, on = nodes.groupBy("gram", salt.alias("salt")).agg(best).select("gram", "p.*"), F.lit(True)
+    else:
+        parts = F.ceil(F.col("size") / F.lit(SPLIT)).cast("int")
+        others = nodes.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        nodes = nodes.withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
+        on = (F.col("l.part") == F.col("r.part")) & (F.col("l.doc") < F.col("r.doc"))
+    on = reduce(and_, [F.col("l.gram") == F.col("r.gram"), on, F.col("l.comp") != F.col("r.comp"), _in_reach(percent), _alike_in_size(percent)])
+    return nodes.alias("l").join(others.alias("r"), on).select(*_pair(F.col("l.doc"), F.col("r.doc")))
+
+
+def link_components(postings: DataFrame, ready: DataFrame, verify, percent: int) -> DataFrame:
+    """(doc, component) of the linked nodes, from their shared postings and the pairs (a, b) known beforehand."""
+    postings = written(postings, "postings")
+    nodes, labels, seen, links = postings.withColumns({"comp": F.col("doc"), "size": F.lit(0)}), None, [], []
+    for turn, pivots in enumerate((*PIVOTS, None)):
+        if turn:
+            named = postings.join(labels, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+            live = named.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high")
+            nodes = written(named.join(live.select("gram", "size"), "gram"), "live-postings")
+            if nodes.isEmpty():
+                break
+        pairs = _met(nodes, pivots, percent)
+        pairs = (pairs if turn else pairs.unionByName(ready)).distinct()
+        for earlier in seen:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        seen.append(written(pairs, "pairs"))
+        links.append(written(verify(seen[-1]), "links"))
+        labels = small_side(written(components(reduce(DataFrame.unionByName, links)), "labels"), ID_ROWS)
+    return labels
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -256,10 +272,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     firsts = written(firsts, "set-firsts")
     own = prefixes(docs, key, text, width, percent, frequency_sketch(classes))
     own = written(own.join(firsts.select(F.col("first").alias("doc")), "doc", "left_semi"), "prefixes")
-    release_shuffles(docs.sparkSession)
-    groups = written(shared_groups(own, percent), "shared-groups")
-    ready = groups.filter("nodes = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    labels = link_components(shared_postings(own, groups), ready, own.select("doc", "n", "s0", "s1"), lambda pairs: verified(pairs, docs, key, text, width, percent), percent)
+    groups = written(shared_groups(own), "shared-groups")
+    labels = link_components(shared_postings(own, groups), lone_pairs(groups, own, percent), lambda pairs: verified(pairs, docs, key, text, width, percent), percent)
     named = sets.join(firsts, ["hi", "lo"], "left").join(labels.withColumnRenamed("doc", "first"), "first", "left")
     whole = F.when(F.col("n") > 0, F.least(F.coalesce("component", "first"), F.col("doc"))).otherwise(F.col("doc"))
     return named.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), whole).alias("component_id"))
