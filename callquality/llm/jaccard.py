@@ -14,6 +14,7 @@ from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +22,11 @@ from callquality.llm.common import fresh, row_blocks, shingle_hashes, small_side
 
 #: Counters of the frequency sketch that orders n-grams: a fixed number, whatever the corpus.
 SKETCH_BITS, CHUNK = 22, 1 << 16
-BLOCK_BYTES = 1 << 22
-#: Members that each posting list compares with all others, round by round; after those, all that are left meet.
-PIVOTS = (1, 32)
+BLOCK_BYTES = 1 << 20
+#: Members that a long posting list compares with all others before all meet with all.
+PIVOTS = 32
 #: Members of a list that one task compares with the list, and members of a hub that one task verifies.
-SPLIT, HUB_MEMBERS = 2048, 1024
+SPLIT, HUB_MEMBERS = 2048, 128
 ID_ROWS = 500_000
 #: The parts of a hash partition of each set whose sizes are kept modulo 2, as bits of so many longs.
 WORDS = 8
@@ -70,7 +71,7 @@ def set_classes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), *none], names)
         chunks = [k for k in range(len(counts) // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
         # A task's counts stop at 65535: they only order n-grams, and any order gives the same pairs.
-        rows = [pa.array(chunks, pa.int32()), pa.array([np.minimum(counts[k * CHUNK : (k + 1) * CHUNK], 65535).astype("<u2").tobytes() for k in chunks], pa.binary())]
+        rows = [pa.array(chunks, pa.int32()), pa.array([zstandard.compress(np.minimum(counts[k * CHUNK : (k + 1) * CHUNK], 65535).astype("<u2").tobytes(), 1) for k in chunks], pa.binary())]
         yield pa.RecordBatch.from_arrays([*[pa.nulls(len(chunks), t) for t in kinds[:4]], *rows], names)
 
     return _given(docs, key, text).mapInArrow(run, "doc long, n long, hi long, lo long, chunk int, counts binary")
@@ -82,12 +83,12 @@ def frequency_sketch(classes: DataFrame) -> np.ndarray:
     def add(pdf):
         total = np.zeros(CHUNK, np.int64)
         for c in pdf["counts"]:
-            total += np.frombuffer(c, "<u2")
-        return pdf.head(1)[["chunk"]].assign(counts=[total.tobytes()])
+            total += np.frombuffer(zstandard.decompress(c), "<u2")
+        return pdf.head(1)[["chunk"]].assign(counts=[np.minimum(total, 2**32 - 1).astype("<u4").tobytes()])
 
     sums = np.zeros(1 << SKETCH_BITS, np.uint32)
     for r in classes.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
-        sums[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.minimum(np.frombuffer(r["counts"], "<i8"), 2**32 - 1)
+        sums[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<u4")
     return sums
 
 
@@ -220,7 +221,7 @@ def shared_postings(own: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _met(nodes: DataFrame, pivots: int | None, percent: int) -> DataFrame:
     """(a, b) of the members of different components that meet in a list: with its ``pivots`` most central members, one
-    for each of as many salts, or (None) all with all, where a long list is dealt to several tasks."""
+    for each of as many salts, or (None) all with all, where a list of size over ``SPLIT`` is dealt to several tasks."""
     if pivots:
         fields = [c for c in nodes.columns if c not in ("gram", "size")]
         salt = F.pmod(F.xxhash64("doc"), F.lit(pivots))
@@ -235,25 +236,34 @@ def _met(nodes: DataFrame, pivots: int | None, percent: int) -> DataFrame:
     return nodes.alias("l").join(others.alias("r"), on).select(*_pair(F.col("l.doc"), F.col("r.doc")))
 
 
+def _live(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings of lists that hold two components or more, each with comp and the size of its list."""
+    named = postings.join(labels, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    live = named.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high")
+    return written(named.join(live.select("gram", "size"), "gram"), "live-postings")
+
+
 def link_components(postings: DataFrame, ready: DataFrame, verify, percent: int) -> DataFrame:
-    """(doc, component) of the linked nodes, from their shared postings and the pairs (a, b) known beforehand."""
-    postings = written(postings, "postings")
-    nodes, labels, seen, links = postings.withColumns({"comp": F.col("doc"), "size": F.lit(0)}), None, [], []
-    for turn, pivots in enumerate((*PIVOTS, None)):
-        if turn:
-            named = postings.join(labels, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-            live = named.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high")
-            nodes = written(named.join(live.select("gram", "size"), "gram"), "live-postings")
-            if nodes.isEmpty():
-                break
-        pairs = _met(nodes, pivots, percent)
-        pairs = (pairs if turn else pairs.unionByName(ready)).distinct()
+    """(doc, component) of the linked nodes, from their shared postings and the pairs (a, b) known beforehand: lists
+    compare one member with all, then the long ones ``PIVOTS`` members, then all members of different components."""
+    seen, links = [], []
+
+    def labelled(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.distinct()
         for earlier in seen:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         seen.append(written(pairs, "pairs"))
         links.append(written(verify(seen[-1]), "links"))
-        labels = small_side(written(components(reduce(DataFrame.unionByName, links)), "labels"), ID_ROWS)
-    return labels
+        return small_side(written(components(reduce(DataFrame.unionByName, links)), "labels"), ID_ROWS)
+
+    postings = written(postings, "postings")
+    labels = labelled(_met(postings.withColumn("comp", F.col("doc")), 1, percent).unionByName(ready))
+    nodes = _live(postings, labels)
+    long = nodes.filter(F.col("size") > 2 * PIVOTS)
+    if not long.isEmpty():
+        labels = labelled(_met(long, PIVOTS, percent))
+        nodes = _live(nodes.drop("comp", "size"), labels)
+    return labels if nodes.isEmpty() else labelled(_met(nodes, None, percent))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -271,7 +281,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     firsts = sets.filter("n > 0 AND doc IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc").alias("first"))
     firsts = written(firsts, "set-firsts")
     own = prefixes(docs, key, text, width, percent, frequency_sketch(classes))
-    own = written(own.join(firsts.select(F.col("first").alias("doc")), "doc", "left_semi"), "prefixes")
+    copies = sets.filter("n > 0 AND doc IS NOT NULL").select("doc").distinct().join(firsts.select(F.col("first").alias("doc")), "doc", "left_anti")
+    own = written(own.join(small_side(written(copies, "copies"), ID_ROWS), "doc", "left_anti"), "prefixes")
     groups = written(shared_groups(own), "shared-groups")
     labels = link_components(shared_postings(own, groups), lone_pairs(groups, own, percent), lambda pairs: verified(pairs, docs, key, text, width, percent), percent)
     named = sets.join(firsts, ["hi", "lo"], "left").join(labels.withColumnRenamed("doc", "first"), "first", "left")
