@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: The bytes that separate words, as a Java/RE2 class and as characters.
 SPACE_CHARS = " \t\n\x0b\f\r"
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACES = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,7 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS[1:], " " * (len(SPACE_CHARS) - 1))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
 def word_count(text: Column) -> Column:

@@ -52,12 +52,13 @@ def _failed(rule: Rule, stats: Column) -> Column:
 def quality_rules(
     docs: DataFrame, text_col: str = "text", out_col: str = "quality_rules", base: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = METHOD_RULES
 ) -> DataFrame:
-    """All columns of ``docs`` and the struct ``out_col``: the statistics, ``failed`` (names), ``base_failed``, ``kept``.
+    """All columns of ``docs`` and the struct ``out_col``: the statistics that the rules use, ``failed`` (names), ``base_failed``, ``kept``.
 
     One narrow projection, no shuffle. A null text counts as empty, has no words and fails; other columns may be
     anything, and a column already named ``out_col`` is replaced. Repeated rows stay. An empty table stays empty.
     """
-    stats = docs.withColumn(out_col, text_statistics(docs[text_col]))
+    used = dict.fromkeys(c for r in (*base, *rules) for c in (r.top, r.bottom) if c)
+    stats = docs.withColumn(out_col, text_statistics(docs[text_col], tuple(used)))
     at = stats[out_col]
     fails = {r.name: _failed(r, at) for r in (*base, *rules)}
     base_failed = F.lit(False)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from callquality.llm.common import SPACE_CHARS, let, words
+from callquality.llm.common import WORD, let, words
 
 #: Very common words of the languages in the corpus, lower case.
 STOP_WORDS = {
@@ -15,14 +18,25 @@ STOP_WORDS = {
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se avec",
 }
 SYMBOLS = "#*$%&|<>"
+#: A repeated window is looked for by its hash, with its place in the low bits: a text has fewer words than that.
+PLACE_BITS = 30
 
 
 def stop_word_list() -> list[str]:
     return sorted({w for line in STOP_WORDS.values() for w in line.split()})
 
 
-def _count_of(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+def _is_stop_word(word: Column) -> Column:
+    """Whether a word is in the list, case aside, without what follows its last letter, digit or underscore."""
+    stops = stop_word_list()
+    most = max(len(w.encode()) for w in stops)
+    whole = F.substring(word, -1, 1).isin(*f"{string.ascii_letters}{string.digits}_")
+    return F.when(whole, (F.octet_length(word) <= most) & F.lower(word).isin(*stops)).otherwise(F.lower(F.regexp_replace(word, r"\W+$", "")).isin(*stops))
+
+
+def _count_of(text: Column, kind: str) -> Column:
+    """Number of characters of a character class."""
+    return F.regexp_count(text, F.lit(kind)).cast("long")
 
 
 def repeated_words(word_array: Column, width: int = 3) -> Column:
@@ -32,17 +46,21 @@ def repeated_words(word_array: Column, width: int = 3) -> Column:
         reach = F.transform(positions, lambda p, k: F.least(F.lit(width), F.coalesce(F.get(positions, k + 1) - p, F.lit(width))))
         return F.aggregate(reach, F.lit(0), lambda total, x: total + x)
 
-    def repeats(windows: Column) -> Column:
-        ordered = F.array_sort(F.transform(windows, lambda g, p: F.struct(g.alias("g"), p.alias("p"))))
-        same = lambda a, b: F.coalesce(a == b, F.lit(False))
-        found = let(ordered, lambda s: F.transform(F.filter(s, lambda x, k: same(x["g"], F.get(s, k - 1)["g"]) | same(x["g"], F.get(s, k + 1)["g"])), lambda x: x["p"]))
-        return let(F.array_sort(found), covered)
-
-    windows = F.when(
-        F.size(word_array) >= width,
-        F.transform(F.sequence(F.lit(0), F.size(word_array) - width), lambda i: F.concat_ws(" ", *[F.get(word_array, i + k) for k in range(width)])),
-    )
-    count = let(windows, lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), repeats(g)).otherwise(0))
+    def neighbours(ordered: Column, same) -> Column:
+        return let(ordered, lambda s: F.filter(s, lambda x, k: F.coalesce(same(x, F.get(s, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, k + 1)), F.lit(False))))
+
+    def repeats(hashes: Column) -> Column:
+        # Sorted by hash, windows that may be equal are neighbours; of those few, the words decide.
+        placed = F.transform(F.slice(hashes, 1, F.size(hashes) - (width - 1)), lambda h, p: h.bitwiseAND(F.lit(-1 << PLACE_BITS)).bitwiseOR(p.cast("long")))
+        alike = neighbours(F.sort_array(placed), lambda x, y: F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS))
+        places = F.transform(alike, lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
+        worded = F.transform(places, lambda p: F.struct(F.concat_ws(" ", *[F.get(word_array, p + k) for k in range(width)]).alias("g"), p.alias("p")))
+        found = F.transform(neighbours(F.sort_array(worded), lambda x, y: x["g"] == y["g"]), lambda x: x["p"])
+        return let(F.sort_array(found), covered)
+
+    # Without equal hashes no window repeats. The last windows are short, and harmless here.
+    hashes = F.transform(word_array, lambda x, i: F.xxhash64(x, *[F.get(word_array, i + k) for k in range(1, width)]))
+    count = let(hashes, lambda h: F.when((F.size(h) >= width) & (F.size(F.array_distinct(h)) < F.size(h)), repeats(h)).otherwise(0))
     return F.coalesce(count, F.lit(0)).cast("long")
 
 
@@ -52,27 +70,25 @@ def text_statistics(text: Column, names: tuple[str, ...] | None = None) -> Colum
     n_words, word_chars, n_chars, n_symbols, n_bangs, n_upper, n_digits, n_lines (with a word), n_dup_lines,
     n_repeat_words, n_distinct_words, n_stop_words: long.
     """
-    stops = F.array(*[F.lit(w) for w in stop_word_list()])
     text = F.coalesce(text, F.lit(""))
 
     def from_words(text: Column, w: Column, lines: Column) -> Column:
         as_long = lambda c: c.cast("long")
-        strip = lambda x: F.lower(F.regexp_replace(x, r"\W+$", ""))
         found = {
             "n_words": lambda: as_long(F.size(w)),
-            "word_chars": lambda: as_long(F.length(F.translate(text, SPACE_CHARS, ""))),
+            "word_chars": lambda: as_long(F.length(F.array_join(w, ""))),
             "n_chars": lambda: as_long(F.length(text)),
-            "n_symbols": lambda: _count_of(text, SYMBOLS),
-            "n_bangs": lambda: _count_of(text, "!"),
-            "n_upper": lambda: as_long(F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))),
-            "n_digits": lambda: _count_of(text, "0123456789"),
+            "n_symbols": lambda: _count_of(text, f"[{re.escape(SYMBOLS)}]"),
+            "n_bangs": lambda: as_long(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))),
+            "n_upper": lambda: _count_of(text, r"\p{Lu}"),
+            "n_digits": lambda: _count_of(text, "[0-9]"),
             "n_lines": lambda: as_long(F.size(lines)),
             "n_dup_lines": lambda: as_long(F.size(lines) - F.size(F.array_distinct(lines))),
             "n_repeat_words": lambda: repeated_words(w),
             "n_distinct_words": lambda: as_long(F.size(F.array_distinct(w))),
-            "n_stop_words": lambda: as_long(F.size(F.filter(w, lambda x: F.array_contains(stops, strip(x))))),
+            "n_stop_words": lambda: as_long(F.size(F.filter(w, _is_stop_word))),
         }
         return F.struct(*[found[n]().alias(n) for n in names or found])
 
-    worded = lambda t: F.filter(F.split(t, "\n"), lambda line: F.translate(line, SPACE_CHARS, "") != "")
+    worded = lambda t: F.filter(F.split(t, "\n"), lambda line: F.rlike(line, F.lit(WORD)))
     return let(text, lambda t: let(words(t), lambda w: let(worded(t), lambda lines: from_words(t, w, lines))))
