@@ -17,15 +17,18 @@ _OTHER = re.compile(r"[\W\d_]+")
 def normal(text: str | None) -> bytes:
     """Lower-case letters with single spaces between their runs; empty if there is no letter."""
     bare = _OTHER.sub(" ", (text or "").lower()).strip()
+    if not bare.replace(" ", "a").isalpha():  # numbers such as superscripts count as parts of words in a pattern
+        bare = " ".join("".join(c if c.isalpha() else " " for c in bare).split())
     return f" {bare} ".encode("utf-8", "ignore") if bare else b""
 
 
-def learn_dictionaries(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample_docs: int = 64, piece_bytes: int = 1024) -> dict[str, bytes]:
-    """Raw-content dictionaries: of each language at most ``sample_docs`` documents, at most ``piece_bytes`` of each.
+def learn_dictionaries(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample_docs: int = 256, dictionary_bytes: int = 1 << 16) -> dict[str, bytes]:
+    """Raw-content dictionaries of at most ``dictionary_bytes`` (64 KB): the word pairs that most of the examples have,
+    the most common last, where the compressor reaches them best.
 
-    The bound: 64 KB a language by default, whatever the corpus. Documents are those with the smallest hashes of their
-    keys among those that have a letter; a null language or text is no example. Pieces come from the middle of a text.
-    Languages with more examples come first.
+    The sample: of each language ``sample_docs`` documents, those with the smallest hashes of their keys among those
+    that have a letter; all pairs of their whole texts are counted, once a document. A null language or text is no
+    example. Pairs with equal counts go by their bytes. Languages with more examples come first.
     """
     given = docs.select(docs[lang].cast("string").alias("lang"), docs[text].cast("string").alias("text"), F.xxhash64(docs[key].cast("string"), docs[lang]).alias("draw"))
     given = given.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -38,17 +41,29 @@ def learn_dictionaries(docs: DataFrame, lang: str = "lang", text: str = "text",
         top = F.when(F.col("lang") == name, F.lit(-(2.0**63) + 2.0**64 * min(1.0, (4 * sample_docs + 50) / n))).otherwise(top)
     drawn = given.filter(F.col("draw").cast("double") <= top)
     ranked = drawn.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("draw", F.xxhash64("text")))).filter(F.col("rank") <= sample_docs)
-    middle = F.substring("text", F.greatest(F.lit(1), (F.length("text") / 2).cast("int") - piece_bytes // 2), F.lit(piece_bytes))
+    words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), "")
+    pairs = F.transform("words", lambda w, i: F.concat_ws(" ", w, F.get(F.col("words"), i + 1)))
+    each = ranked.select("lang", words.alias("words")).select("lang", F.explode(F.array_distinct(pairs)).alias("pair"))
+    common = each.groupBy("lang", "pair").agg(F.count("*").alias("n")).filter(F.octet_length("pair") < dictionary_bytes)
+    order = W.partitionBy("lang").orderBy(F.desc("n"), "pair")
+    first = common.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= dictionary_bytes // 2)
+    kept = first.withColumn("upto", F.sum(F.octet_length("pair") + 1).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).filter(F.col("upto") < dictionary_bytes)
     found: dict[str, list[bytes]] = {}
-    for r in ranked.select("lang", "rank", middle.alias("piece")).orderBy("lang", "rank").collect():
-        found.setdefault(r["lang"], []).append(normal(r["piece"])[:piece_bytes])
-    return {name: b"".join(found[name]) for name in sorted(found, key=lambda x: (-counts[x], x))}
+    for r in kept.select("lang", "rank", "pair").collect():
+        found.setdefault(r["lang"], []).append((r["rank"], r["pair"].encode("utf-8", "ignore")))
+    return {name: b" ".join([b"", *[pair for _, pair in sorted(found[name], reverse=True)], b""]) for name in sorted(found, key=lambda x: (-counts[x], x))}
 
 
 #: A margin below this is looked at again with a stronger compressor.
 CLOSE = 0.05
 #: Bytes of the dictionary that are compressed before a text in the second look, for the sake of their letter statistics.
 PRIMER_BYTES = 4096
+#: Texts are compressed in blocks of so many bytes, each against the whole dictionary, however long the text is.
+BLOCK_BYTES = 1 << 16
+
+
+def blocks(data: bytes) -> list[bytes]:
+    return [data[k : k + BLOCK_BYTES] for k in range(0, len(data), BLOCK_BYTES)]
 
 
 @dataclass(frozen=True)
@@ -59,14 +74,17 @@ class Packer:
     primer: bytes
 
     def size(self, data: bytes) -> int:
-        return len(self.quick.compress(data))
+        return sum(len(self.quick.compress(b)) for b in blocks(data))
 
     def primed_size(self, data: bytes) -> int:
         """What the text adds to a frame that holds the primer already."""
-        frame = self.strong.compressobj()
-        frame.compress(self.primer)
-        frame.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
-        return len(frame.compress(data) + frame.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK))
+        total = 0
+        for b in blocks(data):
+            frame = self.strong.compressobj()
+            frame.compress(self.primer)
+            frame.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
+            total += len(frame.compress(b) + frame.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK))
+        return total
 
 
 def packers_of(dictionaries: dict[str, bytes]) -> list[Packer]:
@@ -76,7 +94,7 @@ def packers_of(dictionaries: dict[str, bytes]) -> list[Packer]:
     out = []
     for name, data in dictionaries.items():
         raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append(Packer(name, *(zstandard.ZstdCompressor(dict_data=raw, compression_params=p) for p in (quick, strong)), data[:PRIMER_BYTES]))
+        out.append(Packer(name, *(zstandard.ZstdCompressor(dict_data=raw, compression_params=p) for p in (quick, strong)), data[-PRIMER_BYTES:]))
     return out
 
 

@@ -362,8 +362,8 @@ def suffixes_met(rows: DataFrame, how: Parsing) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(meet, FOUND)
 
 
-def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
-    """A row a document: doc_id, the columns ``keep``, n_bytes, spans (start, end, start, end, ... of the maximal
+def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, keep: tuple[str, ...] = (), whole_characters: bool = False, names: tuple[str, str, str] = ("n_bytes", "spans", "kept")) -> DataFrame:
+    """A row a document: doc_id, the columns ``keep``, and under ``names``: n_bytes, spans (start, end, start, end, ... of the maximal
     removed runs) and kept (the remaining bytes; with ``whole_characters`` without those that the runs left of a
     character they cut).
 
@@ -423,7 +423,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     spans.append(np.zeros(0, np.int64))
                     kept.append(data[a:b].tobytes())
             columns = [batch.column("doc"), *[batch.column(f"keep_{c}") for c in keep], pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, *names])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return both.mapInArrow(run, f"doc_id long, {kinds}n_bytes long, spans array<long>, kept binary")
+    return both.mapInArrow(run, f"doc_id long, {kinds}`{names[0]}` long, `{names[1]}` array<long>, `{names[2]}` binary")

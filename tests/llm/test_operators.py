@@ -16,6 +16,9 @@ from callquality.llm import jaccard, langid, merkle, mixing, packing, quality, r
 from callquality.llm.chat import escape, format_chats, loss_texts, read_turns, unescape  # noqa: E402
 
 
+SF = "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def rows():
     return some_docs()
@@ -159,7 +162,6 @@ def test_packed_documents(docs, rows, empty):
     import public_tokenizers
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     got = packing.pack_documents(docs).collect()
     want = Counter()
     for i, text, *_ in rows:
@@ -222,6 +224,25 @@ def test_neighbours_are_the_next_in_order(spark, docs, rows, empty):
     assert merkle.compare_neighbours(docs.filter("doc_id = 0"), pair, schema).count() == 1
 
 
+def test_fingerprint_query(spark, tmp_path):
+    from callquality.llm.queries import op4_fingerprint
+
+    rows = [r for r in some_docs(40, 9) if r[0] is not None]
+    rows = list({r[0]: r for r in [*rows, (5000, "twin text. " * 40, None, None, None), (5001, "twin text. " * 40, None, None, None)]}.values())
+    clashing(spark.createDataFrame(rows, SCHEMA)).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op4_fingerprint(spark, str(tmp_path)).collect()}
+    ordered = sorted((r[0], r[1] or "") for r in rows)
+    assert len(got) == len(rows)
+    for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        trees = [merkle.merkle_tree(t) for t in (text, edited, after)]
+        want = (len(text), hashlib.sha256(edited.encode()).hexdigest(), merkle.fingerprint(trees[0]), merkle.fingerprint(trees[1]), merkle.likeness(*trees[:2]), merkle.likeness(trees[0], trees[2]))
+        assert (got[i].n_chars, got[i].edited_sha256, got[i].fingerprint, got[i].edited_fingerprint, got[i].near_edited, got[i].near_next) == want
+        assert (got[i].fingerprint == got[i].edited_fingerprint) == (text == edited) and 0 <= got[i].near_edited <= 1
+    assert got[5000].fingerprint == got[5001].fingerprint and got[5000].near_next == 1
+
+
 # Language
 
 
@@ -229,18 +250,33 @@ def test_language(spark, empty):
     rnd = np.random.default_rng(2)
     kinds = {"aa": ["lopo", "mimu", "pelo", "lumi", "popi"], "bb": ["straz", "grzy", "szcz", "trzk", "zgrat"]}
     make = lambda k, n: " ".join("".join(rnd.choice(kinds[k], 2)) for _ in range(n))
-    rows = [(i, make(k, 80), k) for i, k in enumerate(["aa", "bb"] * 40)] + [(900, None, "aa"), (901, "12 !!", "aa"), (902, make("bb", 60).upper(), None)]
+    rows = [(i, make(k, 80), k) for i, k in enumerate(["aa", "bb"] * 40)] + [(900, None, "aa"), (901, "12 !!", "aa"), (903, "²½ ①", "aa"), (904, make("aa", 40_000), None), (905, make("bb", 60) + " ²", None), (905, make("bb", 60) + " ²", None), (902, make("bb", 60).upper(), None)]
     docs = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     dictionaries = langid.learn_dictionaries(docs.filter("doc_id < 40"), sample_docs=10)
-    assert set(dictionaries) == {"aa", "bb"} and all(len(d) <= 10 * 1024 for d in dictionaries.values())
+    assert set(dictionaries) == {"aa", "bb"} and all(len(d) <= 1 << 16 for d in dictionaries.values())
     got = {r.doc_id: r.language for r in langid.identify_language(docs, dictionaries).collect()}
     assert all(got[i].best == k for i, _, k in rows[:80]) and got[902].best == "bb"
-    assert got[900].best == got[901].best == got[900].lang == "und" and got[900].score == 0
+    assert got[900].best == got[901].best == got[903].best == got[900].lang == "und" and got[900].score == 0
+    assert got[904].best == "aa" and got[905].best == "bb"
     assert all(0 <= g.score <= 1 for g in got.values())
+    whole = langid.learn_dictionaries(spark.createDataFrame([(1, "la " * 3000 + "fin", "aa")], "doc_id long, text string, lang string"))
+    assert b" la fin " in whole["aa"] and b" la la " in whole["aa"]  # the end of a text counts as its middle does
+    tied = {"aa": dictionaries["aa"], "zz": dictionaries["aa"]}
+    assert langid.identify_language(docs.filter("doc_id = 0"), tied).first().language.best == "aa"
     assert langid.learn_dictionaries(empty) == {}
     assert langid.identify_language(empty, dictionaries).count() == 0
 
 
+def test_language_of_held_out_documents(spark):
+    from callquality.llm.queries import op5_language
+
+    got = {r.doc_id: r for r in op5_language(spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()
+    assert len(got) == len(rows) and all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 for i, r in got.items())
+    told = [got[r.doc_id].lang_pred == r.lang for r in rows if r.lang is not None and got[r.doc_id].held_out]
+    assert len(told) > 200 and sum(told) >= 0.98 * len(told)
+
+
 # Quality rules and the classifier
 
 
@@ -282,6 +318,29 @@ def test_rule_ensemble(spark, empty):
     assert rulefit.score_quality(empty, none).count() == 0
 
 
+def test_quality_of_held_out_documents(spark):
+    from callquality.llm.queries import op7_quality_classifier
+
+    got = {r.doc_id: r for r in op7_quality_classifier(spark, SF).collect()}
+    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for i, r in got.items())
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.doc_id in got and r.quality is not None}
+    out = [(got[i].score, q) for i, q in labels.items() if got[i].held_out]
+    good, bad = [s for s, q in out if q == 1], [s for s, q in out if q == 0]
+    wins = sum((g > b) + 0.5 * (g == b) for g in good for b in bad)
+    assert good and bad and wins >= 0.95 * len(good) * len(bad)
+
+
+def test_rule_ensemble_with_ties_repeats_and_long_texts(spark):
+    rows = [(i % 40, ("and the " * 60 if i % 2 else "# $ ") + "x " * (30_000 if i == 7 else 3), i % 2) for i in range(80)]
+    rows += [(i, t, 1 - q) for i, t, q in rows[:4]]  # one document under both labels
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string, quality int"))
+    model = rulefit.fit_rules(rulefit.labelled_examples(docs.drop("quality").dropDuplicates(["doc_id"]), docs.select("doc_id", "quality")))
+    got = rulefit.score_quality(docs, model).collect()
+    assert len(got) == len(rows) and len({(r.doc_id, r.quality.score) for r in got}) == 40
+    assert min(r.quality.score for r in got if r.doc_id % 2) > max(r.quality.score for r in got if r.doc_id % 2 == 0)
+
+
 def test_tree_paths():
     told = "DecisionTree\n  If (feature 0 <= 3.5)\n   If (feature 2 <= 1.0)\n    Predict: 1.0\n   Else (feature 2 > 1.0)\n    Predict: 0.0\n  Else (feature 0 > 3.5)\n   Predict: 0.0\n"
     assert {len(p) for p in rulefit.tree_paths(told)} == {1, 2} and len(rulefit.tree_paths(told)) == 4

@@ -5,6 +5,7 @@ from collections import Counter
 from hashlib import md5
 
 import numpy as np
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 
@@ -88,7 +89,6 @@ def test_stages_equal_brute_force(spark, tmp_path):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     want = Counter()
     for i, text, *_ in many:
         ids = np.array([*model.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -121,3 +121,17 @@ def test_stages_keep_the_columns_and_nulls(spark):
     assert corpus_pipeline.STAGES[1][1](spark, docs, "").count() == 2
     assert sorted(r.text is None for r in corpus_pipeline.STAGES[2][1](spark, docs, "").collect()) == [False, True]
     assert quality_rules(docs).filter("quality_rules.kept").count() == 0
+
+
+def test_stages_with_columns_of_any_name(spark):
+    names = ("kept", "Spans", "n_bytes", "no_text", "rules", "away", "doc", "codes", "component_id", "mix", "copies", "size", "sequence_id")
+    docs = spark.createDataFrame([(i, *rest) for i, (_, *rest) in enumerate(some_docs(30, 6))], SCHEMA)
+    wide = docs
+    for n in names:
+        wide = wide.withColumn(n, F.concat(F.lit(n), F.col("doc_id")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, wide, ""), stage(spark, docs, "")
+        assert got.columns == [*COLUMNS, *names]
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names)
+        assert Counter(tuple(r[c] for c in COLUMNS) for r in got.collect()) == Counter(tuple(r[c] for c in COLUMNS) for r in want.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, "").count() == corpus_pipeline.STAGES[-1][1](spark, docs, "").count()
