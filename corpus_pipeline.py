@@ -30,11 +30,11 @@ def unrepeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A span may begin or end inside a character; what is left of such a character goes too. A null text stays null.
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    own = fresh(docs, "no_text")
-    found = repeated_bytes(docs.withColumn(own, docs["text"].isNull()), keep=(*others, own), whole_characters=True)
-    found = found.withColumn("text", F.when(~F.col(own), F.col("kept").cast("string")))
+    own, n_bytes, spans, kept = (fresh(docs, c) for c in ("no_text", "n_bytes", "spans", "kept"))
+    found = repeated_bytes(docs.withColumn(own, docs["text"].isNull()), keep=(*others, own), whole_characters=True, names=(n_bytes, spans, kept))
+    found = found.withColumn("text", F.when(~F.col(own), F.col(kept).cast("string")))
     if "n_chars" in others:
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).select(*docs.columns)
 
 
