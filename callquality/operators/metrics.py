@@ -226,9 +226,9 @@ def origin_log_slope(df: DataFrame, x: str, rate: str, weight: str) -> DataFrame
 
 
 def corrected_rates(used: DataFrame, real: DataFrame, simulated: DataFrame, by: Sequence[str], rate: str = "rate") -> DataFrame:
-    """used * real / simulated, and the used rate where nothing was simulated."""
+    """used * real / simulated, and the used rate where nothing was simulated or the real side has no row."""
     j = used.join(real.select(*by, F.col(rate).alias("_r")), list(by), "left").join(simulated.select(*by, F.col(rate).alias("_s")), list(by), "left")
-    return j.withColumn(rate, F.when(F.col("_s") > 0, F.col(rate) * F.col("_r") / F.col("_s")).otherwise(F.col(rate))).drop("_r", "_s")
+    return j.withColumn(rate, F.when((F.col("_s") > 0) & F.col("_r").isNotNull(), F.col(rate) * F.col("_r") / F.col("_s")).otherwise(F.col(rate))).drop("_r", "_s")
 
 
 def low_share_by_place(df: DataFrame, values: str, low: float, width: int, last: int) -> DataFrame:

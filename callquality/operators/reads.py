@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,24 +17,22 @@ from pyspark.sql import functions as F
 from callquality.functions.parse import reference_span
 from callquality.operators.intervals import overlap_join
 
-#: Flank length, of which the inner part must be exact, and how far an alignment may be off.
-FLANK, INNER, ALIGNED_WITHIN, PAD, LOW_MAPQ = 20, 5, 10, 20, 20
+#: Flank length, of which the inner part must be exact, how far an alignment may be off, and the least
+#: end of a one-sided read that must repeat the motif.
+FLANK, INNER, ALIGNED_WITHIN, PAD, LOW_MAPQ, LEAST_END = 20, 5, 10, 20, 20, 8
 _CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
 
 
+def _bases(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+
+
 def near_matches(text: str, flank: str) -> list[int]:
     """Places at which the flank occurs with at most one mismatch."""
-    n = len(flank)
-    found = []
-    for at in range(len(text) - n + 1):
-        off = 0
-        for x, y in zip(text[at : at + n], flank, strict=True):
-            off += x != y
-            if off > 1:
-                break
-        else:
-            found.append(at)
-    return found
+    if len(text) < len(flank):
+        return []
+    windows = np.lib.stride_tricks.sliding_window_view(_bases(text), len(flank))
+    return np.flatnonzero((windows != _bases(flank)).sum(axis=1) <= 1).tolist()
 
 
 def unique_flanks(window_seq: str | None, window_start: int, start: int, end: int) -> bool:
@@ -47,70 +46,68 @@ def unique_flanks(window_seq: str | None, window_start: int, start: int, end: in
     return len(near_matches(window_seq, left)) == 1 and len(near_matches(window_seq, right)) == 1
 
 
-def aligned_places(start: int, cigar: str) -> list[int | None]:
-    """Reference place of each base of a read, None where it has none."""
-    out: list[int | None] = []
-    at = start
+def aligned_places(start: int, cigar: str) -> np.ndarray:
+    """Reference place of each base of a read, -1 where it has none."""
+    out, at = [np.zeros(0, np.int64)], start
     for n, op in ((int(n), op) for n, op in _CIGAR.findall(cigar or "")):
         if op in "M=X":
-            out += range(at, at + n)
-            at += n
+            out.append(np.arange(at, at + n))
         elif op in "IS":
-            out += [None] * n
-        elif op in "DN":
-            at += n
-    return out
+            out.append(np.full(n, -1))
+        at += n if op in "M=XDN" else 0
+    return np.concatenate(out)
 
 
-def _anchor(seq: str, flank: str, inner_last: bool, places: list[int | None], want: int) -> int | None:
-    """Where the flank stands in the read: one near match, exact in its inner part, aligned near its place."""
+def _anchors(seq: str, flank: str, inner_last: bool, places: np.ndarray, want: int) -> list[int]:
+    """Where the flank stands in the read: near matches, exact in the part beside the repeat, the first aligned base of
+    which is aligned near its place; without an aligned base the place is unknown and counts."""
+    inner = slice(FLANK - INNER, FLANK) if inner_last else slice(0, INNER)
     found = []
     for at in near_matches(seq, flank):
-        part = slice(at + FLANK - INNER, at + FLANK) if inner_last else slice(at, at + INNER)
-        known = places[at + FLANK - 1] if inner_last else places[at]
-        exact = seq[part] == (flank[-INNER:] if inner_last else flank[:INNER])
-        if exact and (known is None or abs(known - want) <= ALIGNED_WITHIN):
+        known = np.flatnonzero(places[at : at + FLANK] >= 0)
+        near = not len(known) or abs(int(places[at + known[0]]) - want - int(known[0])) <= ALIGNED_WITHIN
+        if near and seq[at : at + FLANK][inner] == flank[inner]:
             found.append(at)
-    return found[0] if len(found) == 1 else None
+    return found
+
+
+def repeats_motif(seq: str, motif: str) -> bool:
+    """Whether a string is the motif repeated, in any phase."""
+    k = len(motif)
+    return seq[:k] in motif + motif and seq[k:] == seq[:-k]
 
 
-def run_length(seq: str, motif: str) -> int:
-    """Length of the longest prefix that repeats the motif in its own phase."""
-    n = 0
-    while n < len(seq) and seq[n] == motif[n % len(motif)]:
-        n += 1
-    return n
+def _joint(first: str, second: str) -> int:
+    """Length of the longest end of the first that the second begins with."""
+    return next((n for n in range(min(len(first), len(second)), 0, -1) if second.startswith(first[-n:])), 0)
 
 
 def measured(seq: str, qual: str, start: int, cigar: str, left: str, right: str, motif: str, locus_start: int, locus_end: int) -> tuple[str, int, int] | None:
-    """(kind, length, mean quality) of a read at a locus: spanning, or bound by its left or right flank with a run of the
-    motif up to the read's end. A one-sided read whose alignment covers the other flank counts for nothing."""
+    """(kind, length, mean quality) of a read at a locus: spanning, or bound by its left or right flank.
+
+    A read with two places for a flank is not measured. A one-sided read runs to its end, without what there may belong
+    to the other flank, and the last bases of that must repeat the motif (at least eight, and two motifs); it counts for
+    nothing if its alignment covers the other flank."""
     places = aligned_places(start, cigar)
-    if len(places) != len(seq):
+    if len(places) != len(seq) or not motif:
+        return None
+    a, b = _anchors(seq, left, True, places, locus_start - FLANK), _anchors(seq, right, False, places, locus_end)
+    if len(a) > 1 or len(b) > 1 or not (a or b):
         return None
-    a = _anchor(seq, left, True, places, locus_start - 1)
-    b = _anchor(seq, right, False, places, locus_end)
-    if a is not None and b is not None:
-        low, high, kind = a + FLANK, b, "spanning"
-        if high < low:
-            return None
-    elif a is not None:
-        if any(p is not None and p >= locus_end + FLANK for p in places):
-            return None
-        low, kind = a + FLANK, "left"
-        high = low + run_length(seq[low:], motif)
-        if high < len(seq):
-            return None
-    elif b is not None:
-        if any(p is not None and p < locus_start - FLANK for p in places):
-            return None
-        high, kind = b, "right"
-        low = high - run_length(seq[:high][::-1], motif[::-1])
-        if low > 0:
-            return None
+    end, least = start + sum(int(n) for n, op in _CIGAR.findall(cigar) if op in "MDN=X"), max(LEAST_END, 2 * len(motif))
+    if a and b:
+        low, high, kind, fine = a[0] + FLANK, b[0], "spanning", a[0] + FLANK <= b[0]
+    elif a:
+        low, kind = a[0] + FLANK, "left"
+        high = len(seq) - _joint(seq[low:], right)
+        fine = high - low >= least and repeats_motif(seq[high - least : high], motif) and end < locus_end + FLANK
     else:
+        high, kind = b[0], "right"
+        low = _joint(left, seq[:high])
+        fine = high - low >= least and repeats_motif(seq[low : low + least], motif) and start > locus_start - FLANK
+    if not fine:
         return None
-    values = [ord(c) - 33 for c in qual[low:high]]
+    values = [ord(c) - 33 for c in qual[low:high]] if qual != "*" else []
     return kind, high - low, round(sum(values) / len(values)) if values else -1
 
 
@@ -135,9 +132,10 @@ def with_ends(reads: DataFrame) -> DataFrame:
 
 
 def measure_reads(reads: DataFrame, loci: DataFrame) -> DataFrame:
-    """(locus_id, kind, length, mapq, quality, strand, name) of the reads that measure a locus with unique flanks."""
+    """(locus_id, kind, length, mapq, quality, strand, name) of the reads, of any mapping quality, that measure a locus
+    with unique flanks."""
     known = flank_table(loci).filter("has_unique_flanks").select("locus_id", "chrom", "start", "end", "motif", "left_flank", "right_flank")
-    good = with_ends(reads).filter(F.col("mapq") >= LOW_MAPQ)
+    good = with_ends(reads).filter((F.col("cigar") != "*") & (F.col("seq") != "*"))
     pairs = overlap_join(known, good, pad=PAD)
     wanted = pairs.select("locus_id", "motif", "left_flank", "right_flank", "start", "end", "r_name", "r_flag", "r_start", "r_cigar", "r_mapq", "r_seq", "r_qual")
 

@@ -52,7 +52,7 @@ def quota_level(counts: DataFrame, cap: int, by: Sequence[str] = (), n: str = "n
     binds = (F.col("_all") > cap) & (F.col(n) * F.col("_left") + F.col("_done") > cap)
     level = F.floor((F.lit(cap) - F.col("_done")) / F.col("_left"))
     agg = told.groupBy(*by) if by else told
-    return agg.agg(F.coalesce(F.min_by(F.when(binds, level), F.when(binds, F.col(n))), F.max("_max")).cast("long").alias("level"))
+    return agg.agg(F.coalesce(F.min_by(F.when(binds, level), F.when(binds, F.struct(F.col(n), F.col("_done")))), F.max("_max")).cast("long").alias("level"))
 
 
 def quota_sample(df: DataFrame, cells: Sequence[str], cap: int, key: Sequence[str], seed: int | str = 0, by: Sequence[str] = ()) -> DataFrame:

@@ -436,9 +436,10 @@ def unique_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.many_to_one_join(c, n, ["c_nationkey"], "left").select("c_custkey", "c_nationkey", "n_name")
 
 
-@query("SELECT c_custkey AS id, 'left' AS side FROM customer ANTI JOIN (SELECT DISTINCT o_custkey FROM orders) o ON o_custkey = c_custkey UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders ANTI JOIN customer ON o_custkey = c_custkey")
+@query("WITH a AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0), b AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 250000) SELECT id, 'left' AS side FROM a ANTI JOIN b USING (id) UNION ALL SELECT id, 'right' FROM b ANTI JOIN a USING (id)")
 def key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.key_difference(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), ["id"])
+    a, b = table(spark, sf_dir, "customer").filter("c_acctbal > 0"), table(spark, sf_dir, "orders").filter("o_totalprice > 250000")
+    return joins.key_difference(a.select(F.col("c_custkey").alias("id")), b.select(F.col("o_custkey").alias("id")), ["id"])
 
 
 @query(f"""{WITH}, s AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k, o_totalprice AS v FROM orders), p AS (SELECT * FROM s WHERE id % 100 = 0)

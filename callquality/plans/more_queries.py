@@ -25,10 +25,11 @@ def entities_without_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.without_keys_of(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), found, ["c_custkey"])
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT o_orderkey, any_value(o_custkey) AS o_custkey, any_value(o_totalprice) AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderstatus = 'F' GROUP BY ALL")
 def consistent_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    return joins.consistent_union([n, n.repartition(3)], ["n_nationkey"])
+    o = table(spark, sf_dir, "orders")
+    fields = ("o_orderkey", "o_custkey", "o_totalprice")
+    return joins.consistent_union([o.filter("o_orderkey % 3 <> 0").select(*fields), o.filter("o_orderstatus = 'F'").select(*fields)], ["o_orderkey"])
 
 
 @query(f"""{WITH}, v AS (SELECT *, CASE WHEN dir_code <> 0 THEN p_ok END AS a, called - tol AS lo, called + motif_size AS hi, CASE WHEN motif_size < 7 THEN tol + motif_size END AS w FROM calls)
@@ -130,10 +131,12 @@ def catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(io.catalog_json(n, "key", "name").alias("entry"))
 
 
-@query("SELECT n_regionkey, map_from_entries(list_sort(list((n_name, n_nationkey))))::VARCHAR IS NOT NULL AS packed, count(*) AS n FROM nation GROUP BY n_regionkey")
+@query("SELECT o_custkey, string_agg(o_orderkey || '=' || CAST(o_totalprice AS BIGINT), ',' ORDER BY o_orderkey) AS packed FROM orders GROUP BY ALL".replace("CAST(o_totalprice AS BIGINT)", "CAST(floor(o_totalprice) AS BIGINT)"))
 def keyed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = io.keyed_values(table(spark, sf_dir, "nation"), "n_regionkey", "n_name", "n_nationkey")
-    return packed.select("n_regionkey", F.col("values").isNotNull().alias("packed"), F.size("values").cast("long").alias("n"))
+    o = table(spark, sf_dir, "orders").withColumn("whole", F.floor("o_totalprice"))
+    packed = io.keyed_values(o, "o_custkey", "o_orderkey", "whole")
+    entries = F.transform(F.map_entries("values"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return packed.select("o_custkey", F.array_join(entries, ",").alias("packed"))
 
 
 @query("""SELECT s_nationkey AS person, array_to_string(list_sort(list('s' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0'))), ',') AS sources FROM supplier GROUP BY ALL""")

@@ -258,12 +258,37 @@ def test_coverage_guard(spark):
     metrics.require_coverage(gaps, 0.1, 0.3)
 
 
+def test_measured_reads_one_by_one():
+    left, right = "ACGTTGCAAGCTTACGGATC", "TTGACCATGCGATAGGCTAA"
+    at = lambda seq, begin=500, ref=520: reads.measured(seq, "I" * len(seq), begin, f"{len(seq)}M", left, right, "CAG", ref, ref + 12)
+    assert at(left + "CAG" * 7 + right) == ("spanning", 21, 40)
+    assert reads.measured(left + right, "I" * 40, 500, "20M12D20M", left, right, "CAG", 520, 532) == ("spanning", 0, -1)
+    assert at(left + "CAG" * 3 + "CAT" + "CAG" * 3) == ("left", 21, 40)  # one interruption, away from the end
+    assert at(left + "CAG" * 3 + "TTGA") == ("left", 9, 40)  # ends four bases into the other flank
+    assert at(left + "CAG" * 2) is None and at(left + "CAG" * 5 + "TTTTTTTTTTTT") is None
+    assert at("AG" + "CAG" * 4 + right, 519) == ("right", 14, 40)
+    assert at("GGATC" + "CAG" * 4 + right, 516) == ("right", 12, 40)
+    twice = left + "CAG" * 3 + left + "CAG" * 3
+    assert reads.measured(twice, "*", 500, "58S", left, right, "CAG", 520, 532) is None  # unaligned: either may be the flank
+    assert reads.measured(twice, "*", 500, "20M38S", left, right, "CAG", 520, 532) is None
+    assert at(left[:-1] + "A" + "CAG" * 7 + right) is None  # the base beside the repeat differs
+    assert at(left + "CAG" * 20) is None  # its alignment covers the right flank
+    assert at(left + "CAG" * 7 + right, 560) is None  # aligned far from the locus
+
+
+def test_quota_level_with_equal_cells(spark):
+    level = sampling.quota_level(frame(spark, "n long", [(20,), (20,), (20,)]), 40).first().level
+    assert level == 13
+    counts = frame(spark, "g string, n long", [("a", 5), ("a", 9), ("a", 9), ("a", 9), ("b", 1), ("b", 1)])
+    assert {r.g: r.level for r in sampling.quota_level(counts, 23, ["g"]).collect()} == {"a": 6, "b": 1}
+
+
 def test_comparison(spark):
     sums = lambda x: frame(spark, "s string, g int, n long, sum_gated double", [("a", k, 10, x * 10 + k % 2) for k in range(12)] + [("b", 1, 5, 1.0)])
     got = {r.s: r for r in compare.paired_comparison(sums(2.0), sums(1.0), ["s"], "g", replicates=50).collect()}
     assert got["a"].winner == "new" and got["b"].winner == "too few samples" and got["a"].mean_delta == pytest.approx(-1)
     told = compare.verdict(frame(spark, "winner string", [("new",), ("tie",), ("too few samples",)])).first()
-    assert told.verdict == "NEW is better in 1 of 2 judged strata, worse in none"
+    assert (told.verdict, told.judged) == ("new", 2)
     a = frame(spark, "s string, n long, mae_raw double", [("a", 1, 2.0)])
     compare.require_same_rows(a, a, ["s"])
     with pytest.raises(GuardError):
@@ -410,9 +435,9 @@ def test_read_measurement(spark):
     ]
     df = frame(spark, "name string, flag int, chrom string, start long, mapq int, cigar string, seq string, qual string", data)
     got = {r.name: (r.kind, r.length, r.quality, r.strand) for r in reads.measure_reads(df, loci).collect()}
-    assert got == {"r1": ("spanning", 18, 40, "+"), "r2": ("left", 15, 40, "-")}
+    assert got == {"r1": ("spanning", 18, 40, "+"), "r2": ("left", 15, 40, "-"), "r3": ("left", 15, 40, "+")}
     r = reads.locus_summary(loci, df, reads.measure_reads(df, loci)).first()
-    assert (r.n_reads_overlapping, r.n_reads_mapq_below_20, r.measured_reads) == (3, 1, "spanning:18:60:40:+,left:15:60:40:-")
+    assert (r.n_reads_overlapping, r.n_reads_mapq_below_20, r.measured_reads) == (3, 1, "spanning:18:60:40:+,left:15:60:40:-,left:15:5:40:+")
     assert not reads.unique_flanks(window.replace("A", "N"), 1000, start, start + 12)
 
 
