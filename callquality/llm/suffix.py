@@ -341,13 +341,14 @@ def suffixes_met(rows: DataFrame, how: Parsing) -> DataFrame:
         if len(doc):
             begin = np.repeat(np.cumsum(size) - size + first - np.cumsum(count) + count, count) + np.arange(count.sum())
             suffix = np.lib.stride_tricks.sliding_window_view(text, how.length)[begin].copy().view(f"S{how.length}").ravel()
-            _, number = np.unique(suffix, return_inverse=True)
+            array = np.argsort(suffix)  # the suffix array of the bucket's dictionary, in depth
+            new = np.concatenate([[True], suffix[array[1:]] != suffix[array[:-1]]])  # else a string is common to neighbours
             owner = np.repeat(np.arange(len(doc)), count)
             k = np.arange(len(begin)) - np.repeat(np.cumsum(count) - count, count)
-            low = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(low, number, doc[owner])
-            hit = doc[owner] > low[number]
-            out.append((doc[owner][hit], code[owner][hit], k[hit]))
+            holder = doc[owner[array]]
+            low = np.minimum.reduceat(holder, np.flatnonzero(new))[np.cumsum(new) - 1]
+            hit = array[holder > low]
+            out.append((doc[owner[hit]], code[owner[hit]], k[hit]))
         if len(string):
             order, _, low = first_holders([string], sdoc)
             hit = order[sdoc[order] > low]

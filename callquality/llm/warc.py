@@ -175,15 +175,17 @@ def write_warc(pages: DataFrame, folder: str | None = None, key: str = "page_id"
     that key are all responses. Null keys are below all others; rows whose group has null keys only are responses. A
     null url is empty. Other columns are not read. No rows: no archives, an empty manifest.
 
-    Groups are found on digests, combined before the shuffle; payloads move once, to meet the groups that have at
-    least two rows, in a join whose hot keys Spark can split.
+    Groups are found on digests, combined before the shuffle; payloads of ``least`` bytes or more move once, to meet
+    the groups that have at least two rows, in a join whose hot keys Spark can split. Smaller ones stay where they are.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     data = F.encode(F.coalesce(pages[html].cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), data.alias("payload"), F.unhex(F.sha1(data)).alias("digest"))
-    groups = rows.filter(F.length("payload") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first_id")).filter("n > 1 AND first_id IS NOT NULL")
-    joined = rows.join(groups.select("digest", "first_id"), "digest", "left")
+    large = rows.filter(F.length("payload") >= least)
+    groups = large.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first_id")).filter("n > 1 AND first_id IS NOT NULL")
+    small = rows.filter(F.length("payload") < least).withColumn("first_id", F.lit(None).cast("long"))
+    joined = large.join(groups.select("digest", "first_id"), "digest", "left").unionByName(small)
     revisit = F.coalesce(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
     ready = joined.select("page_id", "url", "payload", "digest", "first_id", revisit.alias("revisit"))
 
