@@ -80,14 +80,15 @@ def set_classes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 def frequency_sketch(classes: DataFrame) -> np.ndarray:
     """How many documents hold an n-gram of each bucket: 2**SKETCH_BITS numbers, the same size for any corpus."""
 
-    def add(pdf):
+    def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
-        for c in pdf["counts"]:
-            total += np.frombuffer(zstandard.decompress(c), "<u2")
-        return pdf.head(1)[["chunk"]].assign(counts=[np.minimum(total, 2**32 - 1).astype("<u4").tobytes()])
+        for c in rows.column("counts"):
+            total += np.frombuffer(zstandard.decompress(c.as_py()), "<u2")
+        counts = pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())
+        return pa.table([rows.column("chunk").slice(0, 1), counts], ["chunk", "counts"])
 
     sums = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for r in classes.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
+    for r in classes.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
         sums[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<u4")
     return sums
 
