@@ -31,9 +31,9 @@ def overlap_join(left: DataFrame, right: DataFrame, by: str = "chrom", start: st
     left keeps left rows without partner, semi and anti keep left rows only.
     """
     if how == "semi" or how == "anti":
-        keyed = left.withColumn("_row", F.monotonically_increasing_id())
-        met = overlap_join(keyed.select(by, start, end, "_row"), right.select(by, start, end), by, start, end, pad, width).select("_row").distinct()
-        return keyed.join(met, "_row", f"left_{how}").drop("_row")
+        # Rows with one interval share their fate, so intervals are the key.
+        met = overlap_join(left.select(by, start, end).distinct(), right.select(by, start, end), by, start, end, pad, width).select(by, start, end).distinct()
+        return left.join(met, [by, start, end], f"left_{how}").select(*left.columns)
     low, high = F.col(start) - pad, F.col(end) + pad
     cut = lambda a, b: F.sequence(F.floor(a / width), F.floor(F.greatest(b - 1, a) / width))
     l = left.withColumn("_first", F.floor(low / width)).withColumn("_cell", F.explode(cut(low, high)))  # noqa: E741
@@ -74,12 +74,28 @@ def count_overlaps(left: DataFrame, right: DataFrame, key: str, by: str = "chrom
     return left.join(found, key, "left").withColumn("n_overlaps", F.coalesce("n_overlaps", F.lit(0)))
 
 
-def islands(df: DataFrame, by: str = "chrom", start: str = "start", end: str = "end", gap: float = 0, key: str | None = None) -> DataFrame:
-    """Adds ``island``: rows of one ``by`` in order of start belong together while a start is less than ``gap`` after
-    the end of the row before."""
-    order = W.partitionBy(by).orderBy(start, end, *([key] if key else []))
-    new = F.coalesce((F.col(start) - F.lag(end).over(order) >= gap).cast("int"), F.lit(1))
-    return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+def islands(df: DataFrame, by: str = "chrom", start: str = "start", end: str = "end", gap: float = 0, key: str | None = None, width: int = 1 << 20) -> DataFrame:
+    """Adds ``island``, from 1 in each ``by``: a row that starts ``gap`` or more behind the end of the row before it opens one.
+
+    Order is (start, end, key). Rows are dealt by cells of ``width``, so a hot ``by`` is spread; what a cell takes over
+    from those before it (the last end, the islands so far) comes from one row a cell.
+    """
+    order, cells = [start, end, *([key] if key else [])], W.partitionBy("_by").orderBy("_at")
+    keyed = df.withColumns({"_by": F.col(by), "_at": F.floor(F.col(start) / width)})
+    inside = W.partitionBy("_by", "_at").orderBy(*order)
+
+    def with_cells(rows: DataFrame, per_cell: DataFrame) -> DataFrame:
+        c = per_cell.withColumnsRenamed({"_by": "_cby", "_at": "_cat"})
+        return rows.join(c, F.col("_by").eqNullSafe(F.col("_cby")) & F.col("_at").eqNullSafe(F.col("_cat")), "left").drop("_cby", "_cat")
+
+    lasts = keyed.groupBy("_by", "_at").agg(F.max_by(end, F.struct(*order)).alias("_end"))
+    carried = with_cells(keyed, lasts.select("_by", "_at", F.lag("_end").over(cells).alias("_before")))
+    previous = F.when(F.row_number().over(inside) == 1, F.col("_before")).otherwise(F.lag(end).over(inside))
+    marked = carried.withColumn("_new", F.coalesce((F.col(start) - previous >= gap).cast("int"), F.lit(1))).drop("_before")
+    counts = marked.groupBy("_by", "_at").agg(F.sum("_new").alias("_n"))
+    so_far = F.coalesce(F.sum("_n").over(cells.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    based = with_cells(marked, counts.select("_by", "_at", so_far.alias("_base")))
+    return based.withColumn("island", F.col("_base") + F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0))).drop("_by", "_at", "_new", "_base")
 
 
 def first_of_island(df: DataFrame, by: str = "chrom", start: str = "start", end: str = "end", gap: float = 0, key: str | None = None) -> DataFrame:
@@ -119,6 +135,8 @@ def linked_groups(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int
     if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
         import tempfile
 
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise GuardError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
     for done in count():
         if done == most_rounds:

@@ -100,14 +100,37 @@ def calibration_error(df: DataFrame, probability: str, outcome: str, by: Sequenc
     return _grouped(each, by, (F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n")).alias("ece"))
 
 
+#: Ranges of the scores between the least and the greatest, for the two-level running sums.
+SCORE_RANGES = 4096
+
+
 def score_table(df: DataFrame, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row a distinct score: pos, neg, those at a higher score, totals. NULL scores are left out."""
+    """One row a distinct score: pos, neg, those at a higher score, totals. NULL scores are left out.
+
+    Running sums go over ranges of the score first and then inside each range, so that no task holds all scores of a
+    group, unless they all fall into one of ``SCORE_RANGES`` equal ranges."""
     flag = F.coalesce(F.col(positive).cast("boolean"), F.lit(False))
-    at = df.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.count_if(flag).alias("pos"), F.count_if(~flag).alias("neg"))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    above = w.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, -1)
-    total = lambda c: F.sum(c).over(w)
-    return at.select(*by, "score", "pos", "neg", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("pos", "neg")], total("pos").alias("n_pos"), total("neg").alias("n_neg"))
+    keys = {f"_k{k}": F.col(c) for k, c in enumerate(by)} or {"_k0": F.lit(0)}
+    known = df.filter(F.col(score).isNotNull()).withColumns(keys)
+    at = known.groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(flag).alias("pos"), F.count_if(~flag).alias("neg"))
+    ends = at.groupBy(*keys).agg(F.min("score").cast("double").alias("_low"), F.max("score").cast("double").alias("_high"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+
+    def joined(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+        other = right.withColumnsRenamed({k: f"_o{k}" for k in on})
+        test = F.lit(True)
+        for k in on:
+            test = test & F.col(k).eqNullSafe(F.col(f"_o{k}"))
+        return left.join(other, test).drop(*[f"_o{k}" for k in on])
+
+    share = F.nanvl(F.coalesce(F.try_divide(F.col("score") - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(1.0)), F.lit(1.0))
+    ranged = joined(at, ends, *keys).withColumn("_range", F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * SCORE_RANGES)).drop("_low", "_high")
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    before = W.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select(*keys, "_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_base") for c in ("pos", "neg")])
+    above = W.partitionBy(*keys, "_range").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, -1)
+    table = joined(ranged, base, *keys, "_range")
+    sides = [(F.col(f"_{c}_base") + F.coalesce(F.sum(c).over(above), F.lit(0))).alias(f"{c}_above") for c in ("pos", "neg")]
+    return table.select(*[F.col(f"_k{k}").alias(c) for k, c in enumerate(by)], "score", "pos", "neg", *sides, "n_pos", "n_neg")
 
 
 def roc_auc(df: DataFrame, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:

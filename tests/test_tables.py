@@ -276,6 +276,30 @@ def test_measured_reads_one_by_one():
     assert at(left + "CAG" * 7 + right, 560) is None  # aligned far from the locus
 
 
+def test_islands_over_cells(spark):
+    rows = [(k, None if k % 11 == 0 else "ab"[k % 2], None if k % 17 == 0 else (k * 37) % 500, (k * 37) % 500 + 5 + k % 9) for k in range(120)]
+    df = frame(spark, "id int, chrom string, start long, end long", rows)
+    got = {r.id: r.island for r in intervals.islands(df, gap=3, key="id", width=16).collect()}
+    want, last = {}, {}
+    for i, c, a, b in sorted(rows, key=lambda r: (str(r[1]), r[2] is not None, r[2] or 0, r[3], r[0])):
+        end, n = last.get(c, (None, 0))
+        n += end is None or a is None or a - end >= 3
+        want[i], last[c] = n, (b, n)
+    assert got == want
+    assert intervals.islands(df.limit(0)).count() == 0
+
+
+def test_scores_over_ranges(spark):
+    rows = [("a", s, k % 3 == 0) for k, s in enumerate([0.1, 0.5, 0.5, 0.9, float("inf"), 3.0, -2.0, 0.1, None])] + [(None, 1.0, True), (None, 1.0, False), ("c", 7.0, True)]
+    table = metrics.score_table(frame(spark, "g string, s double, y boolean", rows), "s", "y", ["g"]).collect()
+    for r in table:
+        own = [(s, y) for g, s, y in rows if g == r.g and s is not None]
+        assert (r.pos, r.neg) == tuple(sum(s == r.score and y is want for s, y in own) for want in (True, False))
+        assert (r.pos_above, r.neg_above) == tuple(sum(s > r.score and y is want for s, y in own) for want in (True, False))
+        assert (r.n_pos, r.n_neg) == tuple(sum(y is want for _, y in own) for want in (True, False))
+    assert len(table) == len({(g, s) for g, s, _ in rows if s is not None})
+
+
 def test_quota_level_with_equal_cells(spark):
     level = sampling.quota_level(frame(spark, "n long", [(20,), (20,), (20,)]), 40).first().level
     assert level == 13
