@@ -9,7 +9,8 @@ triggers. Equal phrases are one entry of the dictionary, which a document is com
    whole. A trigger with two different phrases is left open, as the phrases may still share strings.
 2. The open phrases meet in buckets; their suffixes are sorted to the depth of ``length`` bytes, and equal neighbours
    in that order are the strings that documents share. A trigger with very many phrases (say, the edge of a passage
-   that a third of all documents quote) sends the hashes of its strings instead, which spread over all buckets.
+   that a third of all documents quote) sends the hashes of its strings instead, which spread over all buckets. A task
+   that holds that many phrases of a trigger itself sends one of them to the trigger's bucket, as a mark.
 3. Each document marks the strings found and drops the bytes they cover.
 
 Only packed arrays are shuffled: per task and bucket one row. Equal phrases and strings of a task are combined before
@@ -176,6 +177,18 @@ def _sorted_groups(bucket: np.ndarray):
         yield int(bucket[order[a]]), order[a:b]
 
 
+def crowded(trigger: np.ndarray, phrase: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the entries ``at`` meet in their trigger's bucket, and which have a trigger of over ``most`` phrases
+    here: of those one a trigger is among the former too. ``at`` is in order of trigger, then phrase."""
+    t, p = trigger[at], phrase[at]
+    new = np.ones(len(at), bool)
+    new[1:] = t[1:] != t[:-1]
+    other = new.copy()
+    other[1:] |= p[1:] != p[:-1]
+    many = (np.bincount(np.cumsum(new) - 1, weights=other) > most)[np.cumsum(new) - 1]
+    return at[~many | new], at[many]
+
+
 _ENTRY = (np.int64, np.int64, np.uint32, np.uint32, np.uint16, np.int64, np.int64)
 
 
@@ -187,7 +200,12 @@ def trigger_rows(docs: DataFrame, how: Parsing, buckets: int) -> DataFrame:
         doc, code, trigger, phrase = (np.concatenate(x) for x in zip(*held, strict=True))
         order, _, low = first_holders([phrase, trigger], doc)
         known = order[doc[order] > low]
-        entry = np.sort(order[doc[order] == low])
+        least = order[doc[order] == low]
+        entry, rest = crowded(trigger, phrase, least, MANY_PHRASES)
+        mark = np.zeros(len(doc), bool)
+        mark[rest] = True
+        code = np.where(mark, ~code, code)  # below zero: its trigger has many phrases
+        known, entry = np.concatenate([known, rest[~np.isin(rest, entry)]]), np.sort(entry)
         bucket = (trigger[entry] >> np.uint64(32)).astype(np.int64) % buckets
         on = {b: known[at] for b, at in _sorted_groups(doc[known] % buckets)}
         numbers, payloads = [], []
@@ -233,18 +251,21 @@ def phrases_met(rows: DataFrame) -> DataFrame:
         doc, code, trigger, p32, p16, known_doc, known_code = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         phrase = p32.astype(np.uint64) | (p16.astype(np.uint64) << np.uint64(32))
+        marked, code = code < 0, np.where(code < 0, ~code, code)
         order, new, low = first_holders([phrase, trigger], doc)
         d, t = doc[order], trigger[order]
         group = np.cumsum(np.concatenate([[True], t[1:] != t[:-1]])) - 1 if len(t) else t
-        several = np.bincount(group, weights=new).astype(np.int64) if len(t) else t
+        several = np.bincount(group, weights=new + marked[order] * (MANY_PHRASES + 1)).astype(np.int64) if len(t) else t
         kind = np.where(d > low, COVERED, np.where(several[group] > MANY_PHRASES, MANY, OPEN)) if len(t) else t
         lowest = np.full(len(several), np.iinfo(np.int64).max)
         highest = np.full(len(several), np.iinfo(np.int64).min)
         np.minimum.at(lowest, group, d)
         np.maximum.at(highest, group, d)
-        keep = (d > low) | ((several[group] > 1) & (lowest[group] != highest[group])) if len(t) else np.zeros(0, bool)
-        ones = np.zeros(len(known_doc), np.int64)
-        return _found(np.concatenate([d[keep], known_doc]), np.concatenate([code[order][keep], known_code]), np.concatenate([kind[keep], ones + COVERED]), np.zeros(int(keep.sum()) + len(ones), np.int64))
+        alone = (lowest == highest) & (np.bincount(group, weights=marked[order]) == 0) if len(t) else t  # in one document
+        keep = (d > low) | ((several[group] > 1) & ~alone[group]) if len(t) else np.zeros(0, bool)
+        known_kind = np.where(known_code < 0, MANY, COVERED)
+        known_code = np.where(known_code < 0, ~known_code, known_code)
+        return _found(np.concatenate([d[keep], known_doc]), np.concatenate([code[order][keep], known_code]), np.concatenate([kind[keep], known_kind]), np.zeros(int(keep.sum()) + len(known_doc), np.int64))
 
     return rows.groupBy("bucket").applyInArrow(meet, FOUND)
 

@@ -377,7 +377,7 @@ def test_mixing(spark, docs, rows, empty):
 # Suffix deduplication
 
 
-@pytest.mark.parametrize("many", [0, 64])
+@pytest.mark.parametrize("many", [0, 2, 64])
 def test_repeated_bytes(spark, docs, rows, empty, many, monkeypatch):
     monkeypatch.setattr(suffix, "MANY_PHRASES", many)
     got = suffix.repeated_bytes(docs, keep=("source",)).collect()
@@ -388,6 +388,27 @@ def test_repeated_bytes(spark, docs, rows, empty, many, monkeypatch):
     assert suffix.repeated_bytes(empty).count() == 0
 
 
+def test_a_trigger_with_many_phrases_sends_one_a_task_to_its_bucket():
+    trigger = np.array([1] * 3 + [2] * 500 + [3] * 200, np.uint64)
+    phrase = np.array([7, 8, 9, *range(500), *[5] * 200], np.uint64)
+    meet, many = suffix.crowded(trigger, phrase, np.arange(703), 64)
+    assert meet.tolist() == [0, 1, 2, 3, *range(503, 703)] and many.tolist() == list(range(3, 503))
+    assert [len(x) for x in suffix.crowded(trigger[:0], phrase[:0], np.arange(0), 64)] == [0, 0]
+
+
+def test_passages_with_many_neighbours(spark, monkeypatch):
+    """One passage in all documents, each with other bytes round it: all phrases at its edges differ."""
+    rnd = np.random.default_rng(3)
+    word = lambda n: "".join(map(chr, rnd.integers(97, 123, n)))
+    passage = word(120)
+    rows = [(k, word(40) + passage + word(40), "en", "a", 200) for k in range(300)]
+    for many in (8, 64):
+        monkeypatch.setattr(suffix, "MANY_PHRASES", many)
+        got = suffix.repeated_bytes(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)).collect()
+        want = without_repeats(rows)
+        assert {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans) // 2, hashlib.sha256(r.kept).hexdigest()) for r in got} == want
+
+
 def test_long_texts_are_cut_into_segments_alike(monkeypatch):
     rnd = np.random.default_rng(5)
     data = rnd.integers(97, 101, 6000).astype(np.uint8)
