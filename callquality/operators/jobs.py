@@ -10,12 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callquality.functions.exprs import bin_index, col, difference_bin, numeric, unit_category
-from callquality.operators.categories import corrected_categories, drop_ledger
+from callquality.operators.categories import VERDICTS, corrected_categories, drop_ledger, entities_off, truth_verdicts
 from callquality.operators.compare import feature_changes, group_sums, paired_comparison
-from callquality.operators.joins import difference_summary, first_per_key, only_keys_of, replace_groups, variant_rows
+from callquality.operators.joins import GuardError, difference_summary, first_per_key, only_keys_of, replace_groups, variant_rows
 from callquality.operators.metrics import gated_errors
+from callquality.operators.reads import flank_table, measure_reads
 from callquality.operators.sampling import cap_per_class, cap_rows
-from callquality.sources.io import require_contract
+from callquality.sources.io import marked, require_contract
 
 #: Called sizes that bound the quota cells.
 QUOTA_SIZE_EDGES = (0, 20, 40, 60, 100, 150, 300)
@@ -122,3 +123,51 @@ def ranking_gap(ranking: DataFrame, contract: DataFrame, name: str, counts: tupl
         return found
     both = ranking.select(name, F.col(counts[0]).alias("_a")).join(contract.select(name, F.col(counts[1]).alias("_b")), name)
     return found.unionByName(both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(name, F.lit("counted").alias("change")).distinct())
+
+
+#: Verdict of a locus whose flanks are not unique, so that no read measures it.
+NOT_UNIQUE = "flanks_not_unique"
+
+
+def measured_people(reads: DataFrame, loci: DataFrame, wanted: DataFrame, person: str = "person_id", entity: str = "locus_id") -> tuple[DataFrame, DataFrame]:
+    """(measures, unmeasurable): the wanted (person, locus)s measured in that person's reads, and those whose flanks are
+    not unique. The person goes into the partition, so that reads meet their own person's loci only."""
+    sep = "\t"
+    flanked = flank_table(loci.withColumnRenamed(entity, "locus_id"))
+    own = wanted.select(person, F.col(entity).alias("locus_id")).distinct().join(flanked, "locus_id")
+    inside = lambda df: df.withColumn("chrom", F.concat_ws(sep, F.col(person).cast("string"), "chrom"))
+    fine = inside(own.filter("has_unique_flanks")).withColumn("locus_id", F.concat_ws(sep, F.col(person).cast("string"), F.col("locus_id").cast("string")))
+    found = measure_reads(inside(reads), fine.select(*loci.withColumnRenamed(entity, "locus_id").columns))
+    parts = F.split("locus_id", sep, 2)
+    kinds = {person: wanted.schema[person].dataType, entity: wanted.schema[entity].dataType}
+    measures = found.select(*[F.get(parts, F.lit(k)).cast(t).alias(c) for k, (c, t) in enumerate(kinds.items())], *[c for c in found.columns if c != "locus_id"])
+    return measures, own.filter(~F.coalesce("has_unique_flanks", F.lit(False))).select(person, F.col("locus_id").alias(entity))
+
+
+def marked_by_reads(
+    rows: DataFrame, measures: DataFrame, unmeasurable: DataFrame | None = None, person: str = "person_id", entity: str = "locus_id", source: str | None = None,
+    code: str = "dir_code", truth: str = "truth", unit: str = "unit", column: str = "truth_contradicted",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, judgments, ledger) of a mark run over all people and sources in one plan.
+
+    Every (person, locus) with a call off its truth in any source is judged from that person's reads; ``rows`` come back
+    with ``column`` set where the truth is contradicted and false elsewhere; the ledger counts judgments by person.
+    GuardError if two sources have different truths for one of them. Loci without reads have too few; a truth or unit that
+    is NULL throughout gives no contradiction.
+    """
+    key = [person, entity]
+    wanted = only_keys_of(rows, entities_off(rows, key, code), key)
+    ends = [F.min(truth).alias("short"), F.max(truth).alias("long"), F.max(unit).alias("unit")]
+    if source is not None:
+        by_source = wanted.groupBy(*key, source).agg(*ends).groupBy(*key).agg(F.count_distinct(F.struct("short", "long")).alias("_n"))
+        if (worst := by_source.filter("_n > 1").first()) is not None:
+            raise GuardError(f"sources differ in the truth of {worst[person]} {worst[entity]}")
+    both = F.struct(*key).alias("_key")
+    truths = wanted.groupBy(*key).agg(*ends).select(both, "short", "long", "unit")
+    judged = truth_verdicts(measures.select(both, *[c for c in measures.columns if c not in key]), truths, "_key")
+    if unmeasurable is not None:
+        judged = marked(judged, unmeasurable.select(both), "_key", "_no").withColumn("verdict", F.when(F.col("_no"), NOT_UNIQUE).otherwise(F.col("verdict"))).drop("_no")
+    bad = judged.filter(F.col("verdict").isin(*VERDICTS[1:3])).select("_key")
+    out = marked(rows.withColumn("_key", F.struct(*key)), bad, "_key", column).drop("_key")
+    judgments = judged.select("_key.*", *[c for c in judged.columns if c != "_key"])
+    return out, judgments, judgments.groupBy(person, "verdict").agg(F.count("*").alias("n"))

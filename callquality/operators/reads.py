@@ -160,9 +160,46 @@ def locus_summary(loci: DataFrame, reads: DataFrame, measures: DataFrame) -> Dat
     return loci.select("locus_id").join(counts, "locus_id", "left").join(packed, "locus_id", "left").na.fill(0).na.fill("")
 
 
+#: Fixed values of the read profile: flags left out (unmapped, secondary, failed, duplicate, supplementary), the longest
+#: fragment, the low base quality, and how cycles are binned.
+LEFT_OUT_FLAGS, LONGEST_FRAGMENT, LOW_QUALITY, CYCLE_BIN, LAST_CYCLE_BIN = 0xF04, 1500, 20, 30, 4
+
+
+def profiled_reads(reads: DataFrame) -> DataFrame:
+    """Paired reads with qualities that no flag leaves out, with ``length``."""
+    flag = F.col("flag")
+    fine = (flag.bitwiseAND(F.lit(LEFT_OUT_FLAGS)) == 0) & (flag.bitwiseAND(F.lit(1)) != 0) & (F.col("qual") != "*")
+    return reads.filter(fine).withColumn("length", F.length("seq"))
+
+
 def read_profile(reads: DataFrame) -> DataFrame:
-    """Most common read length, and the mean quality and number of reads of that length."""
+    """Most common read length (the shortest of equals), and the mean quality and number of reads of that length."""
     n = F.length("seq")
     mode = reads.groupBy(n.alias("length")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "length").limit(1)
     q = F.aggregate(F.transform(F.split("qual", ""), lambda c: F.ascii(c) - 33), F.lit(0), lambda a, x: a + x) / F.length("qual")
-    return reads.withColumn("length", n).join(mode, "length").groupBy("length").agg(F.count("*").alias("n_reads"), F.avg(q).alias("mean_quality"))
+    return reads.withColumn("length", n).join(F.broadcast(mode.select("length")), "length").groupBy("length").agg(F.count("*").alias("n_reads"), F.avg(q).alias("mean_quality"))
+
+
+def _modal_length(kept: DataFrame) -> DataFrame:
+    """The most common length, one row."""
+    return F.broadcast(kept.groupBy("length").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "length").limit(1).select(F.col("length").alias("_mode")))
+
+
+def fragment_lengths(reads: DataFrame) -> DataFrame:
+    """(fragment, n): how many properly paired first mates have that template length, from the most common read length up
+    to ``LONGEST_FRAGMENT``. A histogram in place of the list, so its size has a bound."""
+    kept = profiled_reads(reads)
+    flag, fragment = F.col("flag"), F.abs("tlen")
+    first = kept.filter((flag.bitwiseAND(F.lit(2)) != 0) & (flag.bitwiseAND(F.lit(64)) != 0)).select(fragment.alias("fragment"))
+    return first.join(_modal_length(kept), F.col("fragment") >= F.col("_mode")).filter(F.col("fragment").between(1, LONGEST_FRAGMENT)).groupBy("fragment").agg(F.count("*").alias("n"))
+
+
+def cycle_qualities(reads: DataFrame) -> DataFrame:
+    """(first_mate, cycle_bin, n, low_share, mean_quality) of the reads of the most common length, by cycle in sequencing
+    order (a reverse read's string is turned round)."""
+    kept = profiled_reads(reads)
+    text = F.when(F.col("flag").bitwiseAND(F.lit(16)) != 0, F.reverse("qual")).otherwise(F.col("qual"))
+    each = kept.join(_modal_length(kept), F.col("length") == F.col("_mode")).select((F.col("flag").bitwiseAND(F.lit(64)) != 0).alias("first_mate"), F.posexplode(F.split(text, "")).alias("cycle", "c"))
+    q = F.ascii("c") - 33
+    at = F.least(F.floor(F.col("cycle") / CYCLE_BIN), F.lit(LAST_CYCLE_BIN)).cast("int")
+    return each.filter("c <> ''").groupBy("first_mate", at.alias("cycle_bin")).agg(F.count("*").alias("n"), F.avg((q < LOW_QUALITY).cast("double")).alias("low_share"), F.avg(q).alias("mean_quality"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from callquality.functions import exprs as E
 from callquality.functions import motifs as M
 from callquality.functions import parse as P
-from callquality.operators import categories, compare, intervals, jobs, joins, metrics, sampling, splits
+from callquality.operators import categories, compare, evaluation, intervals, jobs, joins, metrics, reads, sampling, splits
 from callquality.plans.driver_queries import _CATEGORY, _SPANS, _UNIT, _WINDOWS, WITH, _spans, _windows, calls, query, r6, rounded, table
-from callquality.sources import io
+from callquality.sources import io, models
 
 def n_rows():
     return F.count("*").alias("n")
@@ -443,3 +443,94 @@ def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_FOLDED} SELECT sample_id, round(avg(CASE WHEN p_ok < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS share_below_half FROM e GROUP BY ALL")
 def early_warning_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.early_warning(_folded(spark, sf_dir), "sample_id", {"all": F.lit(True)})[0].select("sample_id", "share_below_half"))
+
+
+# Mark run, read profile, metric sink, model documents
+
+#: Every call gives four reads of its person at its entity, near the truth or, for a third of the people, far from it.
+_MARKED = f"""{WITH}, rows AS (SELECT person_id, locus_id % 200 AS locus_id, rk, dir_code, CAST(20 AS DOUBLE) AS truth, 3 AS unit FROM calls),
+  m AS (SELECT person_id, locus_id % 200 AS locus_id, CAST((20 + CASE WHEN person_id % 3 = 0 AND locus_id % 2 = 0 THEN 6 ELSE 0 END) * 3 + k AS BIGINT) AS length, 45 + motif_size AS mapq FROM calls, (SELECT CAST(range AS INT) AS k FROM range(4)) x),
+  w AS (SELECT DISTINCT person_id, locus_id FROM rows WHERE dir_code <> 0), j AS (SELECT w.person_id, w.locus_id, floor(length / 3) AS v FROM w JOIN m USING (person_id, locus_id)),
+  c AS (SELECT person_id, locus_id, max(n) AS cluster FROM (SELECT person_id, locus_id, v + d AS center, count(*) AS n FROM j, (VALUES (-1), (0), (1)) z(d) WHERE abs(v - 20) >= 2 GROUP BY ALL) GROUP BY ALL),
+  a AS (SELECT w.*, count(v) AS n FROM w LEFT JOIN j USING (person_id, locus_id) GROUP BY ALL),
+  judged AS (SELECT a.person_id, a.locus_id, CASE WHEN n < 10 THEN 'too_few_reads' WHEN coalesce(cluster, 0) >= 4 AND cluster >= 0.25 * n THEN 'contradicted_by_spanning' ELSE 'not_contradicted' END AS verdict FROM a LEFT JOIN c USING (person_id, locus_id))"""
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    df = calls(spark, sf_dir).withColumn("locus_id", F.col("locus_id") % 200)
+    rows = df.select("person_id", "locus_id", "rk", "dir_code", F.lit(20.0).alias("truth"), F.lit(3).alias("unit"))
+    far = F.when((F.col("person_id") % 3 == 0) & (F.col("locus_id") % 2 == 0), 6).otherwise(0)
+    made = df.select("person_id", "locus_id", F.lit("spanning").alias("kind"), ((20 + far) * 3).alias("at"), (45 + F.col("motif_size")).cast("int").alias("mapq"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    made = made.withColumns({"length": (F.col("at") + F.col("k")).cast("long"), "quality": F.lit(30), "strand": F.lit("+")}).drop("at", "k")
+    return jobs.marked_by_reads(rows, made)
+
+
+@query(f"{_MARKED} SELECT rk, coalesce(verdict = 'contradicted_by_spanning', false) AS truth_contradicted FROM rows LEFT JOIN judged USING (person_id, locus_id)")
+def marked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked(spark, sf_dir)[0].select("rk", "truth_contradicted")
+
+
+@query(f"{_MARKED} SELECT person_id, verdict, count(*) AS n FROM judged GROUP BY ALL")
+def mark_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _marked(spark, sf_dir)[2]
+
+
+_MATED = "SELECT l_orderkey AS name, CASE WHEN l_linenumber % 2 = 1 THEN 64 ELSE 128 END + 1 + CASE WHEN l_partkey % 5 > 0 THEN 2 ELSE 0 END + CASE WHEN l_suppkey % 2 = 0 THEN 16 ELSE 0 END + CASE WHEN l_partkey % 11 = 0 THEN 1024 ELSE 0 END AS flag, CASE WHEN l_suppkey % 3 = 0 THEN 'ACGTACGT' ELSE repeat('ACGTG', 12) END AS seq, CAST((l_partkey * 7) % 2000 AS BIGINT) - 250 AS tlen, CASE WHEN l_suppkey % 3 = 0 THEN 'FFFF####' ELSE repeat(CASE WHEN l_partkey % 4 = 0 THEN '+' ELSE '5' END, 25) || repeat('F', 35) END AS qual FROM lineitem"
+_PROFILED = f"WITH r AS ({_MATED}), k AS (SELECT *, length(seq) AS len FROM r WHERE flag & 3844 = 0 AND flag & 1 <> 0), m AS (SELECT len AS mode FROM k GROUP BY len ORDER BY count(*) DESC, len LIMIT 1)"
+
+
+def _mated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    flag = F.when(line % 2 == 1, 64).otherwise(128) + 1 + F.when(part % 5 > 0, 2).otherwise(0) + F.when(supp % 2 == 0, 16).otherwise(0) + F.when(part % 11 == 0, 1024).otherwise(0)
+    short = supp % 3 == 0
+    qual = F.when(short, "FFFF####").otherwise(F.concat(F.when(part % 4 == 0, "+" * 25).otherwise("5" * 25), F.lit("F" * 35)))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("name"), flag.alias("flag"), F.when(short, "ACGTACGT").otherwise("ACGTG" * 12).alias("seq"), (part * 7 % 2000 - 250).cast("long").alias("tlen"), qual.alias("qual"))
+
+
+@query(f"{_PROFILED} SELECT abs(tlen) AS fragment, count(*) AS n FROM k, m WHERE flag & 66 = 66 AND abs(tlen) BETWEEN greatest(mode, 1) AND 1500 GROUP BY ALL")
+def fragment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.fragment_lengths(_mated(spark, sf_dir))
+
+
+@query(f"""{_PROFILED}, s AS (SELECT flag & 64 <> 0 AS first_mate, CASE WHEN flag & 16 <> 0 THEN reverse(qual) ELSE qual END AS q, len FROM k, m WHERE len = mode),
+  c AS (SELECT first_mate, least(i // 30, 4) AS cycle_bin, ascii(q[i + 1]) - 33 AS v FROM s, (SELECT CAST(range AS INT) AS i FROM range(60)) x WHERE i < len)
+  SELECT first_mate, cycle_bin, count(*) AS n, round(avg(CASE WHEN v < 20 THEN 1.0 ELSE 0.0 END), 6) AS low_share, round(avg(v), 6) AS mean_quality FROM c GROUP BY ALL""")
+def cycle_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reads.cycle_qualities(_mated(spark, sf_dir)))
+
+
+@query(f"""{WITH}, g AS (SELECT regime, count(*) AS n, avg(abs(truth - called)) AS mae_raw, count_if(dir_code = 0) AS fine FROM calls GROUP BY regime)
+  SELECT 'errors' AS part, regime AS item, metric, round(value, 6) AS value FROM (SELECT regime, unnest(['n', 'mae_raw', 'fine']) AS metric, unnest([CAST(n AS DOUBLE), mae_raw, CAST(fine AS DOUBLE)]) AS value FROM g)""")
+def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = calls(spark, sf_dir).groupBy("regime").agg(n_rows(), F.avg(F.abs(F.col("truth") - F.col("called"))).alias("mae_raw"), F.count_if(F.col("dir_code") == 0).alias("fine"))
+    return rounded(evaluation.long_metrics(found, "errors", ["regime"]))
+
+
+_STUMPS = """WITH s AS (SELECT l_returnflag AS regime, CASE WHEN l_suppkey % 4 = 0 THEN 'size' ELSE 'direction' END AS head, l_linenumber - 1 AS iter, CASE WHEN l_suppkey % 4 = 0 THEN 0 ELSE l_suppkey % 4 - 1 END AS class, max(l_quantity) AS cut, min(l_discount) AS low, max(l_tax) AS high FROM lineitem GROUP BY ALL),
+  b AS (SELECT DISTINCT regime, head, class FROM s)"""
+
+
+def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A stump a (regime, head, line, class), with thresholds and leaves from the lines."""
+    of = F.col("l_suppkey") % 4
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("regime"), F.when(of == 0, "size").otherwise("direction").alias("head"), (F.col("l_linenumber") - 1).cast("int").alias("iter"), F.when(of == 0, 0).otherwise(of - 1).cast("int").alias("class"))
+    s = s.agg(F.max("l_quantity").cast("double").alias("cut"), F.min("l_discount").cast("double").alias("low"), F.max("l_tax").cast("double").alias("high"))
+    none = lambda kind: F.lit(None).cast(kind)
+    split = F.struct(F.lit(0).alias("node_id"), F.lit(False).alias("is_leaf"), none("double").alias("value"), F.lit(1).alias("feature"), F.col("cut").alias("threshold"), F.lit(True).alias("missing_left"), F.lit(1).alias("left"), F.lit(2).alias("right"))
+    leaf = lambda k, v: F.struct(F.lit(k).alias("node_id"), F.lit(True).alias("is_leaf"), F.col(v).alias("value"), none("int").alias("feature"), none("double").alias("threshold"), none("boolean").alias("missing_left"), none("int").alias("left"), none("int").alias("right"))
+    grown = s.select("regime", "head", "iter", "class", F.explode(F.array(split, leaf(1, "low"), leaf(2, "high"))).alias("_n")).select("regime", "head", "iter", "class", "_n.*")
+    base = s.select("regime", "head", F.lit(-1).alias("iter"), "class", F.lit(0).alias("node_id"), F.lit(True).alias("is_leaf"), (F.col("class") + 0.5).cast("double").alias("value")).distinct()
+    knots = s.filter("head = 'direction' AND class < 2").select("regime", "class", F.col("iter").alias("i"), (F.col("iter") / 10).alias("x"), F.col("high").alias("y"))
+    return grown.unionByName(base, allowMissingColumns=True), knots
+
+
+@query(f"""{_STUMPS} SELECT regime, head, iter, class, n.k AS node_id, n.k > 0 AS is_leaf, CASE n.k WHEN 1 THEN low WHEN 2 THEN high END AS value, CASE WHEN n.k = 0 THEN 1 END AS feature, CASE WHEN n.k = 0 THEN cut END AS threshold, CASE WHEN n.k = 0 THEN true END AS missing_left,
+    CASE WHEN n.k = 0 THEN 1 END AS "left", CASE WHEN n.k = 0 THEN 2 END AS "right" FROM s, (VALUES (0), (1), (2)) n(k) UNION ALL SELECT regime, head, -1, class, 0, true, class + 0.5, NULL, NULL, NULL, NULL, NULL FROM b""")
+def model_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of a model after its documents were written and read."""
+    return models.model_tables(models.model_documents(*_model(spark, sf_dir)))[0]
+
+
+@query(f"{_STUMPS} SELECT regime, class, iter AS i, iter / 10 AS x, high AS y FROM s WHERE head = 'direction' AND class < 2")
+def model_knots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.model_tables(models.model_documents(*_model(spark, sf_dir)))[1]
