@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 
 from callquality.operators.joins import GuardError
 
+#: Cells that the rows of a partition key are dealt to, for neighbours in position.
+CELL_WIDTH = 1 << 20
+
 
 def inside_disjoint(points: DataFrame, regions: DataFrame, by: str = "chrom", start: str = "start", end: str = "end", out: str = "inside", width: int = 1 << 16) -> DataFrame:
     """Adds whether a row's interval lies in the last of the disjoint regions that starts at or before its start.
@@ -74,33 +78,45 @@ def count_overlaps(left: DataFrame, right: DataFrame, key: str, by: str = "chrom
     return left.join(found, key, "left").withColumn("n_overlaps", F.coalesce("n_overlaps", F.lit(0)))
 
 
-def islands(df: DataFrame, by: str = "chrom", start: str = "start", end: str = "end", gap: float = 0, key: str | None = None, width: int = 1 << 20) -> DataFrame:
+def _with_cells(rows: DataFrame, per_cell: DataFrame) -> DataFrame:
+    c = per_cell.withColumnsRenamed({"_by": "_cby", "_at": "_cat"})
+    return rows.join(c, F.col("_by").eqNullSafe(F.col("_cby")) & F.col("_at").eqNullSafe(F.col("_cat")), "left").drop("_cby", "_cat")
+
+
+def _dealt(df: DataFrame, by: str, start: str, width: int) -> DataFrame:
+    """Adds the cell (_by, _at) of each row."""
+    return df.withColumns({"_by": F.col(by), "_at": F.floor(F.col(start) / width)})
+
+
+def _with_previous(dealt: DataFrame, value: Column, order: Sequence[str], name: str) -> DataFrame:
+    """Adds the value of the row before within ``_by``: inside the cell, or the last of the cell with rows before it."""
+    cells, inside = W.partitionBy("_by").orderBy("_at"), W.partitionBy("_by", "_at").orderBy(*order)
+    lasts = dealt.groupBy("_by", "_at").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    carried = _with_cells(dealt, lasts.select("_by", "_at", F.lag("_last").over(cells).alias("_before")))
+    return carried.withColumn(name, F.when(F.row_number().over(inside) == 1, F.col("_before")).otherwise(F.lag(value).over(inside))).drop("_before")
+
+
+def islands(df: DataFrame, by: str = "chrom", start: str = "start", end: str = "end", gap: float = 0, key: str | None = None, width: int = CELL_WIDTH) -> DataFrame:
     """Adds ``island``, from 1 in each ``by``: a row that starts ``gap`` or more behind the end of the row before it opens one.
 
     Order is (start, end, key). Rows are dealt by cells of ``width``, so a hot ``by`` is spread; what a cell takes over
     from those before it (the last end, the islands so far) comes from one row a cell.
     """
     order, cells = [start, end, *([key] if key else [])], W.partitionBy("_by").orderBy("_at")
-    keyed = df.withColumns({"_by": F.col(by), "_at": F.floor(F.col(start) / width)})
-    inside = W.partitionBy("_by", "_at").orderBy(*order)
-
-    def with_cells(rows: DataFrame, per_cell: DataFrame) -> DataFrame:
-        c = per_cell.withColumnsRenamed({"_by": "_cby", "_at": "_cat"})
-        return rows.join(c, F.col("_by").eqNullSafe(F.col("_cby")) & F.col("_at").eqNullSafe(F.col("_cat")), "left").drop("_cby", "_cat")
-
-    lasts = keyed.groupBy("_by", "_at").agg(F.max_by(end, F.struct(*order)).alias("_end"))
-    carried = with_cells(keyed, lasts.select("_by", "_at", F.lag("_end").over(cells).alias("_before")))
-    previous = F.when(F.row_number().over(inside) == 1, F.col("_before")).otherwise(F.lag(end).over(inside))
-    marked = carried.withColumn("_new", F.coalesce((F.col(start) - previous >= gap).cast("int"), F.lit(1))).drop("_before")
+    told = _with_previous(_dealt(df, by, start, width), F.col(end), order, "_previous")
+    marked = told.withColumn("_new", F.coalesce((F.col(start) - F.col("_previous") >= gap).cast("int"), F.lit(1))).drop("_previous")
     counts = marked.groupBy("_by", "_at").agg(F.sum("_new").alias("_n"))
     so_far = F.coalesce(F.sum("_n").over(cells.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    based = with_cells(marked, counts.select("_by", "_at", so_far.alias("_base")))
+    based = _with_cells(marked, counts.select("_by", "_at", so_far.alias("_base")))
+    inside = W.partitionBy("_by", "_at").orderBy(*order)
     return based.withColumn("island", F.col("_base") + F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0))).drop("_by", "_at", "_new", "_base")
 
 
 def first_of_island(df: DataFrame, by: str = "chrom", start: str = "start", end: str = "end", gap: float = 0, key: str | None = None) -> DataFrame:
-    order = W.partitionBy(by, "island").orderBy(start, end, *([key] if key else []))
-    return islands(df, by, start, end, gap, key).withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
+    """The first row of each island, found by a partial aggregation, so that a long island needs no task of its own."""
+    told = islands(df, by, start, end, gap, key)
+    first = F.min_by(F.struct(*told.columns), F.struct(start, end, *([key] if key else [])))
+    return told.groupBy(F.col(by).alias("_by"), F.col("island").alias("_island")).agg(first.alias("_row")).select("_row.*")
 
 
 def padded_regions(df: DataFrame, pad: int, start: str = "start", end: str = "end") -> DataFrame:
@@ -151,10 +167,12 @@ def linked_groups(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int
     return nodes.join(labels.withColumnsRenamed({"node": key, "label": "group"}), key, "left")
 
 
-def proximity_edges(df: DataFrame, key: str, by: str = "chrom", start: str = "start", end: str = "end", gap: float = 0, same: str | None = None) -> DataFrame:
-    """Edges between neighbours in position closer than ``gap``, and from each row to the smallest key with its ``same``."""
-    order = W.partitionBy(by).orderBy(start, end, key)
-    near = df.select(F.col(key).alias("a"), F.lag(key).over(order).alias("b"), (F.col(start) - F.lag(end).over(order)).alias("d")).filter(F.col("b").isNotNull() & (F.col("d") < gap)).select("a", "b")
+def proximity_edges(df: DataFrame, key: str, by: str = "chrom", start: str = "start", end: str = "end", gap: float = 0, same: str | None = None, width: int = CELL_WIDTH) -> DataFrame:
+    """Edges between neighbours in position closer than ``gap``, and from each row to the smallest key with its ``same``.
+
+    Rows are dealt by cells of ``width``, as in ``islands``."""
+    told = _with_previous(_dealt(df, by, start, width), F.struct(F.col(key).alias("b"), F.col(end).alias("end")), [start, end, key], "_previous")
+    near = told.filter(F.col("_previous")["b"].isNotNull() & (F.col(start) - F.col("_previous")["end"] < gap)).select(F.col(key).alias("a"), F.col("_previous")["b"].alias("b"))
     if same is None:
         return near
     first = df.groupBy(same).agg(F.min(key).alias("b"))

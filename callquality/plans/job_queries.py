@@ -399,6 +399,11 @@ def firsts_of_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.first_of_island(_spans(spark, sf_dir), gap=100, key="id").select("id", "chrom")
 
 
+@query(f"""WITH s AS ({_SPANS}), x AS (SELECT id AS a, lag(id) OVER w AS b, "start" - lag("end") OVER w AS d FROM s WINDOW w AS (PARTITION BY chrom ORDER BY "start", "end", id)) SELECT a, b FROM x WHERE b IS NOT NULL AND d < 100""")
+def near_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.proximity_edges(_spans(spark, sf_dir), "id", gap=100)
+
+
 @query("SELECT o_custkey, max_by(name, (dated, name)) AS latest FROM (SELECT o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'model' || o_orderkey ELSE 'model-' || strftime(o_orderdate, '%Y-%m-%d') || '-' || o_orderkey END AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS dated FROM orders) GROUP BY ALL")
 def latest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
@@ -524,11 +529,11 @@ def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return grown.unionByName(base, allowMissingColumns=True), knots
 
 
-@query(f"""{_STUMPS} SELECT regime, head, iter, class, n.k AS node_id, n.k > 0 AS is_leaf, CASE n.k WHEN 1 THEN low WHEN 2 THEN high END AS value, CASE WHEN n.k = 0 THEN 1 END AS feature, CASE WHEN n.k = 0 THEN cut END AS threshold, CASE WHEN n.k = 0 THEN true END AS missing_left,
+@query(f"""{_STUMPS} SELECT regime, head, iter, class, n.k AS node_id, n.k > 0 AS is_leaf, CASE n.k WHEN 1 THEN low WHEN 2 THEN high END AS value, CASE WHEN n.k = 0 THEN 1 END AS feature, CASE WHEN n.k = 0 THEN cut END AS threshold, CASE WHEN n.k = 0 THEN 1 END AS missing_left,
     CASE WHEN n.k = 0 THEN 1 END AS "left", CASE WHEN n.k = 0 THEN 2 END AS "right" FROM s, (VALUES (0), (1), (2)) n(k) UNION ALL SELECT regime, head, -1, class, 0, true, class + 0.5, NULL, NULL, NULL, NULL, NULL FROM b""")
 def model_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of a model after its documents were written and read."""
-    return models.model_tables(models.model_documents(*_model(spark, sf_dir)))[0]
+    return models.model_tables(models.model_documents(*_model(spark, sf_dir)))[0].withColumn("missing_left", F.col("missing_left").cast("int"))
 
 
 @query(f"{_STUMPS} SELECT regime, class, iter AS i, iter / 10 AS x, high AS y FROM s WHERE head = 'direction' AND class < 2")

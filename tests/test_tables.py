@@ -395,6 +395,29 @@ def test_importance_and_choice(spark, small):
     assert ml.smallest_within(curve, "s", "k", "v", 0.02).first().k == 2
 
 
+@pytest.mark.parametrize("width", [1, 7, 64, 1 << 20])
+def test_neighbours_across_cells(spark, width):
+    rnd = np.random.default_rng(11)
+    data = [(k, "ab"[k % 2], int(s), int(s + rnd.integers(0, 30))) for k, s in enumerate(rnd.integers(-300, 300, 120))] + [(500, None, 5, 9), (501, None, 8, 12), (502, "a", None, 3), (503, "a", 3, None)]
+    df = frame(spark, "id int, chrom string, start int, end int", data)
+    none_first = lambda r: tuple((v is not None, v or 0) for v in (r[2], r[3], r[0]))
+    want, firsts = set(), set()
+    for by in ("a", "b", None):
+        own = sorted((r for r in data if r[1] == by), key=none_first)
+        firsts.add(own[0][0])
+        for before, r in zip(own, own[1:]):
+            known = r[2] is not None and before[3] is not None
+            if known and r[2] - before[3] < 4:
+                want.add((r[0], before[0]))
+            else:
+                firsts.add(r[0])
+    assert {tuple(r) for r in intervals.proximity_edges(df, "id", gap=4, width=width).collect()} == want
+    told = intervals.islands(df, gap=4, key="id", width=width)
+    assert {r.id for r in intervals.first_of_island(df, gap=4, key="id").collect()} == firsts
+    assert told.select("chrom", "island").distinct().count() == len(firsts)
+    assert intervals.first_of_island(df.limit(0), gap=4, key="id").isEmpty()
+
+
 # Sources, reads, streams
 
 
