@@ -359,7 +359,13 @@ def held_out_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.mark_held_out(df, "source", splits.held_out_groups(df, "source", 5)).groupBy("source", "held_out").agg(F.count("*").alias("n"))
 
 
-@query()
+#: CRC-32 of an ASCII string, bit by bit, as DuckDB has no function for it.
+_BYTE = "(CASE WHEN i % 8 = 0 THEN ascii(s[(i // 8 + 1)::INT]) ELSE 0 END)"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, range(8 * strlen(s))), lambda c, i: xor(xor(c, {_BYTE}) >> 1, CASE WHEN xor(c, {_BYTE}) & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END)), 4294967295::BIGINT)"
+
+
+@query(f"""{WITH}, r AS (SELECT locus_id, max(CASE WHEN called < 10 THEN 0.02 WHEN called < 20 THEN 0.05 WHEN called < 30 THEN 0.15 WHEN called < 40 THEN 0.5 ELSE 1.0 END) AS rate, count(*) AS m, 'all-loci|p|' || locus_id AS s FROM calls GROUP BY locus_id)
+  SELECT CAST(rate AS DOUBLE) AS keep_probability, CAST(sum(m) AS BIGINT) AS n, count(*) AS entities FROM r WHERE {_CRC} / 4294967296 < rate GROUP BY rate""")
 def hash_rate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = calls(spark, sf_dir)
     rate = F.get(F.array(*[F.lit(r) for r in (0.02, 0.05, 0.15, 0.5, 1.0)]), F.least(F.floor(F.col("called") / 10), F.lit(4)).cast("int"))
@@ -506,9 +512,14 @@ def start_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.start_rate(_spans(spark, sf_dir), _windows(spark)).select("n", "width")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT c_custkey AS key, c_nationkey AS chrom, c_custkey * 100 AS spot, c_custkey % 1200 AS family FROM customer),
+  near AS (SELECT key AS a, lag(key) OVER w AS b, spot - lag(spot + 50) OVER w AS d FROM c WINDOW w AS (PARTITION BY chrom ORDER BY spot, key)), f AS (SELECT family, min(key) AS b FROM c GROUP BY family),
+  e AS (SELECT a, b FROM near WHERE d < 120 UNION SELECT key, b FROM c JOIN f USING (family)), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  r AS (SELECT key AS node, key AS label FROM c UNION SELECT both_ways.b, r.label FROM r JOIN both_ways ON both_ways.a = r.node), g AS (SELECT node, min(label) AS low FROM r GROUP BY node)
+  SELECT low AS "group", count(*) AS n FROM g GROUP BY low""")
 def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("chrom"), (F.col("c_custkey") * 100).alias("start"), (F.col("c_custkey") * 100 + 50).alias("end"), (F.col("c_custkey") % 5000).alias("family"))
+    key = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(key.alias("key"), F.col("c_nationkey").alias("chrom"), (key * 100).alias("start"), (key * 100 + 50).alias("end"), (key % 1200).alias("family"))
     return intervals.linked_groups(c, intervals.proximity_edges(c, "key", gap=120, same="family"), "key").groupBy("group").agg(F.count("*").alias("n"))
 
 
@@ -555,7 +566,10 @@ def coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.coverage_gaps(truth, found, "id", E.size_label(F.col("id") % 300, E.TRUTH_SIZE_EDGES, E.TRUTH_SIZE_LABELS)))
 
 
-@query()
+@query(f"""{WITH}, m AS (SELECT quantile_disc(called, 0.5) AS c, quantile_disc(size, 0.5) AS s FROM calls), x AS (SELECT rk, regime, called <= c AS low, size <= s AS small, CASE regime WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS k FROM calls, m),
+  e AS (SELECT *, exp(CASE WHEN low THEN -0.05 - k / 100 ELSE 0.05 END) AS factor, exp(CASE WHEN small THEN 1.0 ELSE 0.2 END) AS e0, exp(CASE WHEN low THEN -0.5 ELSE 0.4 END) AS e1, exp(CASE WHEN low THEN 0.3 ELSE -0.2 END) AS e2 FROM x),
+  p AS (SELECT *, e0 / (e0 + e1 + e2) AS raw0, e1 / (e0 + e1 + e2) AS q1, e2 / (e0 + e1 + e2) AS q2 FROM e), q AS (SELECT *, CASE WHEN regime = 'A' THEN least(greatest((raw0 - 0.1) / 0.7, 0), 1) ELSE raw0 END AS q0 FROM p)
+  SELECT rk, regime, round(factor, 3) AS factor, round(q0 / (q0 + q1 + q2), 3) AS p_0, round(q1 / (q0 + q1 + q2), 3) AS p_1, round(q2 / (q0 + q1 + q2), 3) AS p_2 FROM q""")
 def routed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees with splits at table-wide medians, kept as a model table, score every call by its regime's expert."""
     df = calls(spark, sf_dir)
