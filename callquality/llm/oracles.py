@@ -64,4 +64,46 @@ OP10 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coal
   r AS (SELECT doc_id, doc_id AS low FROM documents UNION SELECT e.a, r.low FROM r JOIN e ON e.b = r.doc_id)
   SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(low) FROM r WHERE r.doc_id = d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id)"""
 
-ORACLES = {"op1_warc": OP1, "op2_chat_format": OP2, "op6_quality_rules": OP6, "op8_mix": OP8, "op9_suffix_dedup": OP9, "op10_jaccard_join": OP10}
+# CRC-32 of a list of bytes, by the table that the polynomial gives.
+CRC_TABLE = """steps(i, k, v) AS (SELECT range, 0, range::BIGINT FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END FROM steps WHERE k < 8),
+  crc AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8)"""
+
+
+def crc_sql(codes: str) -> str:
+    return f"xor(4294967295::BIGINT, list_reduce({codes}, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "{0}", "text"))
+OP11 = f"""WITH RECURSIVE {CRC_TABLE},
+  d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, sha256({_LEAF.format("n_chars")}) AS leaf,
+    CASE WHEN {crc_sql("list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} % 7 = 0 AND n_chars IS NOT NULL THEN sha256({_LEAF.format("(n_chars + 1)")}) END AS changed FROM documents, crc),
+  l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+  e AS (SELECT g, 0 AS lev, i, leaf AS h, n FROM l UNION ALL SELECT g, lev + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM e WHERE n > 1 GROUP BY g, lev, i // 2, n),
+  s AS (SELECT g, h AS subroot, lev AS height, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM e WHERE n = 1),
+  f AS (SELECT 0 AS lev, i, subroot AS h, n FROM s UNION ALL SELECT lev + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM f WHERE n > 1 GROUP BY lev, i // 2, n),
+  a AS (SELECT g, lev, i, h FROM e WHERE n > 1 UNION ALL SELECT s.g, s.height + f.lev, f.i, f.h FROM f, s WHERE f.n > 1),
+  w AS (SELECT l.g, l.i AS leaf_at, lev, CASE WHEN lev < height THEN l.i >> lev ELSE s.i >> (lev - height)::BIGINT END AS spot FROM l JOIN s USING (g), range(0, 200) r(lev) WHERE lev < height + ceil(log2(s.n))),
+  p AS (SELECT w.g, leaf_at, w.lev, a.h, spot & 1 AS odd FROM w LEFT JOIN a ON a.g = w.g AND a.lev = w.lev AND a.i = xor(spot, 1)),
+  q AS (SELECT g, leaf_at, sha256(coalesce(string_agg(h, '' ORDER BY lev), '')) AS proof_sha256, list({{'h': coalesce(h, ''), 'odd': odd}} ORDER BY lev) AS path FROM p GROUP BY ALL),
+  z AS (SELECT doc_id, leaf, subroot, (SELECT h FROM f WHERE n = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, coalesce(changed, leaf) AS h, coalesce(path, []) AS path, 1 AS k FROM l JOIN s USING (g) LEFT JOIN q ON q.g = l.g AND q.leaf_at = l.i
+    UNION ALL SELECT doc_id, leaf, subroot, root, proof_sha256, CASE WHEN path[k].odd = 1 THEN sha256(path[k].h || h) ELSE sha256(h || path[k].h) END, path, k + 1 FROM z WHERE k <= len(path))
+  SELECT doc_id, leaf, subroot, root, proof_sha256, h AS folded_root, h = root AS verified FROM z WHERE k = len(path) + 1"""
+
+OP13 = f"""WITH RECURSIVE {CRC_TABLE},
+  r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+  u AS (SELECT doc_id, run, count(*) AS k FROM r GROUP BY ALL),
+  h AS (SELECT *, {crc_sql("flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))")} AS h FROM u, crc),
+  w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+  v AS (SELECT word, sum(k)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+  k AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || '?' || substr(word, i + 1) AS open, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+  p AS (SELECT a.word, b.word AS near, b.n FROM k a JOIN k b USING (open) WHERE a.word <> b.word UNION SELECT k.word, v.word, v.n FROM k JOIN v ON v.word = cut UNION SELECT v.word, k.word, k.n FROM k JOIN v ON v.word = cut),
+  b AS (SELECT word, count(*) AS n_near, max(n) AS top FROM p GROUP BY word), c AS (SELECT p.word, min(near) AS near, any_value(top) AS top, any_value(n_near) AS n_near FROM p JOIN b USING (word) WHERE p.n = top GROUP BY p.word),
+  f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 5 * v.n THEN near END AS form, CASE WHEN top >= 5 * v.n THEN top END AS form_n FROM v LEFT JOIN c USING (word)),
+  z AS (SELECT word, word AS root, form AS ahead FROM f UNION ALL SELECT z.word, f.word, f.form FROM z JOIN f ON f.word = z.ahead)
+  SELECT f.word, f.form, z.root, f.n, f.n_near, f.form_n FROM f JOIN z ON z.word = f.word AND z.ahead IS NULL"""
+
+ORACLES = {"op1_warc": OP1, "op2_chat_format": OP2, "op6_quality_rules": OP6, "op8_mix": OP8, "op9_suffix_dedup": OP9, "op10_jaccard_join": OP10, "op11_manifest": OP11, "op13_variants": OP13}

@@ -13,6 +13,7 @@ from callquality.llm.chat import format_chats, loss_texts, read_turns
 from callquality.llm.common import table
 from callquality.llm.jaccard import jaccard_components
 from callquality.llm.langid import identify_language, learn_dictionaries
+from callquality.llm.manifest import build_manifest, folded, inclusion_proofs, proof_digest, row_digest
 from callquality.llm.merkle import compare_neighbours, fingerprint, likeness, merkle_tree
 from callquality.llm.mixing import mixing_plan
 from callquality.llm.oracles import ORACLES
@@ -20,6 +21,7 @@ from callquality.llm.packing import default_vocabulary, load_encoder, pack_docum
 from callquality.llm.quality import quality_rules
 from callquality.llm.rulefit import fit_rules, labelled_examples, score_quality
 from callquality.llm.suffix import repeated_bytes
+from callquality.llm.variants import group_variants, letter_runs, vocabulary
 from callquality.llm.warc import read_warc, write_warc
 
 
@@ -111,6 +113,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs are those of the untampered rows; a tampered row folds with them to another root."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    changed = F.when(tampered, row_digest([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields]))
+    rows = docs.select("doc_id", "lang", row_digest([F.col(c) for c in fields]).alias("digest"), changed.alias("changed"))
+    manifest = build_manifest(rows, "lang", ["doc_id"])
+    root = F.lit(manifest.root)
+    proofs = inclusion_proofs(manifest, ["doc_id", "changed"]).withColumn("folded_root", folded(F.coalesce("changed", "digest"), F.col("proof")))
+    return proofs.select("doc_id", F.col("digest").alias("leaf"), "subroot", root.alias("root"), proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some runs lose a letter first, by a hash of document and run; in a document without an id none does."""
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(letter_runs(F.col("text"))).alias("run"))
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")))
+    place = (F.col("h") % F.char_length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), place), F.substring("run", place + 2, F.char_length("run")))
+    words = runs.filter(F.char_length("run") >= 6).withColumn("h", h).select(F.when(F.col("h") % 199 == 0, shorter).otherwise(F.col("run")).alias("word"))
+    return group_variants(vocabulary(words))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_chat_format": op2_chat_format,
@@ -122,6 +147,8 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_manifest": op11_manifest,
+    "op13_variants": op13_variants,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
