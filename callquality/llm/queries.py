@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from callquality.llm.chat import format_chats, loss_texts, read_turns
 from callquality.llm.common import table
+from callquality.llm.html import extract_main_text, labelled_pages
 from callquality.llm.jaccard import jaccard_components
 from callquality.llm.langid import identify_language, learn_dictionaries
+from callquality.llm.layouts import fit_on_pages
 from callquality.llm.manifest import build_manifest, folded, inclusion_proofs, proof_digest, row_digest
 from callquality.llm.merkle import compare_neighbours, fingerprint, likeness, merkle_tree
 from callquality.llm.mixing import mixing_plan
@@ -126,6 +128,13 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.select("doc_id", F.col("digest").alias("leaf"), "subroot", root.alias("root"), proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
 
 
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = extract_main_text(pages, fit_on_pages(labelled_pages(pages)))
+    text = F.array_join("main", " ")
+    return found.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some runs lose a letter first, by a hash of document and run; in a document without an id none does."""
     runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(letter_runs(F.col("text"))).alias("run"))
@@ -148,6 +157,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_manifest": op11_manifest,
+    "op12_html": op12_html,
     "op13_variants": op13_variants,
 }
 
