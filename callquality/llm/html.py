@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from callquality.llm.common import row_blocks
 
@@ -211,6 +212,8 @@ FEATURES = [
 def features(pages: Pages) -> np.ndarray:
     """Features of all nodes; those of an element are sums over the text below it."""
     n = len(pages.page)
+    if not n:
+        return np.zeros((0, len(FEATURES)))
     kind, bits, end, page = np.array(pages.kind), np.array(pages.bits), np.array(pages.end), np.array(pages.page)
     chars = np.fromiter(map(len, pages.text), np.int64, n)
     leaf = chars > 0
@@ -224,7 +227,7 @@ def features(pages: Pages) -> np.ndarray:
         return total[end] - total[:n]
 
     size, linked, texts = below(chars), below(links), below(leaf)
-    first = np.concatenate([[True], page[1:] != page[:-1]]) if n else np.zeros(0, bool)
+    first = np.concatenate([[True], page[1:] != page[:-1]])
     whole = np.repeat(size[first], np.diff(np.concatenate([np.flatnonzero(first), [n]])))
     start = np.concatenate([[0], np.cumsum(chars)])
     base = np.repeat(start[:n][first], np.diff(np.concatenate([np.flatnonzero(first), [n]])))
@@ -237,7 +240,7 @@ def features(pages: Pages) -> np.ndarray:
         np.log1p(below(words) / np.maximum(texts, 1)) / 4, np.log1p(below(links > 0)) / 3, size / whole, (start[:n] - base) / whole, (start[:n] - base + size) / whole, np.minimum(np.array(pages.depth) / 10, 2), below(rights) > 0,
         np.fromiter((t[-1:] in tuple(".!?…\"”»") and bool(t) for t in pages.text), bool, n), (hints.sum(axis=1) > content) & (content == 0), share > 0.5,
     ]
-    return np.stack([np.asarray(c, np.float64) for c in columns], axis=1) if n else np.zeros((0, len(FEATURES)))
+    return np.stack([np.asarray(c, np.float64) for c in columns], axis=1)
 
 
 # The model: potentials of nodes and edges, messages, fit.
@@ -258,7 +261,7 @@ def marginals(score: np.ndarray, edge: np.ndarray, parent: np.ndarray, depth: np
     used for roots. Levels go up and down once.
     """
     n = len(score)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if n and depth.max() < 64 else np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if n else []
+    levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if n else []
     inside = np.zeros((n, 2))
     inside[:, 1] = score
     up = np.zeros((n, 2))
@@ -331,7 +334,7 @@ def extract_main_text(pages: DataFrame, model: TreeModel, html: str = "html", ou
     Nothing is shuffled; pages are parsed whole, some at a time up to ``block_bytes``, a longer one by itself.
     """
     held, names = pages.sparkSession.sparkContext.broadcast(model), pages.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    schema = StructType(list(pages.schema)).add(out_col, ArrayType(StringType()))
 
     def run(batches):
         for batch in batches:
@@ -342,10 +345,10 @@ def extract_main_text(pages: DataFrame, model: TreeModel, html: str = "html", ou
                 part = batch.slice(a, z - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.string()))], [*names, out_col])
 
-    return pages.mapInArrow(run, f"{schema}, `{out_col}` array<string>")
+    return pages.mapInArrow(run, schema)
 
 
-def labelled_pages(pages: DataFrame, html: str = "html", most: int = 150, most_chars: int = 50_000) -> list[str]:
+def labelled_pages(pages: DataFrame, html: str = "html", most: int = 400, most_chars: int = 50_000) -> list[str]:
     """A bounded sample of pages for fitting: those with an article or main element and the smallest hashes of their html,
     ``most`` of at most ``most_chars`` each."""
     text = F.col("html")

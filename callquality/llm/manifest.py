@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from callquality.llm.common import small_side, written
 
 #: A proof, bottom to top: digests of the run left and right of the node's own place, each joined as text.
 PROOF = "array<struct<left:string,right:string>>"
-NODE, HEIGHT = "struct<pos:bigint,digest:string>", "int"
 
 
 def field_text(value: Column) -> Column:
@@ -59,7 +59,7 @@ def siblings(levels: list[list[str]], place: int, fan: int) -> list[tuple[str, s
 
 @dataclass(frozen=True)
 class Tree:
-    """levels: written tables (grp, pos, digest, ...), every ``stride``-th level of all trees, roots last; sizes: nodes a group on the lowest level."""
+    """levels: written tables (grp, pos, digest; leaves also row), every ``stride``-th level of all trees, roots last; sizes: nodes a group on the lowest level."""
 
     levels: list[DataFrame]
     sizes: DataFrame
@@ -114,8 +114,7 @@ def numbered(rows: DataFrame, order: Sequence[str], label: str) -> tuple[DataFra
             last, held = codes.dictionary[int(at[-1])].as_py(), int(local[-1]) + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(at), task, np.int32)), pa.array(local)], columns)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    local = written(ranged.mapInArrow(number, f"{schema}, task int, local long"), f"{label}-sorted")
+    local = written(ranged.mapInArrow(number, StructType(list(rows.schema)).add("task", IntegerType()).add("local", LongType())), f"{label}-sorted")
     counts = written(local.groupBy("grp", "task").agg(F.count(F.lit(1)).alias("n")), f"{label}-counts")
     before = W.partitionBy("grp").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("grp", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -133,13 +132,18 @@ def _height(size: Column, fan: int, stride: int) -> Column:
 
 
 def _subtrees(nodes: DataFrame, sizes: DataFrame, fan: int, stride: int, level: int, keep: Sequence[str] = ()) -> DataFrame:
-    """One row a subtree: grp, block, height, nodes in order (at most fan**stride)."""
+    """One row a subtree: grp, block, height, nodes in any order (at most fan**stride)."""
     width, below = fan**stride, fan ** (stride * level)
     size = F.ceil(F.col("size") / below)
-    grouped = nodes.groupBy("grp", F.floor(F.col("pos") / width).cast("long").alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "digest", *keep))).alias("nodes"))
+    grouped = nodes.groupBy("grp", F.floor(F.col("pos") / width).cast("long").alias("block")).agg(F.collect_list(F.struct("pos", "digest", *keep)).alias("nodes"))
     return grouped.join(small_side(sizes), "grp").select("grp", "block", _height(size, fan, stride).cast("int").alias("height"), "nodes")
 
 
+def _in_order(nodes) -> pa.StructArray:
+    """The nodes of one subtree by their places."""
+    return nodes.values.take(pa.array(np.argsort(nodes.values.field("pos").to_numpy())))
+
+
 def grow(nodes: DataFrame, sizes: DataFrame, fan: int, stride: int, label: str) -> Tree:
     """The trees over written nodes (grp, pos, digest); writes every ``stride``-th level until each group has one node."""
     top = sizes.agg(F.max("size")).head()[0] or 0
@@ -149,7 +153,7 @@ def grow(nodes: DataFrame, sizes: DataFrame, fan: int, stride: int, label: str)
         for batch in batches:
             found = []
             for height, below in zip(batch.column("height").to_pylist(), batch.column("nodes"), strict=True):
-                found.append(interior(below.values.field("digest").to_pylist(), fan, height)[-1][0])
+                found.append(interior(_in_order(below).field("digest").to_pylist(), fan, height)[-1][0])
             yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("block"), pa.array(found, pa.string())], ["grp", "pos", "digest"])
 
     while level == 0 or top > fan ** (stride * level):
@@ -159,40 +163,44 @@ def grow(nodes: DataFrame, sizes: DataFrame, fan: int, stride: int, label: str)
     return Tree(levels, sizes, fan, stride)
 
 
-def build_manifest(rows: DataFrame, group: str, order: Sequence[str], digest: str = "digest", fan: int = 2, stride: int = 10) -> Manifest:
+def build_manifest(rows: DataFrame, group: str, order: Sequence[str], digest: str = "digest", keep: Sequence[str] = (), fan: int = 2, stride: int = 10) -> Manifest:
     """The manifest of ``rows``, whose column ``digest`` holds each row's digest as lower-case hex.
 
     A tree a value of ``group`` (null is one, and comes first), leaves ascending by ``order`` (nulls first; ties by
     digest; rows equal in all that are interchangeable). While several nodes remain, every ``fan`` consecutive ones
     become their digest. The roots of the groups, in order of the group's text by UTF-8 bytes, likewise give the root.
-    Columns besides these stay with the leaves. An empty table gives empty tables and no root.
+    The columns ``keep``, of any name and type, stay with the leaves as ``row``. An empty table gives empty tables and no
+    root. Null digests are not allowed.
     """
-    given = rows.withColumnRenamed(digest, "digest").withColumn("grp", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")))
-    leaves, sizes = numbered(written(given, "manifest-leaves"), [*order, "digest"], "manifest")
+    places = [f"o{k}" for k in range(len(order))]
+    given = rows.select(
+        F.coalesce(F.concat(F.lit("="), rows[group].cast("string")), F.lit("")).alias("grp"), *[rows[c].alias(o) for c, o in zip(order, places, strict=True)], rows[digest].alias("digest"),
+        F.struct(*[rows[c] for c in keep] or [F.lit(True).alias("leaf")]).alias("row"),
+    )
+    leaves, sizes = numbered(written(given, "manifest-leaves"), [*places, "digest"], "manifest")
     groups = grow(leaves, sizes, fan, stride, "manifest")
     tops = groups.roots.select(F.lit("").alias("grp"), F.col("grp").alias("key"), "digest")
     placed, count = numbered(tops, ["key"], "manifest-top")
     return Manifest(groups, grow(placed, count, fan, stride, "manifest-top"))
 
 
-def _descend(tree: Tree, roots: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """The lowest nodes of the trees with ``proof`` up to their roots and on along the roots' own proofs.
+def _descend(tree: Tree, roots: DataFrame, keep: str) -> DataFrame:
+    """The lowest nodes of the trees, their column ``keep``, and ``proof`` up to their roots and on along the roots' own proofs.
 
     ``roots``: grp, pos = 0, subroot, proof. From the top written level down, each subtree meets the proof of its root,
     one row a subtree, and its interior is rebuilt from the nodes below.
     """
-    above, fan, spark = roots, tree.fan, roots.sparkSession
-    kinds = {f.name: f.dataType for f in tree.levels[0].schema}
+    above, fan = roots, tree.fan
     for level in reversed(range(len(tree.levels) - 1)):
-        names = list(keep) if level == 0 else []
+        names = [keep] if level == 0 else []
         nested = _subtrees(tree.levels[level].select("grp", "pos", "digest", *names), tree.sizes, fan, tree.stride, level, names)
         met = nested.join(above.select("grp", F.col("pos").alias("block"), "subroot", "proof"), ["grp", "block"])
-        schema = "grp string, pos long, digest string, subroot string, proof " + PROOF + "".join(f", `{c}` {kinds[c].simpleString()}" for c in names)
+        schema = StructType(list(met.select("grp", F.lit(0).cast("long").alias("pos"), F.lit("").alias("digest"), "subroot", "proof", *[F.get("nodes", F.lit(0))[c].alias(c) for c in names]).schema))
 
         def proofs(batches, names=names):
             for batch in batches:
                 for k in range(batch.num_rows):
-                    below = batch.column("nodes")[k].values
+                    below = _in_order(batch.column("nodes")[k])
                     digests = below.field("digest").to_pylist()
                     levels = interior(digests, fan, batch.column("height")[k].as_py())
                     on = [(s["left"], s["right"]) for s in batch.column("proof")[k].as_py()]
@@ -214,17 +222,17 @@ def _descend(tree: Tree, roots: DataFrame, keep: Sequence[str]) -> DataFrame:
     return above
 
 
-def inclusion_proofs(manifest: Manifest, keep: Sequence[str] = ()) -> DataFrame:
-    """A row a leaf: grp, pos, digest, subroot (its group's), proof (to the root of the whole), and columns ``keep``.
+def inclusion_proofs(manifest: Manifest) -> DataFrame:
+    """A row a leaf: grp, pos, digest, subroot (its group's), proof (to the root of the whole), row (the columns kept).
 
     A proof lists, level by level from the leaf, the digests left and right of the node in its run; a run of one has
     none. Interior nodes that were not written are rebuilt a subtree at a time.
     """
     top = manifest.top
     start = top.roots.select("grp", F.lit(0).cast("long").alias("pos"), F.col("digest").alias("subroot"), F.expr(f"CAST(array() AS {PROOF})").alias("proof"))
-    above = _descend(top, start, ["key"])
+    above = _descend(top, start, "key")
     roots = written(above.select(F.col("key").alias("grp"), F.lit(0).cast("long").alias("pos"), F.col("digest").alias("subroot"), "proof"), "manifest-proofs")
-    return _descend(manifest.groups, roots, keep)
+    return _descend(manifest.groups, roots, "row")
 
 
 def folded(leaf: Column, proof: Column) -> Column:

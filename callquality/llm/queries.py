@@ -122,10 +122,10 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
     changed = F.when(tampered, row_digest([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields]))
     rows = docs.select("doc_id", "lang", row_digest([F.col(c) for c in fields]).alias("digest"), changed.alias("changed"))
-    manifest = build_manifest(rows, "lang", ["doc_id"])
+    manifest = build_manifest(rows, "lang", ["doc_id"], keep=["doc_id", "changed"])
     root = F.lit(manifest.root)
-    proofs = inclusion_proofs(manifest, ["doc_id", "changed"]).withColumn("folded_root", folded(F.coalesce("changed", "digest"), F.col("proof")))
-    return proofs.select("doc_id", F.col("digest").alias("leaf"), "subroot", root.alias("root"), proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
+    proofs = inclusion_proofs(manifest).withColumn("folded_root", folded(F.coalesce("row.changed", "digest"), F.col("proof")))
+    return proofs.select("row.doc_id", F.col("digest").alias("leaf"), "subroot", root.alias("root"), proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
 
 
 def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
