@@ -14,6 +14,7 @@ from callquality.operators.categories import VERDICTS, corrected_categories, dro
 from callquality.operators.compare import feature_changes, group_sums, paired_comparison
 from callquality.operators.joins import GuardError, difference_summary, first_per_key, only_keys_of, replace_groups, variant_rows
 from callquality.operators.metrics import gated_errors
+from callquality.operators.quantiles import with_quantiles
 from callquality.operators.reads import flank_table, measure_reads
 from callquality.operators.sampling import cap_per_class, cap_rows
 from callquality.sources.io import marked, require_contract
@@ -94,8 +95,8 @@ def error_profile(df: DataFrame, by: Sequence[str], called: str, truth: str, pro
     quartiles. The 27 bins are those of ``difference_bin``."""
     each = F.array(*[F.struct(F.lit(name).alias("class"), F.col(c).cast("double").alias("p")) for name, c in probabilities.items()])
     rows = df.select(*by, difference_bin(col(called) - col(truth)).alias("bin"), F.explode(each).alias("x")).select(*by, "bin", "x.*")
-    ends = F.percentile("p", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    made = rows.groupBy(*by, "bin", "class").agg(F.count("*").alias("n"), F.avg("p").alias("mean"), ends.alias("_q"))
+    means = rows.groupBy(*by, "bin", "class").agg(F.count("*").alias("n"), F.avg("p").alias("mean"))
+    made = with_quantiles(means, rows, [*by, "bin", "class"], {"_q": "p"}, (0.25, 0.5, 0.75))
     return made.select(*by, "bin", "class", "n", "mean", *[F.get("_q", F.lit(k)).alias(name) for k, name in enumerate(("low", "middle", "high"))])
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from callquality.functions.exprs import half_even, ratio
 from callquality.operators.joins import GuardError
+from callquality.operators.quantiles import with_quantiles
 
 
 def _grouped(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
@@ -36,12 +37,14 @@ def point_metrics(df: DataFrame, by: Sequence[str] = (), called: str = "called",
     off = lambda x: half_even(x) - half_even(y)
     share = lambda test: F.avg(test.cast("double"))
     raw, new = F.avg(F.abs(y - c)), F.avg(F.abs(y - p))
-    return _grouped(
+    means = _grouped(
         df, by, F.count("*").alias("n"), F.avg(F.abs(F.col(t) - F.col(t_predicted))).alias("mae_t"), new.alias("mae_true"), raw.alias("mae_raw"),
-        F.median(F.abs(y - p)).alias("median_ae_true"), F.median(F.abs(y - c)).alias("median_ae_raw"), F.when(raw > 0, 1 - new / raw).alias("dist_reduction"),
+        F.when(raw > 0, 1 - new / raw).alias("dist_reduction"),
         share(off(p) == 0).alias("exact_match_rate"), share(off(c) == 0).alias("raw_exact_match_rate"),
         share(F.abs(off(p)) <= F.col(tol)).alias("within_tol_rate"), share(F.abs(off(c)) <= F.col(tol)).alias("raw_within_tol_rate"),
     )
+    medians = {"median_ae_true": F.abs(y - p), "median_ae_raw": F.abs(y - c)}
+    return with_quantiles(means, df, by, medians, [0.5]).withColumns({m: F.get(m, F.lit(0)) for m in medians})
 
 
 def gated_errors(df: DataFrame, by: Sequence[str] = (), called: str = "called", truth: str = "truth", corrected: str = "corrected", p_ok: str = "p_ok", gate: float = 0.5, eps: float = 1e-9) -> DataFrame:
@@ -176,9 +179,12 @@ def binned_counts(df: DataFrame, by: Sequence[str], bin_col: str, category: str,
 
 
 def distribution(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float] = (0.01, 0.25, 0.5, 0.75, 0.99), exact: bool = True) -> DataFrame:
-    """n, mean, min, max and percentiles; ``exact=False`` for groups too large to sort."""
-    at = F.array(*[F.lit(float(s)) for s in shares])
-    return _grouped(df.filter(F.col(value).isNotNull()), by, F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), (F.percentile(value, at) if exact else F.percentile_approx(value, at)).alias("percentiles"))
+    """n, mean, min, max and percentiles; with ``exact=False`` the percentiles are those of a sketch."""
+    known = df.filter(F.col(value).isNotNull())
+    sums = [F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high")]
+    if exact:
+        return with_quantiles(_grouped(known, by, *sums), known, by, {"percentiles": value}, shares)
+    return _grouped(known, by, *sums, F.percentile_approx(value, F.array(*[F.lit(float(s)) for s in shares])).alias("percentiles"))
 
 
 def nested_thresholds(df: DataFrame, value: str, thresholds: Sequence[float], name: str = "below") -> DataFrame:
@@ -218,7 +224,9 @@ def paired_summary(df: DataFrame, by: Sequence[str], fields: dict[str, tuple[str
     """(by, field): count, medians and means of both sides, median difference, share equal; fields are exploded once."""
     rows = F.array(*[F.struct(F.lit(n).alias("field"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for n, (a, b) in fields.items()])
     each = df.select(*by, F.explode(rows).alias("r")).select(*by, "r.*").filter("a IS NOT NULL AND b IS NOT NULL")
-    return each.groupBy(*by, "field").agg(F.count("*").alias("n"), F.median("a").alias("median_a"), F.median("b").alias("median_b"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.median(F.col("a") - F.col("b")).alias("median_difference"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("share_equal"))
+    means = each.groupBy(*by, "field").agg(F.count("*").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("share_equal"))
+    medians = {"median_a": "a", "median_b": "b", "median_difference": F.col("a") - F.col("b")}
+    return with_quantiles(means, each, [*by, "field"], medians, [0.5]).withColumns({m: F.get(m, F.lit(0)) for m in medians})
 
 
 def percentile_among(pairs: DataFrame, probe: Sequence[str], value: str, own: str, least: int = 20) -> DataFrame:
@@ -228,7 +236,8 @@ def percentile_among(pairs: DataFrame, probe: Sequence[str], value: str, own: st
 
 def score_summary(df: DataFrame, by: Sequence[str], score: str, called: str, truth: str) -> DataFrame:
     """n, median score, share of scores from one half on, share called too small, mean of truth over call."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.median(score).alias("median_score"), F.avg((F.col(score) >= 0.5).cast("double")).alias("share_half"), F.avg((F.col(called) < F.col(truth)).cast("double")).alias("share_under"), F.avg(F.try_divide(F.col(truth).cast("double"), F.col(called).cast("double"))).alias("mean_ratio"))
+    means = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col(score) >= 0.5).cast("double")).alias("share_half"), F.avg((F.col(called) < F.col(truth)).cast("double")).alias("share_under"), F.avg(F.try_divide(F.col(truth).cast("double"), F.col(called).cast("double"))).alias("mean_ratio"))
+    return with_quantiles(means, df, by, {"median_score": score}, [0.5]).withColumn("median_score", F.get("median_score", F.lit(0)))
 
 
 def rate_table(df: DataFrame, by: Sequence[str], events: str, exposure: str, required: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from callquality.functions import exprs as E
 from callquality.functions import motifs as M
 from callquality.functions import parse as P
-from callquality.operators import categories, compare, intervals, joins, metrics, sampling, scoring, splits
+from callquality.operators import categories, compare, intervals, joins, metrics, ordering, sampling, scoring, splits
 from callquality.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -413,7 +413,7 @@ def reconciled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT rk, locus_id, pos, CAST(pos AS DOUBLE) AS at, 0::BIGINT AS after FROM cur ANTI JOIN ids USING (locus_id) UNION ALL SELECT rk, oth.locus_id, pos, coalesce(CAST(p AS DOUBLE), 'inf'::DOUBLE), pos FROM oth SEMI JOIN ids USING (locus_id) LEFT JOIN stood USING (locus_id)""")
 def replaced_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = calls(spark, sf_dir).select("rk", "locus_id", "motif_size")
-    place = lambda d: d.withColumn("pos", F.row_number().over(_Window.orderBy("rk")).cast("long")).drop("motif_size")
+    place = lambda d: ordering.ranks(d, [], ["rk"], "pos").withColumn("pos", F.col("pos") + 1).drop("motif_size")
     out = joins.replace_groups(place(df.filter("motif_size <= 4")), place(df.filter("motif_size > 2")), df.filter("locus_id % 3 = 0"), "locus_id")
     return out.select("rk", "locus_id", "pos", F.col("place.at").alias("at"), F.col("place.then").alias("after"))
 
@@ -452,8 +452,15 @@ def key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT p.id AS probe_id, count(*) AS n, round(CASE WHEN count(*) >= 20 THEN 100 * avg((s.v < p.v)::INT) END, 6) AS percentile FROM p JOIN s ON s.k = p.k AND s.v BETWEEN p.v / 1.25 AND p.v * 1.25 GROUP BY ALL""")
 def percentile_among_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 4).alias("k"), F.col("o_totalprice").alias("v"))
-    pairs = joins.similar_rows(s, s.filter("id % 100 = 0"), "k", "v", 1.25)
-    return rounded(metrics.percentile_among(pairs, ["probe_id"], "v", "probe_v"))
+    found = ordering.similar_percentiles(s, s.filter("id % 100 = 0"), "id", "k", "v", "v", 1.25)
+    return rounded(found.select(F.col("id").alias("probe_id"), "n", "percentile"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, o_custkey AS k, o_totalprice AS v FROM orders)
+  SELECT p.id AS probe_id, count(*) AS n, sum(s.id)::BIGINT AS ids FROM s p JOIN s ON s.k = p.k AND s.v BETWEEN p.v / 1.25 AND p.v * 1.25 GROUP BY ALL""")
+def similar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"))
+    return joins.similar_rows(s, s, "k", "v", 1.25).groupBy("probe_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
 @query(f"""{WITH} SELECT regime, sample_id, n, place FROM (SELECT regime, sample_id, count(*) AS n, row_number() OVER (PARTITION BY regime ORDER BY count(*) DESC, sample_id) AS place FROM calls GROUP BY regime, sample_id) WHERE place <= 5""")
@@ -467,6 +474,12 @@ def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", joins.average_rank("o_orderstatus", ["o_custkey"]).cast("double").alias("average_rank"))
 
 
+@query("SELECT o_orderkey, CAST(rank() OVER (ORDER BY o_orderdate) + (count(*) OVER (PARTITION BY o_orderdate) - 1) / 2 AS DOUBLE) AS average_rank FROM orders")
+def average_rank_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks without a partition, which no window holds."""
+    return ordering.average_ranks(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [], "o_orderdate").select("o_orderkey", "average_rank")
+
+
 # Intervals: an event is an interval whose length comes from its value
 
 _SPANS = "SELECT event_id AS id, user_id % 7 AS chrom, CAST(floor(epoch(ts)) AS BIGINT) % 10000000 AS \"start\", CAST(floor(epoch(ts)) AS BIGINT) % 10000000 + 60 + CAST(event_id % 600 AS BIGINT) AS \"end\" FROM events"
@@ -597,6 +610,3 @@ def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if not sf_dir.endswith("events.parquet") else "*").parquet(sf_dir)
     sums = streams.running_summary(s, ["event_type"], F.count("*").alias("n"), F.sum("value").alias("total"))
     return streams.drained(sums, f"summary_{uuid.uuid4().hex}").withColumn("total", F.round("total", 4))
-
-
-from pyspark.sql import Window as _Window  # noqa: E402
