@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from callquality.functions import parse as P
 from callquality.functions.exprs import numeric, strip_prefix, valid_partition
 from callquality.operators.joins import GuardError, first_per_key, only_keys_of
+from callquality.operators.shared import counted_broadcast
 
 #: Schema of one variant in a call record; numbers are doubles, as they are written either way.
 _METRICS = "struct<AlleleNumber:int,AlleleSize:int,Depth:double,HighQualityUnambiguousReads:double,StrandBiasBinomialPhred:double,MeanInsertedBasesWithinRepeats:double,MeanDeletedBasesWithinRepeats:double,ReadRepeatPurity:double,LeftFlankNormalizedDepth:double,RightFlankNormalizedDepth:double>"
@@ -124,6 +125,16 @@ def read_parts(spark: SparkSession, path: str, pattern: str = r"([^/]+)\.parquet
     return spark.read.parquet(path).withColumn("individual", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
+def read_population(spark: SparkSession, path: str, schema: T.StructType, population: str, individuals: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Parts laid out by population, branch and individual (``write_parts``): one population, the individuals of a table
+    (their distinct values, found small before they are broadcast), and some columns.
+
+    The population is cut by its folder, the individuals by pruning at run time, columns and filters reach the files."""
+    parts = spark.read.schema(schema).parquet(path).filter(F.col("population") == population)
+    wanted = counted_broadcast(individuals.select("individual").distinct())
+    return parts.select("population", "branch", "individual", *columns).join(wanted, "individual")
+
+
 def union_roots(tables: dict[str, DataFrame], part: str) -> DataFrame:
     """Rows of several roots with ``root``; a part may be in one root only, and no root may be empty."""
     out = None
