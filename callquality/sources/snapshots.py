@@ -1,9 +1,9 @@
 """Published snapshots: a table in parts by key, of which only what changed is rebuilt, switched from version to version.
 
 Layout under a root, all written by Spark jobs: ``parts/run=<run>/part_key=<key>/`` (never changed once written),
-``manifest/version=<n>/`` (a row a part: key, run, stamp of its sources), ``pointer/version=<n>/`` (one row in one file,
-written last: with it a version is there, without it nothing of the version is seen). Readers take the highest pointer
-and read the parts of its manifest; the scan is pruned to these by a join with the manifest.
+``manifest/by=<run>/`` (a row a part: key, run, stamp of its sources), ``pointer/version=<n>/`` (one row in one file, written
+last: with it a version is there, without it nothing of its run is seen). Readers take the highest pointer and read the
+parts of its manifest; the scan is pruned to these by a join with the manifest.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +23,11 @@ from callquality.sources.io import marked
 #: Columns that parts have besides the table's own.
 RUN, KEY = "run", "part_key"
 _MANIFEST = "part_key string, run string, stamp string, rows long"
-_POINTER = "number long, schema string, note string"
+_POINTER = "number long, by string, schema string, note string"
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
-    """number, schema, note: a row a published version; none for a root without any."""
+    """number, by (the run that published it), schema, note: a row a published version; none for a root without any."""
     try:
         return spark.read.schema(_POINTER).json(f"{root}/pointer/*/*.json")
     except Exception as missing:
@@ -41,25 +41,32 @@ def current_version(spark: SparkSession, root: str) -> int:
     return versions(spark, root).agg(F.max("number")).head()[0] or 0
 
 
+def _pointed(spark: SparkSession, root: str, version: int | None) -> Row:
+    found = versions(spark, root)
+    found = found.orderBy(F.desc("number")).head() if version is None else found.filter(F.col("number") == version).head()
+    if found is None:
+        raise GuardError(f"{root} has no version {version or ''}")
+    return found
+
+
+def _parts_of(spark: SparkSession, root: str, by: str) -> DataFrame:
+    return spark.read.schema(f"{_MANIFEST}, by string").parquet(f"{root}/manifest").filter(F.col("by") == by).drop("by")
+
+
 def read_manifest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """part_key, run, stamp, rows of a version's parts (the current one's by default); none where nothing is published."""
-    number = current_version(spark, root) if version is None else version
-    if not number:
+    if version is None and not current_version(spark, root) or version == 0:
         return spark.createDataFrame([], _MANIFEST)
-    return spark.read.schema(f"{_MANIFEST}, version long").parquet(f"{root}/manifest").filter(F.col("version") == number).drop("version")
+    return _parts_of(spark, root, _pointed(spark, root, version)["by"])
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The rows of a version, with ``part_key``. The version is looked up once, so a reader stays with what it found, as
     long as ``remove_unused`` keeps it. GuardError for a version that isn't there."""
-    number = current_version(spark, root) if version is None else version
-    found = versions(spark, root).filter(F.col("number") == number).head()
-    if found is None:
-        raise GuardError(f"{root} has no version {number}")
+    found = _pointed(spark, root, version)
     own = T.StructType.fromJson(json.loads(found["schema"]))
     parts = spark.read.schema(T.StructType([*own.fields, T.StructField(RUN, T.StringType()), T.StructField(KEY, T.StringType())])).parquet(f"{root}/parts")
-    manifest = spark.read.schema(f"{_MANIFEST}, version long").parquet(f"{root}/manifest").filter(F.col("version") == number)
-    chosen = counted_broadcast(manifest.select(F.col(RUN).alias("_run"), F.col(KEY).alias("_key")))
+    chosen = counted_broadcast(_parts_of(spark, root, found["by"]).select(F.col(RUN).alias("_run"), F.col(KEY).alias("_key")))
     return parts.join(chosen, (F.col(RUN) == F.col("_run")) & (F.col(KEY) == F.col("_key"))).drop("_run", "_key", RUN)
 
 
@@ -75,7 +82,7 @@ def publish(spark: SparkSession, root: str, sources: DataFrame, key: str, proven
     versions, settings). Parts that the current version built from the same stay as they are; ``build`` gets the sources
     of the others and gives their rows, with ``key``; with ``remove``, keys that left go. If nothing changed, nothing is
     written. Each part's Parquet footer names its run and the note (metadata of the key's column), the manifest its stamp.
-    A run that dies leaves the current version as it was; its own parts have no pointer and are never read. Keys must
+    A run that dies leaves the current version as it was; nothing points to its parts, and the next run does its work. Keys must
     be there once each, and ``build`` must give no others; a key without rows has a part in the manifest, with 0 rows.
     """
     wanted = stored(stamped(sources, key, provenance), "snapshot-wanted")
@@ -101,15 +108,15 @@ def publish(spark: SparkSession, root: str, sources: DataFrame, key: str, proven
     if other:
         raise GuardError(f"the build gave key {other[0][KEY]}, which was not asked for")
     new = changed.join(written, KEY, "left").select(KEY, F.lit(run).alias(RUN), "stamp", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
-    kept.select(KEY, RUN, "stamp", "rows").unionByName(new).write.parquet(f"{root}/manifest/version={number + 1}")
-    point_to(spark, root, number + 1, own, note)
+    kept.select(KEY, RUN, "stamp", "rows").unionByName(new).write.parquet(f"{root}/manifest/by={run}")
+    point_to(spark, root, number + 1, run, own, note)
     return number + 1
 
 
-def point_to(spark: SparkSession, root: str, number: int, schema: T.StructType, note: str) -> None:
+def point_to(spark: SparkSession, root: str, number: int, by: str, schema: T.StructType, note: str) -> None:
     """The switch: one row in one file, whose rename at the end of the job makes the version the current one. A second
     publisher of the same number fails on the folder that is there."""
-    spark.createDataFrame([(number, schema.json(), note)], _POINTER).coalesce(1).write.mode("error").json(f"{root}/pointer/version={number}")
+    spark.createDataFrame([(number, by, schema.json(), note)], _POINTER).coalesce(1).write.mode("error").json(f"{root}/pointer/version={number}")
 
 
 def replace_column(spark: SparkSession, root: str, base: str, ids: DataFrame, on: str, column: str, key: str) -> int:
@@ -129,24 +136,22 @@ def replace_column(spark: SparkSession, root: str, base: str, ids: DataFrame, on
 def remove_unused(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
     """Deletes runs that none of the last ``keep`` versions has parts of, also of publishers that died; returns them. No
     publisher may be at work. Older versions can't be read afterwards, and their pointers go first."""
-    last = current_version(spark, root)
     space, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    top = space.Path(root).getFileSystem(conf)
+    system = space.Path(root).getFileSystem(conf)
 
-    def names(folder: str) -> list[str]:
+    def remove(folder: str, name: str, wanted: set[str]) -> list[str]:
         path = space.Path(f"{root}/{folder}")
-        return [f.getPath().getName() for f in top.listStatus(path)] if top.exists(path) else []
-
-    for folder in ("pointer", "manifest"):
-        for name in names(folder):
-            number = int(name.partition("=")[2]) if name.startswith("version=") else last
-            if number <= last - keep or number > last:
-                top.delete(space.Path(f"{root}/{folder}/{name}"), True)
-    used = {r[RUN] for r in spark.read.schema(f"{_MANIFEST}, version long").parquet(f"{root}/manifest").select(RUN).distinct().collect()} if last else set()
-    gone = [name for name in names("parts") if name.startswith(f"{RUN}=") and name.partition("=")[2] not in used]
-    for name in gone:
-        top.delete(space.Path(f"{root}/parts/{name}"), True)
-    return gone
+        found = [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
+        gone = [n for n in found if n.startswith(f"{name}=") and n.partition("=")[2] not in wanted]
+        for n in gone:
+            system.delete(space.Path(f"{root}/{folder}/{n}"), True)
+        return gone
+
+    last = versions(spark, root).orderBy(F.desc("number")).limit(keep).collect()
+    remove("pointer", "version", {str(r["number"]) for r in last})
+    used = [r[RUN] for by in {r["by"] for r in last} for r in _parts_of(spark, root, by).select(RUN).distinct().collect()]
+    remove("manifest", "by", {r["by"] for r in last})
+    return remove("parts", RUN, set(used))
 
 
 def publish_arriving(batch: DataFrame, root: str, key: str, provenance: Sequence[str], build: Callable[[DataFrame], DataFrame]) -> int:
