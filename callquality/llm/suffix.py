@@ -270,11 +270,6 @@ def phrases_met(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(meet, FOUND)
 
 
-def _wanted(codes, kinds, wanted):
-    """code -> kind of one document's findings."""
-    return {c: k for c, k in zip(codes, kinds, strict=True) if k in wanted}
-
-
 _OPEN = (np.int64, np.int64, np.int64, np.int64, np.int64, np.uint8, np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64, np.int64)
 
 
@@ -303,7 +298,7 @@ def open_rows(joined: DataFrame, how: Parsing, buckets: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             ids, seen = batch.column("doc").to_numpy(), {}
-            codes, starts, _ = _codes_of(batch)
+            codes, starts = _codes_of(batch)
             for base, p in phrases(data, offsets, how):
                 mine = coded(ordinals(p.row, seen), p.phrase)
                 kind = _kinds_of(mine, p.row, codes, starts)
@@ -330,12 +325,12 @@ def open_rows(joined: DataFrame, how: Parsing, buckets: int) -> DataFrame:
 
 
 def _codes_of(batch):
-    """Flat (code << 2 | kind), where each row's begin, and masks, sorted by code within the row."""
+    """Flat (code << 2 | kind), sorted within the row, and where each row's begin."""
     column = batch.column("codes")
     starts = np.zeros(len(column) + 1, np.int64)
     sizes = np.array([0 if v is None else v for v in column.value_lengths().to_pylist()], np.int64)
     starts[1:] = np.cumsum(sizes)
-    return column.flatten().to_numpy(zero_copy_only=False), starts, None
+    return column.flatten().to_numpy(zero_copy_only=False), starts
 
 
 def _kinds_of(mine: np.ndarray, row: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -395,9 +390,8 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     come out as often as they went in. Columns not in ``keep`` aren't read. An empty table gives no rows.
     """
     how = Parsing(length, max(5, length - 20))
-    spark = docs.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(LEAST_BUCKETS, -(-min(size, 1 << 60) // BUCKET_BYTES)) if size < 1 << 50 else 1 << 24
+    n_bytes = docs.agg(F.sum(F.octet_length(docs[text].cast("string")))).head()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-n_bytes // BUCKET_BYTES))
     given = docs.select(docs[key].cast("long").alias("doc"), docs[text].cast("string").alias("text"), *[docs[c].alias(f"keep_{c}") for c in keep])
     lean = docs.select(docs[key].cast("long").alias("doc"), docs[text].cast("string").alias("text"))
     met = phrases_met(trigger_rows(lean, how, buckets))
@@ -413,7 +407,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            codes, starts, _ = _codes_of(batch)
+            codes, starts = _codes_of(batch)
             marks = batch.column("mark_codes").to_pylist()
             masks = batch.column("masks").to_pylist()
             gone = np.zeros(len(data) + 1, np.int32)

@@ -435,3 +435,16 @@ def test_components(spark, docs, rows, empty, width, percent):
         assert jaccard.jaccard_components(empty).count() == 0
         left = jaccard.near_duplicates_dropped(docs, width=width, percent=percent)
         assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(r[0] for r in rows if r[0] is not None and want[r[0]] == r[0])
+
+
+def test_buckets_follow_the_texts_not_the_plan(spark, docs, monkeypatch):
+    """Sides of joins multiply in Spark's estimates; the number of buckets comes from the bytes that are there."""
+    seen = []
+    keep = suffix.trigger_rows
+    monkeypatch.setattr(suffix, "trigger_rows", lambda d, how, buckets: seen.append(buckets) or keep(d, how, buckets))
+    joined = docs
+    for _ in range(3):
+        joined = joined.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    suffix.repeated_bytes(docs)
+    suffix.repeated_bytes(joined)
+    assert seen == [suffix.LEAST_BUCKETS] * 2
