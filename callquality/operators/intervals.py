@@ -10,6 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callquality.operators.joins import GuardError
+from callquality.operators.ordering import counted_before
+from callquality.operators.quantiles import null_safe_join
+from callquality.operators.shared import stored
 
 #: Cells that the rows of a partition key are dealt to, for neighbours in position.
 CELL_WIDTH = 1 << 20
@@ -28,29 +31,87 @@ def inside_disjoint(points: DataFrame, regions: DataFrame, by: str = "chrom", st
     return p.join(r, hit, "left").withColumn(out, F.coalesce(F.col(end) <= F.col("_high"), F.lit(False))).drop("_at", "_by", "_low", "_high", "_cell")
 
 
+#: Each level of nested cells is so many times as wide as the one below; levels that positions need at most.
+NEST, LEVELS = 16, 8
+
+
+def _nested(start: Column, end: Column, width: int) -> Column:
+    """The nested cells (level, cell) that cover [start, end) exactly on their level, the cells of the lowest level but in
+    part: at most 2 * (NEST - 1) a level, so their number grows with the logarithm of the length."""
+    first, after = F.floor(start / width).cast("long"), F.floor(F.greatest(end - 1, start) / width).cast("long") + 1
+
+    def on(level: int, cells: Column) -> Column:
+        return F.transform(cells, lambda c: F.struct(F.lit(level).alias("level"), c.alias("cell")))
+
+    def cells(a: Column, z: Column) -> Column:
+        return F.when(a < z, F.sequence(a, z - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    inside = [(F.ceil(first / NEST**k).cast("long"), F.floor(after / NEST**k).cast("long")) for k in range(LEVELS + 1)]
+    parts = []
+    for level, ((a, z), (up_a, up_z)) in enumerate(zip(inside, inside[1:], strict=False)):  # whole cells, but for those of whole parents
+        own = F.when(up_a < up_z, F.concat(cells(a, up_a * NEST), cells(up_z * NEST, z))).otherwise(cells(a, z))
+        parts.append(on(level, own))
+    return F.concat(*parts)
+
+
+def stabbed(points: DataFrame, spans: DataFrame, by: str, at: Column, s_by: str, start: Column, end: Column, width: int = 1 << 14) -> DataFrame:
+    """Pairs of a point and the spans [start, end) that hold it, with all columns of both.
+
+    A span is in few nested cells, whatever its length; a point looks in its cell of each level that spans are on."""
+    s = stored(spans.withColumn("_nested", F.explode(_nested(start, end, width))).select("*", F.col("_nested.level").alias("_slevel"), F.col("_nested.cell").alias("_scell")).drop("_nested"), "spans")
+    levels = sorted(r["_slevel"] for r in s.select("_slevel").distinct().collect())
+    cells = [F.struct(F.lit(k).alias("level"), F.floor(at / (width * NEST**k)).cast("long").alias("cell")) for k in levels]
+    p = points.withColumn("_cell", F.explode(F.array(*cells) if cells else F.array().cast("array<struct<level:int,cell:bigint>>")))
+    meet = (F.col(by) == F.col(s_by)) & (F.col("_cell.level") == F.col("_slevel")) & (F.col("_cell.cell") == F.col("_scell")) & (start <= at) & (at < end)
+    return p.join(s, meet).drop("_cell", "_slevel", "_scell")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, by: str = "chrom", start: str = "start", end: str = "end", pad: int = 0, width: int = 1 << 14, how: str = "inner") -> DataFrame:
     """Pairs of rows whose intervals overlap, the left one padded; the right columns get the prefix ``r_``.
 
-    Both sides are cut at multiples of ``width``; a pair comes out in the first cell that both share, so once. ``how``
-    left keeps left rows without partner, semi and anti keep left rows only.
+    Of two intervals that overlap, the later one's start lies in the other: so a pair comes out once, and the starts of
+    either side look for the intervals of the other in nested cells (``stabbed``). Intervals that hold nothing meet those
+    that hold their place inside. ``how`` left keeps left rows without partner, semi and anti keep left rows only, and
+    find them by counts, without pairs.
     """
     if how == "semi" or how == "anti":
         # Rows with one interval share their fate, so intervals are the key.
-        met = overlap_join(left.select(by, start, end).distinct(), right.select(by, start, end), by, start, end, pad, width).select(by, start, end).distinct()
+        spans = stored(left.select(by, start, end).distinct(), "spans")
+        met = _overlap_counts(spans, right, by, start, end, pad).filter("_n > 0").select(by, start, end)
         return left.join(met, [by, start, end], f"left_{how}").select(*left.columns)
     low, high = F.col(start) - pad, F.col(end) + pad
-    cut = lambda a, b: F.sequence(F.floor(a / width), F.floor(F.greatest(b - 1, a) / width))
-    l = left.withColumn("_first", F.floor(low / width)).withColumn("_cell", F.explode(cut(low, high)))  # noqa: E741
+    r_low, r_high = F.col(f"r_{start}"), F.col(f"r_{end}")
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    r = r.withColumn("_rfirst", F.floor(F.col(f"r_{start}") / width)).withColumn("_rcell", F.explode(cut(F.col(f"r_{start}"), F.col(f"r_{end}"))))
-    meet = (F.col(by) == F.col(f"r_{by}")) & (F.col("_cell") == F.col("_rcell")) & (low < F.col(f"r_{end}")) & (F.col(f"r_{start}") < high)
-    pairs = l.join(r, meet & (F.col("_cell") == F.greatest("_first", "_rfirst"))).drop("_first", "_cell", "_rfirst", "_rcell")
+    inside = (low < r_high) & (r_low < high)
+    later = stabbed(r, left, f"r_{by}", r_low, by, low, high, width).filter(inside & (r_low > low))
+    earlier = stabbed(left, r, by, low, f"r_{by}", r_low, r_high, width).filter(inside)
+    names = [*left.columns, *r.columns]
+    pairs = later.select(*names).unionByName(earlier.select(*names))
     if how == "left":
         lonely = overlap_join(left, right, by, start, end, pad, width, "anti")
         return pairs.unionByName(lonely, allowMissingColumns=True)
     return pairs
 
 
+def _overlap_counts(spans: DataFrame, right: DataFrame, by: str, start: str, end: str, pad: int) -> DataFrame:
+    """The distinct ``spans`` (by, start, end) with ``_n``, the right intervals that overlap: those that start before the
+    end, less those that end by the start. Counted along both orders, so neither length nor pile-ups make pairs."""
+    low, high = F.col(start) - pad, F.col(end) + pad
+    kind = F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)) & F.col(by).isNotNull()
+    empty = (F.col(start) == F.col(end)).cast("int")
+    ends = lambda at, sign: F.struct(at.cast("double").alias("_at"), F.lit(sign).alias("_sign"))
+    r = right.filter(kind).select(F.lit(True).alias("_point"), F.col(by).alias("_by"), F.explode(F.array(ends(F.col(start), 1), ends(F.col(end), -1))).alias("_e"), empty.alias("_kind"), *[F.lit(None).cast(spans.schema[c].dataType).alias(c) for c in (start, end)])
+    # An interval that holds nothing overlaps none of its like, so it asks for the others (kind 0) only.
+    asked = F.when(low < high, 2).otherwise(1)
+    l = spans.filter(kind).select(F.lit(False).alias("_point"), F.col(by).alias("_by"), F.explode(F.array(ends(high, 1), ends(low, -1))).alias("_e"), asked.alias("_kind"), start, end)  # noqa: E741
+    events = r.unionByName(l).select("_point", "_by", "_e.*", "_kind", start, end)
+    # before the end: starts < high; by the start: ends <= low, so those points come first
+    turn = F.when(F.col("_sign") == 1, F.col("_point").cast("int")).otherwise((~F.col("_point")).cast("int"))
+    counted = counted_before(events.withColumn("_turn", turn), ["_by", "_sign"], ["_at", "_turn"], F.col("_point"), "_count", F.col("_kind"), F.col("_kind"), fan=2)
+    found = counted.filter("NOT _point").groupBy(F.col("_by").alias(by), start, end).agg(F.sum(F.col("_sign") * F.col("_count")).alias("_n"))
+    return found
+
+
 def overlap_length(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
     return F.greatest(F.lit(0), F.least(end, other_end) - F.greatest(start, other_start))
 
@@ -73,9 +134,10 @@ def overlap_summary(left: DataFrame, right: DataFrame, key: str, name: str, low:
 
 
 def count_overlaps(left: DataFrame, right: DataFrame, key: str, by: str = "chrom", start: str = "start", end: str = "end", pad: int = 0) -> DataFrame:
-    """Number of overlapping right rows of each left row, zero included."""
-    found = overlap_join(left.select(key, by, start, end), right.select(by, start, end), by, start, end, pad).groupBy(key).agg(F.count("*").alias("n_overlaps"))
-    return left.join(found, key, "left").withColumn("n_overlaps", F.coalesce("n_overlaps", F.lit(0)))
+    """Number of overlapping right rows of each left row, zero included; no pairs are formed."""
+    spans = left.select(by, start, end).distinct()
+    found = _overlap_counts(spans, right.select(by, start, end), by, start, end, pad)
+    return null_safe_join(left, found, [by, start, end], "left").withColumn("n_overlaps", F.coalesce("_n", F.lit(0))).select(*left.columns, "n_overlaps")
 
 
 def _with_cells(rows: DataFrame, per_cell: DataFrame) -> DataFrame:

@@ -76,7 +76,8 @@ def test_containment(spark):
 @pytest.mark.parametrize("width", [7, 64])
 def test_overlaps_equal_brute_force(spark, width):
     rnd = np.random.default_rng(3)
-    make = lambda n: [(str(rnd.integers(3)), int(s := rnd.integers(500)), int(s + rnd.integers(1, 60)), k) for k in range(n)]
+    size = lambda: rnd.choice([0, 1, rnd.integers(1, 60), rnd.integers(1, 5000)])
+    make = lambda n: [(str(rnd.integers(3)), int(s := rnd.integers(500)), int(s + size()), k) for k in range(n)]
     a, b = make(60), make(80)
     schema = "chrom string, start long, end long, id int"
     got = intervals.overlap_join(frame(spark, schema, a), frame(spark, schema, b), pad=5, width=width).select("id", "r_id")
@@ -84,6 +85,17 @@ def test_overlaps_equal_brute_force(spark, width):
     assert sorted(rows(got)) == want
     lonely = intervals.overlap_join(frame(spark, schema, a), frame(spark, schema, b), pad=5, width=width, how="anti")
     assert {r.id for r in lonely.collect()} == {x[3] for x in a} - {i for i, _ in want}
+    counts = intervals.count_overlaps(frame(spark, schema, a), frame(spark, schema, b), "id")
+    assert {r.id: r.n_overlaps for r in counts.collect()} == {x[3]: sum(x[0] == y[0] and x[1] < y[2] and y[1] < x[2] for y in b) for x in a}
+
+
+def test_long_intervals_make_few_rows(spark):
+    chromosome = frame(spark, "chrom string, start long, end long", [("1", 1, 250_000_001)])
+    made = chromosome.select(F.explode(intervals._nested(F.col("start"), F.col("end"), 1 << 14)).alias("c")).select("c.*").collect()
+    assert len(made) < 4 * 2 * 15 and sum(16**r.level for r in made) == 250_000_000 // (1 << 14) + 1
+    points = spark.range(0, 250_000_000, 1_000_003).select(F.lit("1").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 1).alias("end"))
+    assert intervals.overlap_join(points, chromosome).count() == points.count() - 1
+    assert intervals.count_overlaps(chromosome.withColumn("k", F.lit(1)), points, "k").head().n_overlaps == points.count() - 1
 
 
 def test_islands_and_groups(spark):
