@@ -226,8 +226,34 @@ def content_digest(row_text: Column) -> Column:
     return F.sha2(F.array_join(F.sort_array(F.collect_list(row_text)), "\n"), 256)
 
 
+#: Digits of a digest's sum and their bits.
+DIGITS, DIGIT_BITS = 16, 16
+
+
+def digest_sums(row_text: Column) -> list[Column]:
+    """Aggregates: sums of the 16-bit digits of the rows' SHA-256, the lowest digit first; NULL rows don't count. They merge
+    as sums do, so each task sends one row a group, and hold 2**47 rows."""
+    h = F.sha2(row_text, 256)
+    return [F.coalesce(F.sum(F.conv(F.substring(h, 61 - 4 * k, 4), 16, 10).cast("long")), F.lit(0)) for k in range(DIGITS)]
+
+
+def multiset_digest(row_text: Column) -> Column:
+    """Aggregate: a digest of a multiset of rows, in 64 hex digits: the sum of their SHA-256 modulo 2**256. Order does not
+    change it, a repeated row does; no rows give zeros. For tables that aren't built against it: whoever may choose
+    rows can make two multisets agree."""
+    sums = F.array(*digest_sums(row_text))
+    one = F.lit(1 << DIGIT_BITS)
+    start = F.struct(F.lit("").alias("hex"), F.lit(0).cast("long").alias("carry"))
+
+    def step(done: Column, s: Column) -> Column:
+        whole = s + done["carry"]
+        return F.struct(F.concat(F.lpad(F.lower(F.hex(whole % one)), 4, "0"), done["hex"]).alias("hex"), F.shiftright(whole, DIGIT_BITS).alias("carry"))
+
+    return F.aggregate(sums, start, step)["hex"]
+
+
 def register(spark: SparkSession) -> None:
-    """Makes tolerance, direction_code, regime_of, unit_category, hash_fraction and motif_family SQL functions."""
+    """Makes tolerance, direction_code, regime_of, unit_category, bin_index, hash_fraction and motif_family SQL functions."""
     ladder = " ".join(f"WHEN size {'<=' if closed else '<'} {high} THEN {units}" for high, closed, units in TOLERANCE_TIERS if high is not None)
     steps = " ".join(f"WHEN unit < {edge} THEN {k}" for k, edge in enumerate(UNIT_CATEGORY_EDGES))
     bodies = {
@@ -235,6 +261,7 @@ def register(spark: SparkSession) -> None:
         "direction_code(called DOUBLE, truth DOUBLE, tol INT) RETURNS INT": "CASE WHEN rint(called) - rint(truth) > tol THEN 1 WHEN rint(called) - rint(truth) < -tol THEN 2 WHEN called IS NOT NULL AND truth IS NOT NULL THEN 0 END",
         "regime_of(branch STRING, spanning DOUBLE) RETURNS STRING": "CASE WHEN branch = 'quick' THEN 'quick' WHEN coalesce(spanning, 0) >= 1 THEN 'full_spanning' ELSE 'full_nonspanning' END",
         "unit_category(unit DOUBLE) RETURNS INT": f"CASE WHEN unit IS NULL THEN NULL {steps} ELSE {len(UNIT_CATEGORY_EDGES)} END",
+        "bin_index(x DOUBLE, edges ARRAY<DOUBLE>) RETURNS INT": "CASE WHEN x IS NOT NULL THEN size(filter(edges, e -> e <= x)) - 1 END",
         "hash_fraction(a STRING, b STRING) RETURNS DOUBLE": "crc32(cast(concat_ws('|', a, b) AS binary)) / 4294967296D",
         "motif_family(m STRING) RETURNS STRING": "array_min(flatten(transform(array(m, reverse(translate(m, 'ACGTN', 'TGCAN'))), s -> transform(sequence(1, length(s)), i -> concat(substr(s, i), substr(s, 1, i - 1))))))",
     }

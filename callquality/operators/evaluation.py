@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from callquality.functions.exprs import half_even
 from callquality.operators import metrics, ml
 from callquality.operators.scoring import calibrated, compile_knots, compile_model, softmax, tree_values
+from callquality.operators.shared import stored
 
 
 def long_metrics(df: DataFrame, part: str, item: Sequence[str] = ()) -> DataFrame:
@@ -77,7 +78,7 @@ def learning_curves(
 
     ``calib`` gives the curves, ``cells`` the rows to judge; both hold the features. Weights put a sample of a cell back
     on its population's scale. Rows of no stratum count nowhere; a stratum without rows has none."""
-    for_curves = staged_scores(calib.select(*dict.fromkeys([*features, label])), nodes, regime, features, sizes, None, ratio, classes)
+    for_curves = stored(staged_scores(calib.select(*dict.fromkeys([*features, label])), nodes, regime, features, sizes, None, ratio, classes), "curves")
     knots = None
     for s in sizes:
         one = ml.fit_calibrators(for_curves.filter(F.col("size") == s), label, classes).withColumn("size", F.lit(s))
@@ -111,10 +112,10 @@ def evaluation_bundle(
     names = [f"p_{k}" for k in range(classes)]
     found = ml.out_of_fold(own, folds, key, fit)
     factor = F.round(F.exp("t_predicted"), digits)
-    found = found.withColumns({
+    found = stored(found.withColumns({
         "predicted": F.col(called) / F.exp("t_predicted"), "corrected": F.when(factor > 0, half_even(F.col(called) / factor)),
         "p_emitted": F.round("p_0", digits), "right": F.col(label) == 0, "delta": half_even(F.col(called)) - half_even(F.col(truth)),
-    })
+    }), "predictions")
     parts = [
         long_metrics(own.agg(F.count("*").alias("n_rows")), "rows"),
         long_metrics(metrics.point_metrics(found, (), called, truth, "predicted", target, "t_predicted", tol), "size"),

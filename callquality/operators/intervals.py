@@ -165,8 +165,9 @@ def islands(df: DataFrame, by: str = "chrom", start: str = "start", end: str = "
     from those before it (the last end, the islands so far) comes from one row a cell.
     """
     order, cells = [start, end, *([key] if key else [])], W.partitionBy("_by").orderBy("_at")
-    told = _with_previous(_dealt(df, by, start, width), F.col(end), order, "_previous")
+    told = _with_previous(stored(_dealt(df, by, start, width), "islands"), F.col(end), order, "_previous")
     marked = told.withColumn("_new", F.coalesce((F.col(start) - F.col("_previous") >= gap).cast("int"), F.lit(1))).drop("_previous")
+    marked = stored(marked, "islands")
     counts = marked.groupBy("_by", "_at").agg(F.sum("_new").alias("_n"))
     so_far = F.coalesce(F.sum("_n").over(cells.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     based = _with_cells(marked, counts.select("_by", "_at", so_far.alias("_base")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from callquality.functions.exprs import half_even, ratio
 from callquality.operators.joins import GuardError
 from callquality.operators.quantiles import with_quantiles
+from callquality.operators.shared import stored
 
 
 def _grouped(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
@@ -115,7 +116,7 @@ def score_table(df: DataFrame, score: str, positive: str, by: Sequence[str] = ()
     flag = F.coalesce(F.col(positive).cast("boolean"), F.lit(False))
     keys = {f"_k{k}": F.col(c) for k, c in enumerate(by)} or {"_k0": F.lit(0)}
     known = df.filter(F.col(score).isNotNull()).withColumns(keys)
-    at = known.groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(flag).alias("pos"), F.count_if(~flag).alias("neg"))
+    at = stored(known.groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(flag).alias("pos"), F.count_if(~flag).alias("neg")), "scores")
     ends = at.groupBy(*keys).agg(F.min("score").cast("double").alias("_low"), F.max("score").cast("double").alias("_high"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
     def joined(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -106,8 +108,18 @@ def gbt_prefix_losses(model: PipelineModel, held_out: DataFrame, features: Seque
     for k, tree in enumerate(trained.trees):
         parts = tree.setPredictionCol(f"_t{k}").transform(parts)
     terms = F.array(*[F.col(f"_t{k}") * w for k, w in enumerate(trained.treeWeights)])
-    each = parts.select(target, F.posexplode(F.transform(F.sequence(F.lit(1), F.size(terms)), lambda n: F.aggregate(F.slice(terms, F.lit(1), n), F.lit(0.0), lambda a, x: a + x))).alias("i", "p"))
-    return each.groupBy((F.col("i") + 1).alias("size")).agg(pinball(F.col(target), F.col("p")).alias("loss"))
+
+    def losses(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                y = batch.column("y").to_numpy()[:, None]
+                off = y - np.cumsum(batch.column("terms").flatten().to_numpy(zero_copy_only=False).reshape(n, -1), axis=1)
+                total = 0.5 * np.abs(off).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, len(total) + 1, dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), n))], ["size", "total", "n"])
+
+    known = parts.select(F.col(target).cast("double").alias("y"), terms.alias("terms")).filter("y IS NOT NULL")
+    return known.mapInArrow(losses, "size int, total double, n long").groupBy("size").agg((F.sum("total") / F.sum("n")).alias("loss"))
 
 
 def cross_fitted_gate(df: DataFrame, features: Sequence[str], label: str, group: str, threshold: float = 0.5, seed: int = 0, **how) -> DataFrame:

@@ -571,6 +571,18 @@ def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls(spark, sf_dir).groupBy("sample_id").agg(E.content_digest(F.col("rk")).alias("digest"))
 
 
+_CARRIES = ", ".join(f"k{k} AS (SELECT *, (s{k} + {f'c{k - 1}' if k else '0'}) % 65536 AS d{k}, (s{k} + {f'c{k - 1}' if k else '0'}) // 65536 AS c{k} FROM {f'k{k - 1}' if k else 's'})" for k in range(16))
+
+
+@query(f"""{WITH}, s AS (SELECT sample_id, count(*) AS n, {", ".join(f"sum(('0x' || substr(sha256(rk), {61 - 4 * k}, 4))::BIGINT)::BIGINT AS s{k}" for k in range(16))} FROM (SELECT sample_id, rk FROM calls UNION ALL SELECT sample_id, rk FROM calls WHERE motif_size = 1) GROUP BY ALL), {_CARRIES}
+  SELECT sample_id, n, {" || ".join(f"lpad(lower(to_hex(d{k})), 4, '0')" for k in reversed(range(16)))} AS digest FROM k15""")
+def multiset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each sample's rows, some of them twice, from sums that merge."""
+    df = calls(spark, sf_dir).select("sample_id", "rk", "motif_size")
+    both = df.unionByName(df.filter("motif_size = 1"))
+    return both.groupBy("sample_id").agg(F.count("*").alias("n"), E.multiset_digest(F.col("rk")).alias("digest"))
+
+
 @query(f"""{WITH}, t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 300 < 20 THEN '0-20' WHEN o_orderkey % 300 < 50 THEN '20-50' WHEN o_orderkey % 300 < 100 THEN '50-100' WHEN o_orderkey % 300 < 200 THEN '100-200' ELSE '200+' END AS size_bin, NOT EXISTS (SELECT 1 FROM calls WHERE locus_id = o_orderkey AND motif_size >= 5) AS gone FROM orders)
   SELECT 'all' AS size_bin, count(*) AS total, count_if(gone) AS missing, round(count_if(gone) / count(*), 6) AS gap FROM t UNION ALL SELECT size_bin, count(*), count_if(gone), round(count_if(gone) / count(*), 6) FROM t GROUP BY size_bin""")
 def coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
