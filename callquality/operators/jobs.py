@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callquality.functions.exprs import bin_index, col, difference_bin, numeric, unit_category
+from callquality.functions.exprs import absolute_size, bin_index, col, difference_bin, direction_code, half_even, numeric, tolerance, unit_category
 from callquality.operators.categories import VERDICTS, corrected_categories, drop_ledger, entities_off, truth_verdicts
 from callquality.operators.compare import feature_changes, group_sums, paired_comparison
 from callquality.operators.joins import GuardError, difference_summary, first_per_key, only_keys_of, replace_groups, variant_rows
-from callquality.operators.metrics import gated_errors
+from callquality.operators.metrics import argmax, gated_errors
 from callquality.operators.quantiles import with_quantiles
 from callquality.operators.reads import flank_table, measure_reads
 from callquality.operators.sampling import cap_per_class, cap_rows
+from callquality.operators.scoring import score
+from callquality.operators.shared import stored
 from callquality.sources.io import marked, require_contract
 
 #: Called sizes that bound the quota cells.
@@ -82,6 +84,47 @@ def evaluation_run(df: DataFrame, doubles: Sequence[str], sample: str, cap: int
     return gated_errors(left, list(by), **columns)
 
 
+def evaluate_model(
+    df: DataFrame, nodes: DataFrame, knots: DataFrame, features: dict[str, list[str]], doubles: Sequence[str], sample: str, key: Sequence[str], unit: str = "unit", called: str = "called", truth: str = "truth", regime: str = "regime",
+    cap: int | None = None, contradicted: str | None = None, seed: int | str = 0, gate: float = 0.5, eps: float = 1e-9,
+) -> dict[str, DataFrame]:
+    """A model held against raw rows, by its own features: ``summary`` (regime, stratum), ``by_sample`` (regime, stratum,
+    sample) and ``by_category`` (regime, category of the unit's size, sample).
+
+    The contract and the features are checked; rows whose call or truth is missing go, the others are labelled; each
+    sample is capped by hash; then contradicted rows go (a GuardError if the column isn't there), so that runs with and
+    without them have one sample; rows are scored by their regime's experts. Corrections are whole sizes, made where the
+    gate fires; what they would do elsewhere is counted too (``_from`` the gate on). Units of one base are a stratum of their
+    own, ``one``; the others are ``more``. Sums by sample let runs be paired sample by sample."""
+    wanted = sorted({f for fs in features.values() for f in fs})
+    require_contract(df.schema, doubles, [sample, *key, regime, unit, called, truth, *wanted, *([contradicted] if contradicted else [])], "evaluation")
+    c, y = F.col(called), F.col(truth)
+    known = df.filter(c.isNotNull() & y.isNotNull() & ~F.isnan(c.cast("double")) & ~F.isnan(y.cast("double")))
+    labelled = known.withColumn("_label", direction_code(called, truth, tolerance(absolute_size(unit, truth))))
+    capped = labelled if cap is None else cap_rows(labelled, cap, key, seed, [sample])
+    left = capped if contradicted is None else capped.filter(~F.coalesce(F.col(contradicted), F.lit(False)))
+    slim = left.select(*dict.fromkeys([sample, regime, unit, called, truth, "_label", *wanted]))
+    scored = stored(score(slim, nodes, knots, features, regime), "evaluated")
+    fires = F.coalesce(F.col("p_0") < gate, F.lit(False))
+    made = F.when(F.col("factor") > 0, half_even(c / F.col("factor")))
+    raw, own = F.abs(y - c), F.abs(y - F.coalesce(made, c))
+    rows = scored.select(
+        sample, regime, F.when(F.col(unit) == 1, "one").otherwise("more").alias("stratum"), unit_category(unit).alias("category"), raw.alias("raw"), own.alias("own"), F.when(fires, own).otherwise(raw).alias("gated"), fires.alias("fires"),
+        (half_even(c) == half_even(y)).alias("exact_raw"), (half_even(F.when(fires, F.coalesce(made, c)).otherwise(c)) == half_even(y)).alias("exact_gated"),
+        (argmax(["p_0", "p_1", "p_2"]) == F.col("_label")).alias("class_right"), (fires == (F.col("_label") != 0)).alias("gate_right"),
+    )
+    share = lambda name: F.avg(F.col(name).cast("double")).alias(name)
+    sides = {"below": F.col("fires"), "from": ~F.col("fires")}
+    counts = [F.count_if(test & side).alias(f"{name}_{where}") for where, side in sides.items() for name, test in (("n", F.lit(True)), ("helped", F.col("own") < F.col("raw") - eps), ("hurt", F.col("own") > F.col("raw") + eps))]
+    means = rows.groupBy(regime, "stratum").agg(
+        F.count("*").alias("n"), F.avg("raw").alias("mae_raw"), F.avg("gated").alias("mae_gated"), (1 - F.try_divide(F.avg("gated"), F.avg("raw"))).alias("dist_reduction"), *[share(x) for x in ("exact_raw", "exact_gated", "class_right", "gate_right")], *counts,
+    )
+    medians = {"median_raw": "raw", "median_gated": "gated"}
+    summary = with_quantiles(means, rows, [regime, "stratum"], medians, [0.5]).withColumns({m: F.get(m, F.lit(0)) for m in medians})
+    sums = [F.count("*").alias("n"), F.sum("raw").alias("sum_raw"), F.sum("gated").alias("sum_gated")]
+    return {"summary": summary, "by_sample": rows.groupBy(regime, "stratum", sample).agg(*sums), "by_category": rows.groupBy(regime, "category", sample).agg(*sums)}
+
+
 def merged_source(current: DataFrame, other: DataFrame, changed: DataFrame, entity: str, on: Sequence[str], pos: str = "pos") -> tuple[DataFrame, DataFrame]:
     """The current rows with the changed entities' rows from the other run in their places, and (field, compared,
     differing) of the merged rows against the current ones."""

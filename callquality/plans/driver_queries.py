@@ -591,13 +591,24 @@ def coverage_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.coverage_gaps(truth, found, "id", E.size_label(F.col("id") % 300, E.TRUTH_SIZE_EDGES, E.TRUTH_SIZE_LABELS)))
 
 
-@query(f"""{WITH}, m AS (SELECT quantile_disc(called, 0.5) AS c, quantile_disc(size, 0.5) AS s FROM calls), x AS (SELECT rk, regime, called <= c AS low, size <= s AS small, CASE regime WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS k FROM calls, m),
+#: Scores of the calls by trees with splits at table-wide medians.
+ROUTED = f"""{WITH}, m AS (SELECT quantile_disc(called, 0.5) AS c, quantile_disc(size, 0.5) AS s FROM calls), x AS (SELECT rk, regime, called <= c AS low, size <= s AS small, CASE regime WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS k FROM calls, m),
   e AS (SELECT *, exp(CASE WHEN low THEN -0.05 - k / 100 ELSE 0.05 END) AS factor, exp(CASE WHEN small THEN 1.0 ELSE 0.2 END) AS e0, exp(CASE WHEN low THEN -0.5 ELSE 0.4 END) AS e1, exp(CASE WHEN low THEN 0.3 ELSE -0.2 END) AS e2 FROM x),
-  p AS (SELECT *, e0 / (e0 + e1 + e2) AS raw0, e1 / (e0 + e1 + e2) AS q1, e2 / (e0 + e1 + e2) AS q2 FROM e), q AS (SELECT *, CASE WHEN regime = 'A' THEN least(greatest((raw0 - 0.1) / 0.7, 0), 1) ELSE raw0 END AS q0 FROM p)
+  p AS (SELECT *, e0 / (e0 + e1 + e2) AS raw0, e1 / (e0 + e1 + e2) AS q1, e2 / (e0 + e1 + e2) AS q2 FROM e), q AS (SELECT *, CASE WHEN regime = 'A' THEN least(greatest((raw0 - 0.1) / 0.7, 0), 1) ELSE raw0 END AS q0 FROM p)"""
+
+
+@query(f"""{ROUTED}
   SELECT rk, regime, round(factor, 3) AS factor, round(q0 / (q0 + q1 + q2), 3) AS p_0, round(q1 / (q0 + q1 + q2), 3) AS p_1, round(q2 / (q0 + q1 + q2), 3) AS p_2 FROM q""")
 def routed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees with splits at table-wide medians, kept as a model table, score every call by its regime's expert."""
     df = calls(spark, sf_dir)
+    scored = scoring.score(df.select("rk", "regime", "called", "size"), *routed_model(df))
+    return scored.select("rk", "regime", "factor", "p_0", "p_1", "p_2")
+
+
+def routed_model(df: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, list[str]]]:
+    """Nodes, knots and features of a small model for three regimes."""
+    spark = df.sparkSession
     mid = df.agg(F.percentile_approx("called", 0.5).alias("c"), F.percentile_approx("size", 0.5).alias("s")).first()
     rows = []
     for k, regime in enumerate("ANR"):
@@ -606,8 +617,7 @@ def routed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows += [(regime, head, 0, cls, n, True, float(v), None, None, None, None, None) for n, v in ((1, low), (2, high))]
     nodes = spark.createDataFrame(rows, "regime string, head string, iter int, class int, node_id int, is_leaf boolean, value double, feature int, threshold double, missing_left boolean, left int, right int")
     knots = spark.createDataFrame([("A", 0, 0, 0.1, 0.0), ("A", 0, 1, 0.8, 1.0)], "regime string, class int, i int, x double, y double")
-    scored = scoring.score(df.select("rk", "regime", "called", "size"), nodes, knots, {r: ["called", "size"] for r in "ANR"})
-    return scored.select("rk", "regime", "factor", "p_0", "p_1", "p_2")
+    return nodes, knots, {r: ["called", "size"] for r in "ANR"}
 
 
 # Streams

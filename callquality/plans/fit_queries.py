@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callquality.operators import boosting, scoring
-from callquality.plans.driver_queries import WITH, calls, query, r6, rounded
+from callquality.functions.exprs import UNIT_CATEGORY_EDGES
+from callquality.operators import boosting, jobs, scoring
+from callquality.plans.driver_queries import ROUTED, WITH, calls, query, r6, rounded, routed_model
 from callquality.sources.models import model_documents, model_tables
 
 FEATURES = ("called", "motif_size", "p_ok", "gappy")
@@ -50,3 +51,34 @@ def boosted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = scored.select(F.posexplode(F.array("p_0", "p_1", "p_2")).alias("class", "p"))
     found = each.groupBy("class").agg(F.count("*").alias("n"), F.round(F.avg("p"), 4).alias("mean_p"), F.max("p").alias("top_p"), F.min("p").alias("low_p"))
     return rounded(found)
+
+
+_CATEGORY = "CASE " + " ".join(f"WHEN motif_size < {edge} THEN {k}" for k, edge in enumerate(UNIT_CATEGORY_EDGES)) + f" ELSE {len(UNIT_CATEGORY_EDGES)} END"
+_EVALUATED = f"""{ROUTED}, g AS (SELECT rk, round(factor, 3) AS factor, round(q0 / (q0 + q1 + q2), 3) AS p_0, round(q1 / (q0 + q1 + q2), 3) AS p_1, round(q2 / (q0 + q1 + q2), 3) AS p_2 FROM q),
+  r AS (SELECT c.*, row_number() OVER (PARTITION BY sample_id ORDER BY md5('5|' || rk)) AS place FROM calls c),
+  w AS (SELECT sample_id, regime, CASE WHEN motif_size = 1 THEN 'one' ELSE 'more' END AS stratum, {_CATEGORY} AS category, g.p_0 < 0.5 AS fires, truth, called, round_even(called / factor, 0) AS made, dir_code,
+    CASE WHEN g.p_0 >= g.p_1 AND g.p_0 >= g.p_2 THEN 0 WHEN g.p_1 >= g.p_2 THEN 1 ELSE 2 END AS likeliest FROM r JOIN g USING (rk) WHERE place <= 40 AND NOT (dir_code = 2 AND chrom = 3)),
+  z AS (SELECT *, abs(truth - called) AS before, abs(truth - made) AS own, CASE WHEN fires THEN abs(truth - made) ELSE abs(truth - called) END AS gated, CASE WHEN fires THEN made ELSE called END AS final FROM w)"""
+_COUNTS = ", ".join(f"count_if({side}) AS n_{name}, count_if({side} AND own < before - 1e-9) AS helped_{name}, count_if({side} AND own > before + 1e-9) AS hurt_{name}" for name, side in (("below", "fires"), ("from", "NOT fires")))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    df = calls(spark, sf_dir)
+    raw = df.withColumn("contradicted", (F.col("dir_code") == 2) & (F.col("chrom") == 3)).drop("dir_code", "tol", "p_ok", "p_too_long", "p_too_short", "lcf", "corrected", "fixed")
+    return jobs.evaluate_model(raw, *routed_model(df), ["called", "truth"], "sample_id", ["rk"], "motif_size", cap=40, contradicted="contradicted", seed=5)
+
+
+@query(f"""{_EVALUATED} SELECT regime, stratum, count(*) AS n, round(avg(before), 6) AS mae_raw, round(avg(gated), 6) AS mae_gated, round(1 - avg(gated) / nullif(avg(before), 0), 6) AS dist_reduction, round(median(before), 6) AS median_raw, round(median(gated), 6) AS median_gated,
+  round(avg((round_even(called, 0) = round_even(truth, 0))::INT), 6) AS exact_raw, round(avg((round_even(final, 0) = round_even(truth, 0))::INT), 6) AS exact_gated, round(avg((likeliest = dir_code)::INT), 6) AS class_right, round(avg((fires = (dir_code <> 0))::INT), 6) AS gate_right, {_COUNTS} FROM z GROUP BY ALL""")
+def model_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model against raw calls: labels, cap, contradicted rows, scores and the summary, units of one base apart."""
+    return rounded(_evaluated(spark, sf_dir)["summary"])
+
+
+@query(f"""{_EVALUATED} SELECT 'stratum ' || stratum AS part, regime, sample_id, count(*) AS n, round(sum(before), 6) AS sum_raw, round(sum(gated), 6) AS sum_gated FROM z GROUP BY ALL
+  UNION ALL SELECT 'category ' || category, regime, sample_id, count(*), round(sum(before), 6), round(sum(gated), 6) FROM z GROUP BY ALL""")
+def model_evaluation_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sums by which two models are paired sample by sample."""
+    found = _evaluated(spark, sf_dir)
+    parts = [found[t].select(F.concat(F.lit(f"{c} "), c).alias("part"), "regime", "sample_id", "n", "sum_raw", "sum_gated") for t, c in (("by_sample", "stratum"), ("by_category", "category"))]
+    return rounded(parts[0].unionByName(parts[1]))
