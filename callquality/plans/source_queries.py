@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callquality.operators.shared import shared_folder
 from callquality.plans.driver_queries import WITH, calls, query, rounded, table
-from callquality.sources import documents, io, snapshots
+from callquality.sources import documents, io, merges, snapshots
 
 
 @query(f"""{WITH}, a AS (SELECT person_id, floor(called)::BIGINT AS a, floor(truth)::BIGINT AS b, motif_size FROM calls)
@@ -85,3 +85,26 @@ def pruned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = o.select(individual).distinct().filter("individual % 10 = 3")
     found = io.read_population(spark, path, parts.schema, "a", wanted, ["o_totalprice"]).filter("branch <> '5-LOW' AND o_totalprice > 1000")
     return found.groupBy("population", "branch", "individual").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+_RUN = "SELECT person_id % 6 AS source, locus_id, rk, CASE WHEN locus_id % 2 = 0 THEN 1 ELSE 3 END AS unit, locus_id % 5 = 0 AND locus_id % 7 <> 0 AND locus_id % 11 <> 0 AS wanted"
+
+
+@query(f"""{WITH}, a AS ({_RUN}, called, CASE WHEN locus_id % 4 = 0 THEN 'quick' ELSE 'full' END AS branch FROM calls WHERE locus_id % 7 <> 0), b AS ({_RUN}, called + (chrom % 2)::INT AS called, CASE WHEN locus_id % 3 = 0 THEN 'quick' ELSE 'full' END AS branch FROM calls WHERE locus_id % 11 <> 0),
+  ea AS (SELECT source, locus_id, any_value(branch) AS branch, any_value(unit) AS unit, bool_or(wanted) AS wanted FROM a GROUP BY ALL), eb AS (SELECT source, locus_id, any_value(branch) AS branch, any_value(unit) AS unit, bool_or(wanted) AS wanted FROM b GROUP BY ALL),
+  e AS (SELECT source, locus_id, ea.branch AS here, eb.branch AS there, coalesce(ea.unit, eb.unit) = 1 AS one, coalesce(ea.wanted, false) OR coalesce(eb.wanted, false) AS wanted FROM ea FULL JOIN eb USING (source, locus_id)),
+  k AS (SELECT *, CASE WHEN one AND there = 'quick' AND here IS DISTINCT FROM 'quick' THEN CASE WHEN wanted THEN 'replaced' WHEN here IS NOT NULL THEN 'replaced_reference' ELSE 'added' END WHEN one AND here = 'full' AND there IS NULL THEN 'dropped' WHEN one AND here = 'quick' AND there = 'full' THEN 'quick_here' WHEN NOT one AND here <> there THEN 'other_branch' ELSE 'kept' END AS fate FROM e),
+  m AS (SELECT a.source, a.called FROM a JOIN k USING (source, locus_id) WHERE fate IN ('kept', 'quick_here', 'other_branch') UNION ALL SELECT b.source, b.called FROM b JOIN k USING (source, locus_id) WHERE fate IN ('replaced', 'replaced_reference', 'added')),
+  f AS (SELECT a.source, a.called <> b.called AS off FROM a JOIN b USING (source, rk) WHERE a.branch = 'quick' AND b.branch = 'quick' AND a.unit = 1)
+  SELECT source, 'called' AS what, count(*) AS n, round(sum(called), 4) AS total FROM m GROUP BY ALL UNION ALL SELECT source, 'rows here', count(*), 0 FROM a GROUP BY ALL UNION ALL SELECT source, 'rows merged', count(*), 0 FROM m GROUP BY ALL UNION ALL SELECT source, 'entities ' || fate, count(*), 0 FROM k GROUP BY ALL
+  UNION ALL SELECT source, 'compared', count(*), 0 FROM f GROUP BY ALL UNION ALL SELECT source, x.what, count(*), 0 FROM f, (VALUES ('differing'), ('differing called')) x(what) WHERE off GROUP BY ALL""")
+def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of six sources, merged, compared and published by source."""
+    df = calls(spark, sf_dir)
+    locus = F.col("locus_id")
+    base = df.select((F.col("person_id") % 6).alias("source"), "locus_id", "rk", F.when(locus % 2 == 0, 1).otherwise(3).alias("unit"), ((locus % 5 == 0) & (locus % 7 != 0) & (locus % 11 != 0)).alias("wanted"), "called", "chrom", F.xxhash64("rk").alias("pos"))
+    run = lambda d, part, called: d.select("source", "locus_id", "rk", "unit", "wanted", called.alias("called"), F.when(locus % part == 0, "quick").otherwise("full").alias("branch"), "pos")
+    here, there = run(base.filter(locus % 7 != 0), 4, F.col("called")), run(base.filter(locus % 11 != 0), 3, F.col("called") + F.col("chrom") % 2)
+    rows, summary = merges.merge_runs(spark, f"{shared_folder(spark)}/merged-{uuid.uuid4().hex}", here, there, "source", "locus_id", ["rk"], "pos", "branch", "unit", "wanted")
+    total = rows.groupBy("source").agg(F.lit("called").alias("what"), F.count("*").alias("n"), F.round(F.sum("called"), 4).alias("total"))
+    return total.unionByName(summary.select("source", "what", "n", F.lit(0.0).alias("total")))
