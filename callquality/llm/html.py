@@ -351,6 +351,8 @@ def extract_main_text(pages: DataFrame, model: TreeModel, html: str = "html", ou
 def labelled_pages(pages: DataFrame, html: str = "html", most: int = 400, most_chars: int = 50_000) -> list[str]:
     """A bounded sample of pages for fitting: those with an article or main element and the smallest hashes of their html,
     ``most`` of at most ``most_chars`` each."""
-    text = F.col("html")
-    given = pages.select(pages[html].cast("string").alias("html")).filter((F.length(text) <= most_chars) & text.rlike("(?i)<(article|main)[ >]")).distinct()
-    return [r["html"] for r in given.orderBy(F.xxhash64("html"), "html").limit(most).collect()]
+    text, own = F.col("html"), F.xxhash64("html").alias("own")
+    given = pages.select(pages[html].cast("string").alias("html")).filter((F.length(text) <= most_chars) & text.rlike("(?i)<(article|main)[ >]"))
+    least = [r["own"] for r in given.select(own).distinct().orderBy("own").limit(most).collect()]  # hashes first: no page is sent for nothing
+    found = given.withColumn("own", own).filter(F.col("own").isin(least)).groupBy("own").agg(F.min("html").alias("html"))
+    return [r["html"] for r in found.orderBy("own").collect()]
