@@ -216,9 +216,9 @@ def sha_fraction(*parts: Column | str) -> Column:
     return word.cast("double") / F.lit(2.0**64)
 
 
-def order_hash(seed: int | str, *key: Column | str) -> Column:
+def order_hash(seed: int | str | Column, *key: Column | str) -> Column:
     """An order that depends on the seed and the key alone: MD5 in hex, so that any engine can repeat it."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key]))
+    return F.md5(F.concat_ws("|", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), *[col(k).cast("string") for k in key]))
 
 
 def content_digest(row_text: Column) -> Column:

@@ -129,8 +129,8 @@ def evaluation_bundle(
         train, test = (own.join(first.filter(F.col("role") == role).select(key), key, "left_semi") for role in ("train", "test"))
         predict = fit(train)
         losses = {
-            "size": lambda x: predict(x).agg(metrics.pinball(F.col(target), F.col("t_predicted"))),
-            "direction": lambda x: metrics.log_loss(predict(x), label, names),
+            "size": lambda x, by: predict(x).groupBy(*by).agg(metrics.pinball(F.col(target), F.col("t_predicted"))),
+            "direction": lambda x, by: metrics.log_loss(predict(x), label, names, by),
         }
         curves = {"size": (ml.ablation_curve, target), "direction": (ml.direction_ablation_curve, label)}
         for head, loss in losses.items():

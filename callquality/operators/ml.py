@@ -24,6 +24,7 @@ from callquality.operators.joins import GuardError
 from callquality.operators.metrics import log_loss, pinball, roc_auc
 from callquality.operators.sampling import hash_ranked, quota_sample
 from callquality.operators.scoring import calibrate_column, renormalised
+from callquality.operators.shared import stored
 from callquality.operators.splits import two_halves
 
 #: Folds that ``out_of_fold`` fits; each is a model and a part of one union.
@@ -173,17 +174,31 @@ def shuffled_column(df: DataFrame, column: str, key: Sequence[str], seed: int) -
     return rows.join(values, "_at").withColumn(column, F.col("_new")).drop("_at", "_new")
 
 
-def permutation_importance(df: DataFrame, features: Sequence[str], key: Sequence[str], loss: Callable[[DataFrame], DataFrame], repeats: int = 5, cap: int = 30_000, threads: int = 3) -> DataFrame:
-    """(feature, mean, sd) of the rise of ``loss`` (a one-value table) when a feature is shuffled; at most ``cap`` rows."""
-    sample = df.withColumn("_h", order_hash(0, *key)).orderBy("_h").limit(cap).drop("_h")
-    base = loss(sample).first()[0]
-
-    def rise(c: str, k: int) -> tuple[str, float]:
-        return c, float(loss(shuffled_column(sample, c, key, k)).first()[0] - base)
-
-    with ThreadPoolExecutor(threads) as pool:
-        rows = list(pool.map(lambda x: rise(*x), [(c, k) for c in features for k in range(repeats)]))
-    return df.sparkSession.createDataFrame(rows, "feature string, rise double").groupBy("feature").agg(F.avg("rise").alias("mean"), F.stddev_pop("rise").alias("sd"))
+def shuffled_copies(df: DataFrame, features: Sequence[str], key: Sequence[str], repeats: int) -> DataFrame:
+    """Each row as it is (``feature`` and ``repeat`` NULL) and once a feature and repeat, with that feature's value taken from
+    the row that has its place in the repeat's hash order: what ``shuffled_column`` gives, for all of them in one plan. A
+    repeat has one permutation for all features, so ranks are joined once a repeat."""
+    rows = stored(hash_ranked(df, key, "rows", name="_at"), "importance")
+    asked = df.select(*key, F.struct(*features).alias("_new"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    values = hash_ranked(asked, key, F.col("repeat"), ["repeat"], "_at").select("repeat", "_at", "_new")
+    mixed = [F.struct(F.lit(f).alias("feature"), F.struct(*[(F.col("_new")[c] if c == f else F.col(c)).alias(c) for c in features]).alias("x")) for f in features]
+    rest = [c for c in df.columns if c not in features]
+    copies = rows.join(values, "_at").select(*rest, "repeat", F.explode(F.array(*mixed)).alias("_m")).select(*rest, "repeat", "_m.feature", "_m.x.*")
+    return rows.drop("_at").withColumns({"feature": F.lit(None).cast("string"), "repeat": F.lit(None).cast("int")}).unionByName(copies)
+
+
+def permutation_importance(df: DataFrame, features: Sequence[str], key: Sequence[str], loss: Callable[[DataFrame, list[str]], DataFrame], repeats: int = 5, cap: int = 30_000) -> DataFrame:
+    """(feature, mean, sd) of the rise of a loss when a feature is shuffled; at most ``cap`` rows, those first in hash order.
+
+    ``loss(df, by)`` gives a table of ``by`` and one value. It is called once, on all copies of the rows (``by`` is feature and
+    repeat), so the number of jobs does not depend on features or repeats."""
+    sample = stored(df.withColumn("_h", order_hash(0, *key)).orderBy("_h").limit(cap).drop("_h"), "importance")
+    found = loss(shuffled_copies(sample, features, key, repeats), ["feature", "repeat"])
+    found = found.toDF(*[c if c in ("feature", "repeat") else "loss" for c in found.columns])
+    found = stored(found.select("feature", "repeat", F.col("loss").cast("double").alias("loss")), "importance")
+    base = found.filter("feature IS NULL").select(F.col("loss").alias("base"))
+    rises = found.filter("feature IS NOT NULL").crossJoin(F.broadcast(base)).withColumn("rise", F.col("loss") - F.col("base"))  # base is one row
+    return rises.groupBy("feature").agg(F.avg("rise").alias("mean"), F.stddev_pop("rise").alias("sd"))
 
 
 def ablation_curve(train: DataFrame, test: DataFrame, ranking: Sequence[str], target: str, sizes: Sequence[int], **how) -> DataFrame:

@@ -28,7 +28,7 @@ def _prefix_sum(df: DataFrame, by: Sequence[str], order: str, value: Column, nam
     return keyed.withColumn("_in", F.sum("_v").over(inside)).join(base, [*by, "_b"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_b", "_v", "_in", "_base")
 
 
-def hash_ranked(df: DataFrame, key: Sequence[str], seed: int | str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+def hash_ranked(df: DataFrame, key: Sequence[str], seed: int | str | Column, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """Adds the row's place, from 1, in hash order within ``by``. Keys should be unique."""
     hashed = df.withColumn("_h", order_hash(seed, *key))
     return _prefix_sum(hashed, by, "_h", F.lit(1), name).drop("_h")

@@ -400,9 +400,13 @@ def test_heads(spark, small):
 
 
 def test_importance_and_choice(spark, small):
-    loss = lambda df: df.agg(F.avg(F.abs(F.col("t") - 2 * F.col("a"))))
+    off = F.avg(F.abs(F.col("t") - 2 * F.col("a"))).alias("off")
+    calls = []
+    loss = lambda df, by: calls.append(by) or df.groupBy(*by).agg(off)
     got = {r.feature: r.mean for r in ml.permutation_importance(small, ["a", "b"], ["id"], loss, repeats=2).collect()}
-    assert got["a"] > 0.1 and got["b"] == pytest.approx(0)
+    assert got["a"] > 0.1 and got["b"] == pytest.approx(0) and calls == [["feature", "repeat"]]
+    alone = [ml.shuffled_column(small, "a", ["id"], k).agg(off).head()[0] - small.agg(off).head()[0] for k in (0, 1)]
+    assert got["a"] == pytest.approx(sum(alone) / 2)
     curve = frame(spark, "s string, k int, v double", [("x", 1, 1.5), ("x", 2, 1.01), ("x", 3, 1.0), ("y", 1, 1.0), ("y", 2, 1.0), ("y", 3, 1.0)])
     assert ml.smallest_within(curve, "s", "k", "v", 0.02).first().k == 2
 
