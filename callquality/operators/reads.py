@@ -1,129 +1,99 @@
 """Measuring repeat lengths in reads: unique flanks, spanning and bound reads, summaries per locus.
 
-The helpers work on one read and one locus; Spark finds which reads meet which loci (an overlap join by bins) and spreads
-the pairs. ``loci`` has locus_id, chrom, start, end, motif, window_start, window_seq; ``reads`` has name, flag, chrom,
+Spark finds which reads meet which loci (an overlap join by bins) and spreads the pairs; a task measures whole Arrow batches
+of them at once (``flanks``). ``loci`` has locus_id, chrom, start, end, motif, window_start, window_seq; ``reads`` has name, flag, chrom,
 start, end, mapq, cigar, seq, qual (0-based, end from ``parse.reference_span``).
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callquality.functions.parse import reference_span
+from callquality.operators.flanks import FLANK, INNER, Alignments, Texts, blocks, joints, near_places, repeats, unique_in_windows
 from callquality.operators.intervals import overlap_join
 
-#: Flank length, of which the inner part must be exact, how far an alignment may be off, and the least
-#: end of a one-sided read that must repeat the motif.
-FLANK, INNER, ALIGNED_WITHIN, PAD, LOW_MAPQ, LEAST_END = 20, 5, 10, 20, 20, 8
-_CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
-
-
-def _bases(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
-
-
-def near_matches(text: str, flank: str) -> list[int]:
-    """Places at which the flank occurs with at most one mismatch."""
-    if len(text) < len(flank):
-        return []
-    windows = np.lib.stride_tricks.sliding_window_view(_bases(text), len(flank))
-    return np.flatnonzero((windows != _bases(flank)).sum(axis=1) <= 1).tolist()
+#: How far an alignment may be off, how far from a locus reads are looked at, what counts as a low mapping
+#: quality, and the least end of a one-sided read that must repeat the motif.
+ALIGNED_WITHIN, PAD, LOW_MAPQ, LEAST_END = 10, 20, 20, 8
 
 
 def unique_flanks(window_seq: str | None, window_start: int, start: int, end: int) -> bool:
     """Whether both flanks are whole, without N, and occur once in the window."""
-    if not window_seq:
-        return False
-    low, high = start - window_start, end - window_start
-    left, right = window_seq[low - FLANK : low] if low >= FLANK else "", window_seq[high : high + FLANK]
-    if len(left) < FLANK or len(right) < FLANK or "N" in left + right:
-        return False
-    return len(near_matches(window_seq, left)) == 1 and len(near_matches(window_seq, right)) == 1
-
-
-def aligned_places(start: int, cigar: str) -> np.ndarray:
-    """Reference place of each base of a read, -1 where it has none."""
-    out, at = [np.zeros(0, np.int64)], start
-    for n, op in ((int(n), op) for n, op in _CIGAR.findall(cigar or "")):
-        if op in "M=X":
-            out.append(np.arange(at, at + n))
-        elif op in "IS":
-            out.append(np.full(n, -1))
-        at += n if op in "M=XDN" else 0
-    return np.concatenate(out)
-
-
-def _anchors(seq: str, flank: str, inner_last: bool, places: np.ndarray, want: int) -> list[int]:
-    """Where the flank stands in the read: near matches, exact in the part beside the repeat, the first aligned base of
-    which is aligned near its place; without an aligned base the place is unknown and counts."""
-    inner = slice(FLANK - INNER, FLANK) if inner_last else slice(0, INNER)
-    found = []
-    for at in near_matches(seq, flank):
-        known = np.flatnonzero(places[at : at + FLANK] >= 0)
-        near = not len(known) or abs(int(places[at + known[0]]) - want - int(known[0])) <= ALIGNED_WITHIN
-        if near and seq[at : at + FLANK][inner] == flank[inner]:
-            found.append(at)
-    return found
-
-
-def repeats_motif(seq: str, motif: str) -> bool:
-    """Whether a string is the motif repeated, in any phase."""
-    k = len(motif)
-    return seq[:k] in motif + motif and seq[k:] == seq[:-k]
-
-
-def _joint(first: str, second: str) -> int:
-    """Length of the longest end of the first that the second begins with."""
-    return next((n for n in range(min(len(first), len(second)), 0, -1) if second.startswith(first[-n:])), 0)
+    return bool(unique_in_windows(Texts.of(pa.array([window_seq], pa.string())), np.array([start - window_start]), np.array([end - window_start]))[0])
+
+
+def _anchors(seqs: Texts, flanks: np.ndarray, inner: slice, fine: np.ndarray, aligned: Alignments, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, place) of the flank in each read: near matches, exact in the part beside the repeat, the first aligned base
+    of which is aligned near its place; without an aligned base the place is unknown and counts."""
+    rows, places, differ = near_places(seqs, flanks, fine)
+    known, skip, place = aligned.first_aligned(seqs.at[rows] + places)
+    kept = ~differ[:, inner].any(axis=1) & (~known | (np.abs(place - want[rows] - skip) <= ALIGNED_WITHIN))
+    number, at = np.bincount(rows[kept], minlength=len(seqs)), np.zeros(len(seqs), np.int64)
+    at[rows[kept]] = places[kept]
+    return number, at
+
+
+def measured_batch(seq: Texts, qual: Texts, start: np.ndarray, cigar: Texts, left: Texts, right: Texts, motif: Texts, locus_start: np.ndarray, locus_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, kind, length, mean quality) of the rows, each a read at a locus, that measure it: spanning, or bound by the left
+    or right flank.
+
+    A read with two places for a flank is not measured, nor one whose CIGAR does not fit its bases, nor a locus without
+    motif or whole flanks. A one-sided read runs to its end, without what there may belong to the other flank, and the last
+    bases of that must repeat the motif (at least eight, and two motifs); it counts for nothing if its alignment covers the
+    other flank. The quality is -1 where there is none."""
+    aligned, n = Alignments(cigar, start, seq), seq.sizes
+    fine = aligned.fits & (motif.sizes > 0) & (left.sizes == FLANK) & (right.sizes == FLANK)
+    lefts, rights = np.zeros((len(seq), FLANK), np.uint8), np.zeros((len(seq), FLANK), np.uint8)
+    whole = np.flatnonzero(fine)
+    lefts[whole], rights[whole] = left.parts(whole, 0, FLANK), right.parts(whole, 0, FLANK)
+    n_a, a = _anchors(seq, lefts, slice(FLANK - INNER, FLANK), fine, aligned, locus_start - FLANK)
+    n_b, b = _anchors(seq, rights, slice(0, INNER), fine, aligned, locus_end)
+    fine &= (n_a <= 1) & (n_b <= 1)
+    low, high = np.where(n_a == 1, a + FLANK, 0), np.where(n_b == 1, b, n)
+    only_left, only_right = np.flatnonzero(fine & (n_a == 1) & (n_b == 0)), np.flatnonzero(fine & (n_a == 0) & (n_b == 1))
+    high[only_left] -= joints(seq.parts(only_left, n[only_left] - FLANK, FLANK), rights[only_left], (n - low)[only_left])
+    low[only_right] += joints(lefts[only_right], seq.parts(only_right, np.zeros_like(only_right), FLANK), high[only_right])
+    least = np.maximum(LEAST_END, 2 * motif.sizes)
+    kind = np.full(len(seq), "", object)
+    kind[fine & (n_a == 1) & (n_b == 1) & (low <= high)] = "spanning"
+    free = {"left": aligned.ends < locus_end + FLANK, "right": start > locus_start - FLANK}
+    for name, rows in (("left", only_left), ("right", only_right)):
+        rows = rows[((high - low >= least) & free[name])[rows]]
+        checked = (high - least if name == "left" else low)[rows]
+        kind[rows[repeats(seq, rows, checked, least[rows], motif)]] = name
+    kept = np.flatnonzero(kind != "")
+    low, high = low[kept], high[kept]
+    known, lone = qual.sizes, np.flatnonzero(qual.sizes == 1)
+    known[lone[qual.parts(lone, 0, 1)[:, 0] == ord("*")]] = 0
+    known, sums = known[kept], np.concatenate([[0], np.cumsum(qual.data.astype(np.int64) - 33)])
+    first, last = np.minimum(low, known), np.minimum(high, known)
+    total = sums[qual.at[kept] + last] - sums[qual.at[kept] + first]
+    return kept, kind[kept], high - low, np.where(last <= first, -1, np.rint(total / np.maximum(last - first, 1))).astype(np.int64)
 
 
 def measured(seq: str, qual: str, start: int, cigar: str, left: str, right: str, motif: str, locus_start: int, locus_end: int) -> tuple[str, int, int] | None:
-    """(kind, length, mean quality) of a read at a locus: spanning, or bound by its left or right flank.
-
-    A read with two places for a flank is not measured. A one-sided read runs to its end, without what there may belong
-    to the other flank, and the last bases of that must repeat the motif (at least eight, and two motifs); it counts for
-    nothing if its alignment covers the other flank."""
-    places = aligned_places(start, cigar)
-    if len(places) != len(seq) or not motif:
-        return None
-    a, b = _anchors(seq, left, True, places, locus_start - FLANK), _anchors(seq, right, False, places, locus_end)
-    if len(a) > 1 or len(b) > 1 or not (a or b):
-        return None
-    end, least = start + sum(int(n) for n, op in _CIGAR.findall(cigar) if op in "MDN=X"), max(LEAST_END, 2 * len(motif))
-    if a and b:
-        low, high, kind, fine = a[0] + FLANK, b[0], "spanning", a[0] + FLANK <= b[0]
-    elif a:
-        low, kind = a[0] + FLANK, "left"
-        high = len(seq) - _joint(seq[low:], right)
-        fine = high - low >= least and repeats_motif(seq[high - least : high], motif) and end < locus_end + FLANK
-    else:
-        high, kind = b[0], "right"
-        low = _joint(left, seq[:high])
-        fine = high - low >= least and repeats_motif(seq[low : low + least], motif) and start > locus_start - FLANK
-    if not fine:
-        return None
-    values = [ord(c) - 33 for c in qual[low:high]] if qual != "*" else []
-    return kind, high - low, round(sum(values) / len(values)) if values else -1
+    """(kind, length, mean quality) of one read at one locus, or None: ``measured_batch`` of one row."""
+    texts, numbers = (lambda x: Texts.of(pa.array([x], pa.string()))), (lambda x: np.array([x], np.int64))
+    row, kind, length, quality = measured_batch(texts(seq), texts(qual), numbers(start), texts(cigar), texts(left), texts(right), texts(motif), numbers(locus_start), numbers(locus_end))
+    return (str(kind[0]), int(length[0]), int(quality[0])) if len(row) else None
 
 
 def flank_table(loci: DataFrame) -> DataFrame:
     """Adds left and right flanks and ``has_unique_flanks``."""
     low, high = F.col("start") - F.col("window_start"), F.col("end") - F.col("window_start")
 
-    @F.pandas_udf("boolean")
-    def unique(seq, window_start, start, end):
-        import pandas as pd
-
-        return pd.Series([unique_flanks(s, int(w), int(a), int(b)) for s, w, a, b in zip(seq, window_start, start, end, strict=True)])
+    @F.arrow_udf("boolean")
+    def unique(seq: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
+        place = lambda x: x.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        return pa.array(unique_in_windows(Texts.of(seq), place(low), place(high)))
 
     return loci.withColumns({
         "left_flank": F.substring("window_seq", low - FLANK + 1, F.lit(FLANK)), "right_flank": F.substring("window_seq", high + 1, F.lit(FLANK)),
-        "has_unique_flanks": unique("window_seq", "window_start", "start", "end"),
+        "has_unique_flanks": unique("window_seq", low.cast("long"), high.cast("long")),
     })
 
 
@@ -141,12 +111,16 @@ def measure_reads(reads: DataFrame, loci: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for locus, motif, left, right, start, end, name, flag, at, cigar, mapq, seq, qual in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (found := measured(seq, qual, at, cigar, left, right, motif, start, end)) is not None:
-                    out.append((locus, found[0], found[1], mapq, found[2], "-" if flag & 16 else "+", name))
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["locus_id", "kind", "length", "mapq", "quality", "strand", "name"])
+            texts = {c: Texts.of(batch.column(c)) for c in ("motif", "left_flank", "right_flank", "r_cigar", "r_seq", "r_qual")}
+            numbers = {c: batch.column(c).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False) for c in ("start", "end", "r_start", "r_flag")}
+            for first, last in blocks(texts["r_seq"].sizes):
+                t, x = {c: v.rows(first, last) for c, v in texts.items()}, {c: v[first:last] for c, v in numbers.items()}
+                rows, kind, length, quality = measured_batch(t["r_seq"], t["r_qual"], x["r_start"], t["r_cigar"], t["left_flank"], t["right_flank"], t["motif"], x["start"], x["end"])
+                kept = batch.slice(first, last - first).take(pa.array(rows))
+                strand = np.where(x["r_flag"][rows] & 16, "-", "+")
+                out = {"locus_id": kept["locus_id"], "kind": kind, "length": length, "mapq": kept["r_mapq"], "quality": quality, "strand": strand, "name": kept["r_name"]}
+                kinds = {"length": pa.int32(), "mapq": pa.int32(), "quality": pa.int32()}
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, kinds.get(c, pa.string())) if isinstance(v, np.ndarray) else v.cast(kinds.get(c, pa.string())) for c, v in out.items()})
 
     return wanted.mapInArrow(run, "locus_id string, kind string, length int, mapq int, quality int, strand string, name string")
 
