@@ -1,15 +1,13 @@
-"""Containment, overlap, islands and groups of half-open intervals."""
+"""Containment, overlap and islands of half-open intervals."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callquality.operators.joins import GuardError
 from callquality.operators.ordering import counted_before
 from callquality.operators.quantiles import null_safe_join
 from callquality.operators.shared import stored
@@ -203,33 +201,6 @@ def pairs_within(windows: DataFrame, reads: DataFrame, window: str, name: str, b
     return inside.join(mates, name).filter("here = 2 AND mates = 2").select(window, name)
 
 
-def linked_groups(nodes: DataFrame, edges: DataFrame, key: str, most_rounds: int | None = None) -> DataFrame:
-    """Adds ``group``, the smallest key that a node reaches over edges (a, b), by propagating labels and halving paths.
-
-    Each round is written to the checkpoint folder; rounds end when no label falls. GuardError if they don't
-    within ``most_rounds``, where given."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    labels = nodes.select(F.col(key).alias("node")).distinct().withColumn("label", F.col("node"))
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise GuardError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    for done in count():
-        if done == most_rounds:
-            raise GuardError(f"labels still fall after {most_rounds} rounds")
-        near = both.join(labels.withColumnsRenamed({"node": "b", "label": "_l"}), "b").groupBy("a").agg(F.min("_l").alias("_l"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("label", F.coalesce("_l", "label")).alias("label"), F.col("label").alias("_was"))
-        jump = step.join(step.select(F.col("node").alias("label"), F.col("label").alias("_far")), "label", "left")
-        after = jump.select("node", F.least("label", F.coalesce("_far", "label")).alias("label"), "_was").checkpoint()
-        labels = after.drop("_was")
-        if after.filter("label <> _was").isEmpty():
-            break
-    return nodes.join(labels.withColumnsRenamed({"node": key, "label": "group"}), key, "left")
-
-
 def proximity_edges(df: DataFrame, key: str, by: str = "chrom", start: str = "start", end: str = "end", gap: float = 0, same: str | None = None, width: int = CELL_WIDTH) -> DataFrame:
     """Edges between neighbours in position closer than ``gap``, and from each row to the smallest key with its ``same``.
 

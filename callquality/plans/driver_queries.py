@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from callquality.functions import exprs as E
 from callquality.functions import motifs as M
 from callquality.functions import parse as P
-from callquality.operators import categories, compare, intervals, joins, metrics, ordering, sampling, scoring, splits
+from callquality.operators import categories, compare, components, intervals, joins, metrics, ordering, sampling, scoring, splits
 from callquality.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -533,7 +533,7 @@ def start_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     c = table(spark, sf_dir, "customer").select(key.alias("key"), F.col("c_nationkey").alias("chrom"), (key * 100).alias("start"), (key * 100 + 50).alias("end"), (key % 1200).alias("family"))
-    return intervals.linked_groups(c, intervals.proximity_edges(c, "key", gap=120, same="family"), "key").groupBy("group").agg(F.count("*").alias("n"))
+    return components.linked_groups(c, intervals.proximity_edges(c, "key", gap=120, same="family"), "key").groupBy("group").agg(F.count("*").alias("n"))
 
 
 # Parsing, units, hashes, coverage

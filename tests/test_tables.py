@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callquality.operators import categories as C
-from callquality.operators import compare, intervals, joins, metrics, ml, reads, sampling, scoring, splits
+from callquality.operators import compare, components, intervals, joins, metrics, ml, reads, sampling, scoring, splits
 from callquality.operators.joins import GuardError
 from callquality.sources import io
 from callquality.streaming import streams
@@ -101,7 +101,7 @@ def test_long_intervals_make_few_rows(spark):
 def test_islands_and_groups(spark):
     df = frame(spark, "chrom string, start long, end long, id int, fam string", [("1", 0, 10, 1, "x"), ("1", 15, 20, 2, "y"), ("1", 40, 50, 3, "x"), ("2", 0, 5, 4, "z")])
     assert [r[-1] for r in rows(intervals.islands(df, gap=10, key="id"), "id")] == [1, 1, 2, 1]
-    groups = intervals.linked_groups(df, intervals.proximity_edges(df, "id", gap=10, same="fam"), "id")
+    groups = components.linked_groups(df, intervals.proximity_edges(df, "id", gap=10, same="fam"), "id")
     assert {r.id: r.group for r in groups.collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
     assert [r.id for r in intervals.first_of_island(df, gap=10, key="id").orderBy("id").collect()] == [1, 3, 4]
 
@@ -523,9 +523,9 @@ def test_streams(spark, tmp_path):
 def test_rounds_of_linked_groups(spark):
     chain = spark.range(40).withColumnRenamed("id", "k")
     edges = spark.range(39).selectExpr("id AS a", "id + 1 AS b")
-    assert rows(intervals.linked_groups(chain, edges, "k").groupBy("group").count()) == [(0, 40)]
+    assert rows(components.linked_groups(chain, edges, "k").groupBy("group").count()) == [(0, 40)]
     with pytest.raises(GuardError):
-        intervals.linked_groups(chain, edges, "k", most_rounds=1)
+        components.linked_groups(chain, edges, "k", most_rounds=1)
 
 
 def test_out_of_fold_refuses_more_folds_than_it_fits(spark):
