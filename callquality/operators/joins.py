@@ -95,6 +95,28 @@ def row_differences(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Dat
     return a.join(b, list(on), "full_outer").select(*on, F.explode(found).alias("d")).select(*on, "d.*")
 
 
+def parity(left: DataFrame, right: DataFrame, on: Sequence[str], group: str, entity: str | None = None, chosen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(differences, groups) of two extractions that should agree, at the ``chosen`` entities where given.
+
+    Differences are ``row_differences`` by group and key; a column of one side is NULL on the other, NULL and NaN are equal,
+    and the right side's values take the left side's types. Groups: every group of either side, with its rows on both,
+    the rows that differ, and ``failed`` where any does. A NULL in the group or key matches none, so such a row differs.
+    """
+    if chosen is not None:
+        left, right = (side.join(chosen.select(entity).distinct(), entity, "left_semi") for side in (left, right))
+    keys = [group, *[c for c in on if c != group]]
+    kinds = {f.name: f.dataType for f in (*right.schema.fields, *left.schema.fields)}
+    names = [c for c in kinds if c not in keys]
+    plain = lambda c, t: F.nullif(c, F.lit(float("nan")).cast(t)) if t.typeName() in ("double", "float") else c
+    sides = [side.select(*[F.col(c).cast(kinds[c]).alias(c) for c in keys], *[(plain(F.col(c).cast(kinds[c]), kinds[c]) if c in side.columns else F.lit(None).cast(kinds[c])).alias(c) for c in names]) for side in (left, right)]
+    found = row_differences(*sides, keys)
+    rows = sides[0].groupBy(group).agg(F.count("*").alias("n_left"), F.lit(0).cast("long").alias("n_right"), F.lit(0).cast("long").alias("n_differing"))
+    rows = rows.unionByName(sides[1].groupBy(group).agg(F.lit(0).cast("long").alias("n_left"), F.count("*").alias("n_right"), F.lit(0).cast("long").alias("n_differing")))
+    off = found.select(*keys).distinct().groupBy(group).agg(F.lit(0).cast("long").alias("n_left"), F.lit(0).cast("long").alias("n_right"), F.count("*").alias("n_differing"))
+    each = rows.unionByName(off).groupBy(group).agg(*[F.sum(c).alias(c) for c in ("n_left", "n_right", "n_differing")])
+    return found, each.withColumn("failed", F.col("n_differing") > 0)
+
+
 def difference_summary(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """(field, compared, differing) of keys on both sides, in one pass; field ``any`` counts rows."""
     fields = [c for c in left.columns if c in right.columns and c not in on]

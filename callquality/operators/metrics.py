@@ -207,6 +207,26 @@ def early_warning(entities: DataFrame, group: str, subsets: dict[str, Column], r
     return shares.join(roc_auc(calls, "suspicion", "miss", [group]), group, "left"), tie_aware_recall(strata(calls, subsets, "subset"), "suspicion", "miss", rates, ["subset"])
 
 
+def early_warning_report(entities: DataFrame, group: str, on_sex_chromosome: Column, rates: Sequence[float] = (0.01, 0.02, 0.05, 0.10)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, recall, means) of entities as ``entity_fold`` gives them.
+
+    Groups: sex (male where most entities on sex chromosomes are single; female otherwise and without any), reference calls,
+    misses, AUC and share of p below one half. Recall: pooled, by rate, for all, for those off the sex chromosomes, and for
+    each sex, subsets that overlap. Means: one row, over groups; those without an AUC (one class) count in the other only.
+    """
+    told = stored(entities.withColumn("_on_sex", F.coalesce(on_sex_chromosome, F.lit(False))), "early-warning")
+    calls = F.col("reference_call").cast("long")
+    single = F.avg(F.when(F.col("_on_sex"), F.col("single").cast("double")))
+    counted = told.groupBy(group).agg(
+        F.when(single > 0.5, "male").otherwise("female").alias("sex"), F.sum(calls).alias("n_reference_calls"), F.sum((F.col("reference_call") & F.col("miss")).cast("long")).alias("n_misses")
+    )
+    sexes = told.join(counted.select(group, "sex"), group)
+    subsets = {"all": F.lit(True), "off_sex_chromosomes": ~F.col("_on_sex"), "female": F.col("sex") == "female", "male": F.col("sex") == "male"}
+    groups, recall = early_warning(sexes, group, subsets, rates)
+    groups = stored(counted.join(groups.select(group, "auc", "share_below_half"), group), "early-warning")
+    return groups, recall, groups.agg(F.count("*").alias("n_groups"), F.count("auc").alias("n_with_auc"), F.avg("auc").alias("auc"), F.avg("share_below_half").alias("share_below_half"))
+
+
 def coverage_gaps(truth: DataFrame, found: DataFrame, key: str, label: Column) -> DataFrame:
     """(size_bin, total, missing, gap) and the row ``all``: truth keys without a record."""
     marked = truth.withColumn("size_bin", label).join(found.select(key, F.lit(True).alias("_found")).distinct(), key, "left").withColumn("_gone", F.col("_found").isNull().cast("long"))
