@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callquality.operators import joins, metrics, summaries
+from callquality.operators import joins, metrics, recipes, summaries
 from callquality.operators.shared import shared_folder
 from callquality.plans.driver_queries import WITH, calls, query, r6, rounded, table
 from callquality.streaming import streams
@@ -90,3 +90,23 @@ def kept_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound = 2 * summaries.rank_bound()
     users = F.abs(F.col("users") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.0325 * F.col("exact"))
     return told.join(exact, "event_type").select("event_type", "n", "total", users.alias("users_near"), ((F.col("below") <= 0.5 + bound) & (F.col("up_to") >= 0.5 - bound)).alias("medians_near"))
+
+
+_POOL = "SELECT regime, rk, dir_code, CAST(floor(called / 10) AS BIGINT) AS cell, CASE WHEN called >= 20 THEN CAST(floor(called / 15) AS BIGINT) END AS size_bin, person_id % 5 = 0 AS calibration, motif_size <= 3 AS representative, person_id % 2 = 0 AS variant FROM calls"
+_LEVELS = "{name}_n AS (SELECT regime, cell, count(*) AS n FROM {pool} GROUP BY ALL), {name}_level AS (SELECT regime, max(v) AS level FROM (SELECT regime, v, sum(least(n, v)) AS s FROM {name}_n, (SELECT range AS v FROM range({cap} + 1)) z GROUP BY ALL) WHERE s <= {cap} GROUP BY ALL), {name} AS (SELECT p.* EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY regime, cell ORDER BY md5(concat_ws('|', '0', rk))) AS k FROM {pool}) p JOIN {name}_level USING (regime) WHERE k <= level)"
+_WEIGHED = "{name}_w AS (SELECT s.*, CASE WHEN size_bin IS NULL OR dir_code = 0 THEN 1.0 ELSE coalesce((count_if(dir_code = 1) OVER w + count_if(dir_code = 2) OVER w) / 2 / CASE WHEN count_if(dir_code = 1) OVER w > 0 AND count_if(dir_code = 2) OVER w > 0 THEN CASE dir_code WHEN 1 THEN count_if(dir_code = 1) OVER w ELSE count_if(dir_code = 2) OVER w END END, 1.0) END AS weight FROM {name} s WINDOW w AS (PARTITION BY regime, size_bin))"
+
+
+@query(f"""{WITH}, p AS ({_POOL}), t AS (SELECT * FROM p WHERE variant AND NOT calibration), o AS (SELECT * FROM p WHERE NOT variant AND NOT calibration), {_LEVELS.format(name="size", pool="t", cap=3000)}, {_LEVELS.format(name="plain", pool="o", cap=900)},
+  direction AS (SELECT * FROM size UNION ALL SELECT * FROM plain), held AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY md5(concat_ws('|', '2', rk))) AS k FROM p WHERE calibration AND representative) WHERE k <= 600),
+  {_WEIGHED.format(name="direction")}, {_WEIGHED.format(name="held")}
+  SELECT 'direction' AS head, regime, rk, round(weight, 6) AS weight FROM direction_w UNION ALL SELECT 'calibration', regime, rk, round(weight, 6) FROM held_w UNION ALL SELECT 'size', regime, rk, 1.0::DOUBLE FROM size""")
+def recipe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the heads of every regime: another population's for size, some without a variant, wrong classes balanced."""
+    person, called = F.col("person_id"), F.col("called")
+    pool = calls(spark, sf_dir).select(
+        "regime", "rk", "dir_code", F.floor(called / 10).alias("cell"), F.when(called >= 20, F.floor(called / 15)).alias("size_bin"), (person % 5 == 0).alias("calibration"),
+        (F.col("motif_size") <= 3).alias("representative"), (person % 2 == 0).alias("variant"),
+    )
+    found = recipes.recipe_rows(pool, recipes.Recipe(3000, ["cell"], 900, "size_bin"), ["rk"], pool.filter("variant"))
+    return rounded(found.select("head", "regime", "rk", "weight"))
