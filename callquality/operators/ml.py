@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from callquality.operators.splits import two_halves
 
 #: Folds that ``out_of_fold`` fits; each is a model and a part of one union.
 MOST_FOLDS = 1000
+#: Folds that are fitted side by side.
+FOLDS_AT_ONCE = 3
 
 
 def with_indicators(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -156,15 +159,14 @@ def out_of_fold(df: DataFrame, folds: DataFrame, key: str, fit: Callable[[DataFr
     numbers = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").limit(MOST_FOLDS + 1).collect()]
     if len(numbers) > MOST_FOLDS:
         raise GuardError(f"more than {MOST_FOLDS} folds")
-    parts = []
-    for n in numbers:
+
+    def one(n) -> DataFrame:
         own = folds.filter(F.col("fold") == n)
         predict = fit(df.join(own.filter("role = 'train'").select(key), key, "left_semi"))
-        parts.append(predict(df.join(own.filter("role = 'test'").select(key), key, "left_semi")).withColumn("fold", F.lit(n)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return predict(df.join(own.filter("role = 'test'").select(key), key, "left_semi")).withColumn("fold", F.lit(n))
+
+    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, numbers))
 
 
 def shuffled_column(df: DataFrame, column: str, key: Sequence[str], seed: int) -> DataFrame:
@@ -239,10 +241,12 @@ def distinguishability(real: DataFrame, simulated: DataFrame, features: Sequence
     """AUC of a classifier that tells two samples apart, cross-validated by hash of the group."""
     both = real.select(group, *features).withColumn("y", F.lit(0.0)).unionByName(simulated.select(group, *features).withColumn("y", F.lit(1.0)))
     both = both.withColumn("_fold", F.pmod(F.crc32(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")).cast("binary")), F.lit(folds)))
-    out = None
-    for k in range(folds):
+
+    def one(k: int) -> DataFrame:
         head = GBTClassifier(featuresCol="features", labelCol="y", maxIter=10, maxDepth=3, seed=seed)
         model = Pipeline(stages=[*_assembled(features), head]).fit(with_indicators(both.filter(F.col("_fold") != k), features))
-        part = model.transform(with_indicators(both.filter(F.col("_fold") == k), features)).select("y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
-        out = part if out is None else out.unionByName(part)
+        return model.transform(with_indicators(both.filter(F.col("_fold") == k), features)).select("y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+
+    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
+        out = reduce(DataFrame.unionByName, pool.map(one, range(folds)))
     return roc_auc(out.withColumn("y", F.col("y") == 1), "score", "y")

@@ -17,8 +17,8 @@ LOG_REGISTERS, KLL_SIZE = 14, 1000
 
 
 def rank_bound(k: int = KLL_SIZE) -> float:
-    """Normalised rank error of a KLL sketch (99 % confidence), for any number of merged parts: 0.45 % at 1000."""
-    return 2.296 / k**0.9021
+    """Normalised rank error of a KLL sketch (99 % confidence), for any number of merged parts: 0.28 % at 1000."""
+    return 2.296 / k**0.9723
 
 
 class Summary(NamedTuple):
