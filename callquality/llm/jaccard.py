@@ -1,5 +1,8 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters; pairs verified once.
 
+Prefixes are half as long again as they need to be, by a sketch of all frequencies; exact counts then drop from each
+what is most common, so that lists stay short however full the sketch is.
+
 The components of all links come out, without all pairs going in: documents with equal sets are one node, each posting
 list first compares its members with its most central one, and what that links is one component from then on. Two nodes
 of one component need no comparison, so the later rounds meet across components only, until every pair of a list was
@@ -93,9 +96,19 @@ def frequency_sketch(classes: DataFrame) -> np.ndarray:
     return sums
 
 
+def _extra(n: int, percent: int) -> int:
+    """N-grams that a prefix of a set of n holds beyond those it needs: more for larger sets, fewer than any pair shares."""
+    least = -(-percent * n // 100)
+    return max(0, min((n - least) // 2, least - 1))
+
+
 def prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """doc, n, grams (the prefix, rarest first) and w0, w1, ... (a bit for each part of a hash partition of the set:
-    whether its size is odd)."""
+    """doc, n, grams (the prefix, rarest first by the sketch), spare (how many of them may go) and w0, w1, ... (a bit
+    for each part of a hash partition of the set: whether its size is odd).
+
+    The prefixes of linked sets, each ``_extra`` longer than needed, share one n-gram more than the smaller ``_extra``
+    of both. The smallest set that links with one of n has the least overlap of n, so its ``_extra`` is spare: whichever
+    order the spare n-grams are last in, the first that both share in it stays with both."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -105,14 +118,15 @@ def prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int, ske
             for row, s in _sets(batch.column("text"), width):
                 n = len(s)
                 if n and docs[row] is not None:
-                    keep = n - -(-percent * n // 100) + 1
+                    least = -(-percent * n // 100)
+                    keep = n - least + 1 + _extra(n, percent)
                     order = np.lexsort((s, counts[_bucket(s)]))[:keep]
                     odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
-                    out.append((docs[row], n, s[order].view(np.int64), *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * WORDS)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc", "n", "grams", *PARITY])
+                    out.append((docs[row], n, s[order].view(np.int64), _extra(least, percent), *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), *[pa.int64()] * WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc", "n", "grams", "spare", *PARITY])
 
-    return _given(docs, key, text).mapInArrow(run, "doc long, n long, grams array<long>" + "".join(f", {w} long" for w in PARITY))
+    return _given(docs, key, text).mapInArrow(run, "doc long, n long, grams array<long>, spare int" + "".join(f", {w} long" for w in PARITY))
 
 
 def _alike_in_size(percent: int) -> Column:
@@ -193,9 +207,21 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("doc"), F.col("v").alias("component"))
 
 
-def shared_groups(own: DataFrame) -> DataFrame:
-    """(gram, low, high, nodes, pos, rest) of the n-grams in the prefixes of at least two nodes."""
-    nodes = own.select("doc", "n", F.posexplode("grams").alias("pos", "gram"))
+def rare_postings(own: DataFrame) -> DataFrame:
+    """Postings (doc, n, pos, gram) of the n-grams that a node's prefix shares with others, without the spare ones that
+    are in most prefixes. The counts are exact: a sketch that fills up leaves chance matches at the front, and a node
+    that shares no more than it can spare links with nothing.
+
+    Where several sets have one id, the least of their spares goes: that keeps more, never less."""
+    nodes = own.select("doc", "n", "spare", F.posexplode("grams").alias("pos", "gram"))
+    counts = written(nodes.groupBy("gram").agg(F.count("*").alias("nodes")).filter("nodes > 1"), "gram-counts")
+    found = F.sort_array(F.collect_list(F.struct("nodes", "gram", "pos", "n")))
+    of_doc = nodes.join(counts, "gram").groupBy("doc").agg(F.min("spare").alias("spare"), found.alias("all")).filter(F.size("all") > F.col("spare"))
+    return of_doc.select("doc", F.inline(F.slice("all", 1, F.size("all") - F.col("spare")))).select("doc", "n", "pos", "gram")
+
+
+def shared_groups(nodes: DataFrame) -> DataFrame:
+    """(gram, low, high, nodes, pos, rest) of the n-grams in the postings of at least two nodes."""
     of_all = {"low": F.min("doc"), "high": F.max("doc"), "nodes": F.count("*"), "pos": F.min("pos"), "rest": F.min(F.col("n") - F.col("pos"))}
     return nodes.groupBy("gram").agg(*[v.alias(k) for k, v in of_all.items()]).filter("low < high")
 
@@ -211,11 +237,10 @@ def lone_pairs(groups: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return met.filter(reach & _alike_in_size(percent)).select("a", "b")
 
 
-def shared_postings(own: DataFrame, groups: DataFrame) -> DataFrame:
+def shared_postings(nodes: DataFrame, own: DataFrame, groups: DataFrame) -> DataFrame:
     """Postings (gram, pos, doc, n, score, w0, ...) of the n-grams that more than two nodes share. The score of a node
     is how often others have its n-grams: the text that near-copies were made from has the highest."""
-    nodes = own.select("doc", F.posexplode("grams").alias("pos", "gram"))
-    kept = nodes.join(groups.filter("nodes > 2").select("gram", "nodes"), "gram")
+    kept = nodes.select("doc", "pos", "gram").join(groups.filter("nodes > 2").select("gram", "nodes"), "gram")
     of_doc = kept.groupBy("doc").agg(F.sum("nodes").alias("score"), F.collect_list(F.struct("gram", "pos")).alias("all"))
     return of_doc.join(own.select("doc", "n", *PARITY), "doc").select("doc", "n", "score", *PARITY, F.inline("all"))
 
@@ -284,8 +309,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     own = prefixes(docs, key, text, width, percent, frequency_sketch(classes))
     copies = sets.filter("n > 0 AND doc IS NOT NULL").select("doc").distinct().join(firsts.select(F.col("first").alias("doc")), "doc", "left_anti")
     own = written(own.join(small_side(written(copies, "copies"), ID_ROWS), "doc", "left_anti"), "prefixes")
-    groups = written(shared_groups(own), "shared-groups")
-    labels = link_components(shared_postings(own, groups), lone_pairs(groups, own, percent), lambda pairs: verified(pairs, docs, key, text, width, percent), percent)
+    nodes = written(rare_postings(own), "rare-postings")
+    groups = written(shared_groups(nodes), "shared-groups")
+    labels = link_components(shared_postings(nodes, own, groups), lone_pairs(groups, own, percent), lambda pairs: verified(pairs, docs, key, text, width, percent), percent)
     named = sets.join(firsts, ["hi", "lo"], "left").join(labels.withColumnRenamed("doc", "first"), "first", "left")
     whole = F.when(F.col("n") > 0, F.least(F.coalesce("component", "first"), F.col("doc"))).otherwise(F.col("doc"))
     return named.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), whole).alias("component_id"))

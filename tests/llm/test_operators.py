@@ -1,6 +1,7 @@
 import hashlib
 import io
 import os
+import random
 import sys
 import zlib
 from collections import Counter
@@ -437,6 +438,45 @@ def test_components(spark, docs, rows, empty, width, percent):
         assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(r[0] for r in rows if r[0] is not None and want[r[0]] == r[0])
 
 
+def chance_docs(n, seed=3):
+    """Texts of 400 words that share n-grams by chance, the last 12 near copies of the first."""
+    rnd = random.Random(seed)
+    texts = [" ".join(f"w{rnd.randrange(54)}" for _ in range(400)) for _ in range(n - 12)]
+    for k in range(12):
+        w = texts[0].split(" ")
+        w[20 + 30 * k] = "changed"
+        texts.append(" ".join(w))
+    return [(k, text) for k, text in enumerate(texts)]
+
+
+def test_full_sketch_leaves_no_lists_of_chance_matches(spark, monkeypatch):
+    """With a sketch that tells nothing any more, exact counts keep documents without near copies out of the lists."""
+    seen = []
+    keep = jaccard.link_components
+    monkeypatch.setattr(jaccard, "frequency_sketch", lambda classes: np.zeros(1 << jaccard.SKETCH_BITS, np.uint32))
+    monkeypatch.setattr(jaccard, "link_components", lambda postings, *how: seen.append(postings.groupBy("doc").count().collect()) or keep(postings, *how))
+    given = chance_docs(120)
+    got = jaccard.jaccard_components(spark.createDataFrame(given, "doc_id long, text string").repartition(3), width=3, percent=90).collect()
+    assert {r.doc_id: r.component_id for r in got} == linked(given, 3, 90)
+    assert sum(r.component_id == 0 for r in got) == 13
+    near = {0, *range(108, 120)}
+    assert {r.doc for r in seen[0]} >= near
+    assert sum(r["count"] for r in seen[0] if r.doc not in near) <= 20
+
+
+@pytest.mark.parametrize("percent", [100, 90, 60])
+def test_spare_n_grams_cost_no_link(spark, percent):
+    """Sets of all sizes, where the smaller of two linked ones can spare fewer n-grams than the larger."""
+    rnd = random.Random(percent)
+    given = []
+    for size in (1, 2, 5, 10, 11, 21, 40, 80, 160):
+        words = [f"w{rnd.randrange(60)}" for _ in range(size)]
+        for cut in range(0, size, max(1, size // 8)):
+            given.append((len(given), " ".join(words[: size - cut])))
+    got = jaccard.jaccard_components(spark.createDataFrame(given, "doc_id long, text string").repartition(2), width=1, percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == linked(given, 1, percent)
+
+
 def test_buckets_follow_the_texts_not_the_plan(spark, docs, monkeypatch):
     """Sides of joins multiply in Spark's estimates; the number of buckets comes from the bytes that are there."""
     seen = []
