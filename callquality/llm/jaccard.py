@@ -6,7 +6,8 @@ what is most common, so that lists stay short however full the sketch is.
 The components of all links come out, without all pairs going in: documents with equal sets are one node, each posting
 list first compares its members with its most central one, and what that links is one component from then on. Two nodes
 of one component need no comparison, so the later rounds meet across components only, until every pair of a list was
-compared, filtered out or linked by others.
+compared, filtered out or linked by others. Lists with the same members, as a shared passage makes them, are one list, a
+pair meets once for each run of lists that both are in, and the largest component of a list does not meet itself.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ ID_ROWS = 500_000
 #: The parts of a hash partition of each set whose sizes are kept modulo 2, as bits of so many longs.
 WORDS = 8
 PARITY = [f"w{k}" for k in range(WORDS)]
+#: What ``_live`` tells of a posting list.
+LIST = ("size", "most", "few")
 
 
 def _sets(texts, width: int):
@@ -208,28 +211,37 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def rare_postings(own: DataFrame) -> DataFrame:
-    """Postings (doc, n, pos, gram) of the n-grams that a node's prefix shares with others, without the spare ones that
-    are in most prefixes. The counts are exact: a sketch that fills up leaves chance matches at the front, and a node
-    that shares no more than it can spare links with nothing.
+    """Postings (doc, n, pos, gram, several) of the n-grams that a node's prefix shares with others, without the spare
+    ones that are in most prefixes. The counts are exact: a sketch that fills up leaves chance matches at the front, and
+    a node that shares no more than it can spare links with nothing.
 
-    Where several sets have one id, the least of their spares goes: that keeps more, never less."""
+    Where several sets have one id (``several``), the least of their spares goes: that keeps more, never less."""
     nodes = own.select("doc", "n", "spare", F.posexplode("grams").alias("pos", "gram"))
     counts = written(nodes.groupBy("gram").agg(F.count("*").alias("nodes")).filter("nodes > 1"), "gram-counts")
     found = F.sort_array(F.collect_list(F.struct("nodes", "gram", "pos", "n")))
     of_doc = nodes.join(counts, "gram").groupBy("doc").agg(F.min("spare").alias("spare"), found.alias("all")).filter(F.size("all") > F.col("spare"))
-    return of_doc.select("doc", F.inline(F.slice("all", 1, F.size("all") - F.col("spare")))).select("doc", "n", "pos", "gram")
+    several = written(own.groupBy("doc").agg(F.count("*").alias("sets")).filter("sets > 1").select("doc", F.lit(True).alias("several")), "several-sets")
+    of_doc = of_doc.join(small_side(several, ID_ROWS), "doc", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    return of_doc.select("doc", "several", F.inline(F.slice("all", 1, F.size("all") - F.col("spare")))).select("doc", "n", "pos", "gram", "several")
 
 
 def shared_groups(nodes: DataFrame) -> DataFrame:
-    """(gram, low, high, nodes, pos, rest) of the n-grams in the postings of at least two nodes."""
-    of_all = {"low": F.min("doc"), "high": F.max("doc"), "nodes": F.count("*"), "pos": F.min("pos"), "rest": F.min(F.col("n") - F.col("pos"))}
-    return nodes.groupBy("gram").agg(*[v.alias(k) for k, v in of_all.items()]).filter("low < high")
+    """(gram, low, high, nodes, room, same) of the n-grams in the postings of at least two nodes. N-grams with the same
+    nodes, by a 128-bit digest, make the same pairs: the least stands for all ``same`` of them. Those of an id with
+    several sets stay as they are, since their positions count in different sets."""
+    halves = [half for seed in (0, 1) for h in [F.xxhash64("doc", F.lit(seed))] for half in (F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    digest = {f"d{k}": F.sum(half) for k, half in enumerate(halves)}  # sums of halves don't overflow
+    room = F.min("pos") + F.min(F.col("n") - F.col("pos"))
+    of_all = {"low": F.min("doc"), "high": F.max("doc"), "nodes": F.count("*"), "room": room, "several": F.bool_or("several")} | digest
+    lists = nodes.groupBy("gram").agg(*[v.alias(k) for k, v in of_all.items()]).filter("low < high")
+    merged = lists.groupBy("low", "high", "nodes", *digest, F.when(F.col("several"), F.col("gram")).alias("own"))
+    return merged.agg(F.min("gram").alias("gram"), F.min("room").alias("room"), F.count("*").alias("same")).select("gram", "low", "high", "nodes", "room", "same")
 
 
 def lone_pairs(groups: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the n-grams that two nodes share: pairs at once, if the filters let them pass."""
     sizes = own.select("doc", "n", *PARITY)
-    pairs = written(groups.filter("nodes = 2").groupBy(F.col("low").alias("a"), F.col("high").alias("b")).agg(F.min(F.col("pos") + F.col("rest")).alias("room")), "lone-pairs")
+    pairs = groups.filter("nodes = 2").select(F.col("low").alias("a"), F.col("high").alias("b"), "room")
     ends = written(sizes.join(small_side(written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "lone-ids"), ID_ROWS), "doc", "left_semi"), "lone-sizes")
     ends = small_side(ends)
     met = pairs.join(ends.alias("l"), F.col("a") == F.col("l.doc")).join(ends.alias("r"), F.col("b") == F.col("r.doc"))
@@ -238,35 +250,47 @@ def lone_pairs(groups: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 
 
 def shared_postings(nodes: DataFrame, own: DataFrame, groups: DataFrame) -> DataFrame:
-    """Postings (gram, pos, doc, n, score, w0, ...) of the n-grams that more than two nodes share. The score of a node
-    is how often others have its n-grams: the text that near-copies were made from has the highest."""
-    kept = nodes.select("doc", "pos", "gram").join(groups.filter("nodes > 2").select("gram", "nodes"), "gram")
-    of_doc = kept.groupBy("doc").agg(F.sum("nodes").alias("score"), F.collect_list(F.struct("gram", "pos")).alias("all"))
+    """Postings (gram, pos, prev, doc, n, score, w0, ...) of the lists of more than two nodes. The score of a node is how
+    often others have its n-grams: the text that near-copies were made from has the highest. ``prev`` is the list before
+    this one among the node's own, lists of the same size and ends side by side; null for the first, and for an id with
+    several sets."""
+    kept = nodes.select("doc", "pos", "gram", "several").join(groups.filter("nodes > 2").select("gram", "nodes", "low", "high", "same"), "gram")
+    all_lists = F.sort_array(F.collect_list(F.struct("nodes", "low", "high", "gram", "pos"))).alias("all")
+    of_doc = kept.groupBy("doc", "several").agg(F.sum(F.col("nodes") * F.col("same")).alias("score"), all_lists)
+    before = lambda k: F.when(~F.col("several") & (k > 0), F.get("all", k - 1)["gram"]).alias("prev")
+    of_doc = of_doc.withColumn("all", F.transform("all", lambda x, k: F.struct(x["gram"].alias("gram"), x["pos"].alias("pos"), before(k))))
     return of_doc.join(own.select("doc", "n", *PARITY), "doc").select("doc", "n", "score", *PARITY, F.inline("all"))
 
 
 def _met(nodes: DataFrame, pivots: int | None, percent: int) -> DataFrame:
     """(a, b) of the members of different components that meet in a list: with its ``pivots`` most central members, one
-    for each of as many salts, or (None) all with all, where a list of size over ``SPLIT`` is dealt to several tasks."""
+    for each of as many salts, or (None) all with all.
+
+    All with all: who isn't of the list's largest component meets all members, so that a large component never meets
+    itself; if they are over ``SPLIT``, they are dealt to several tasks. Two nodes meet in the first list that both are
+    in, and in others only if the lists before those differ."""
     if pivots:
-        fields = [c for c in nodes.columns if c not in ("gram", "size")]
+        fields = [c for c in nodes.columns if c not in ("gram", "prev", *LIST)]
         salt = F.pmod(F.xxhash64("doc"), F.lit(pivots))
         best = F.max_by(F.struct(*fields), F.struct("score", -F.col("doc"))).alias("p")
         others, on = nodes.groupBy("gram", salt.alias("salt")).agg(best).select("gram", "p.*"), F.lit(True)
     else:
-        parts = F.ceil(F.col("size") / F.lit(SPLIT)).cast("int")
+        parts = F.ceil(F.col("few") / F.lit(SPLIT)).cast("int")
         others = nodes.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        nodes = nodes.withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
-        on = (F.col("l.part") == F.col("r.part")) & (F.col("l.doc") < F.col("r.doc"))
+        nodes = nodes.filter("comp <> most").withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int"))
+        once = (F.col("r.comp") == F.col("r.most")) | (F.col("l.doc") < F.col("r.doc"))
+        on = (F.col("l.part") == F.col("r.part")) & once & F.coalesce(F.col("l.prev") != F.col("r.prev"), F.lit(True))
     on = reduce(and_, [F.col("l.gram") == F.col("r.gram"), on, F.col("l.comp") != F.col("r.comp"), _in_reach(percent), _alike_in_size(percent)])
     return nodes.alias("l").join(others.alias("r"), on).select(*_pair(F.col("l.doc"), F.col("r.doc")))
 
 
 def _live(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """The postings of lists that hold two components or more, each with comp and the size of its list."""
+    """The postings of lists that hold two components or more, each with comp and of its list: size, most (the component
+    with most members) and few (the members that aren't in it)."""
     named = postings.join(labels, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    live = named.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high")
-    return written(named.join(live.select("gram", "size"), "gram"), "live-postings")
+    of_comp = named.groupBy("gram", "comp").agg(F.count("*").alias("own"))
+    live = of_comp.groupBy("gram").agg(F.sum("own").alias("size"), F.max_by("comp", F.struct("own", "comp")).alias("most"), (F.sum("own") - F.max("own")).alias("few")).filter("few > 0")
+    return written(named.join(live, "gram"), "live-postings")
 
 
 def link_components(postings: DataFrame, ready: DataFrame, verify, percent: int) -> DataFrame:
@@ -275,7 +299,8 @@ def link_components(postings: DataFrame, ready: DataFrame, verify, percent: int)
     seen, links = [], []
 
     def labelled(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
+        # Written first: else the joins with earlier pairs are done below distinct, for each meeting of a pair.
+        pairs = written(pairs.distinct(), "met")
         for earlier in seen:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         seen.append(written(pairs, "pairs"))
@@ -288,7 +313,7 @@ def link_components(postings: DataFrame, ready: DataFrame, verify, percent: int)
     long = nodes.filter(F.col("size") > 2 * PIVOTS)
     if not long.isEmpty():
         labels = labelled(_met(long, PIVOTS, percent))
-        nodes = _live(nodes.drop("comp", "size"), labels)
+        nodes = _live(nodes.drop("comp", *LIST), labels)
     return labels if nodes.isEmpty() else labelled(_met(nodes, None, percent))
 
 

@@ -477,6 +477,60 @@ def test_spare_n_grams_cost_no_link(spark, percent):
     assert {r.doc_id: r.component_id for r in got} == linked(given, 1, percent)
 
 
+def passage_docs(n, seed=11):
+    """Texts of one passage, each without one of its words and with 28 words of its own: nearly linked at 80 %, width 1.
+    The last 24 are near copies of the first."""
+    rnd = random.Random(seed)
+    passage = [f"p{k}" for k in range(219)]
+    texts = []
+    for k in range(n):
+        words = [w for w in passage if w != f"p{k % 20}"] + [f"own{k}x{i}" for i in range(28)]
+        rnd.shuffle(words)
+        texts.append(" ".join(words))
+    for k in range(24):
+        texts.append(texts[0].replace(f"own0x{k}", "changed"))
+    return [(k, text) for k, text in enumerate(texts)]
+
+
+def test_pairs_do_not_meet_in_each_list_they_share(spark, monkeypatch):
+    """All with all: documents of one passage share many n-grams, and linked ones need not meet."""
+    seen = []
+    keep = jaccard._met
+
+    def met(nodes, pivots, percent):
+        pairs = keep(nodes, pivots, percent)
+        if pivots is None:
+            seen.append(([tuple(r) for r in pairs.collect()], {tuple(r) for r in nodes.select("doc", "comp").collect()}))
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_met", met)
+    given = passage_docs(40)
+    got = jaccard.jaccard_components(spark.createDataFrame(given, "doc_id long, text string").repartition(3), width=1, percent=80).collect()
+    want = linked(given, 1, 80)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert sum(c == 0 for c in want.values()) == 25 and len(set(want.values())) == 40
+    [(pairs, comps)] = seen
+    comps = dict(comps)
+    assert len(set(pairs)) > 300 and len(pairs) <= 3 * len(set(pairs))
+    assert all(comps[a] != comps[b] for a, b in pairs)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_with_several_sets_keep_the_links_of_each(spark, seed):
+    """The short text of an id shares a rare word with one that the long text of the same id is a near copy of."""
+    rnd = random.Random(seed)
+    given = []
+    for k in range(0, 40, 4):
+        base = [f"b{k}x{i}" for i in range(rnd.choice((30, 120, 300)))]
+        given.append((k, " ".join([*base, f"rare{k}"])))
+        for copy in (1, 2, 3)[: rnd.randrange(1, 4)]:
+            given.append((k + copy, " ".join([*base[: -rnd.randrange(1, 4)], *rnd.sample(["changed", "other", "third"], 1)])))
+            given.append((k + copy, " ".join([f"rare{k}", *(f"s{k}x{i}" for i in range(rnd.randrange(1, 9)))])))
+    got = jaccard.jaccard_components(spark.createDataFrame(given, "doc_id long, text string").repartition(2), width=1, percent=80).collect()
+    assert len(got) == len(given)
+    assert {r.doc_id: r.component_id for r in got} == linked(given, 1, 80)
+
+
 def test_buckets_follow_the_texts_not_the_plan(spark, docs, monkeypatch):
     """Sides of joins multiply in Spark's estimates; the number of buckets comes from the bytes that are there."""
     seen = []
