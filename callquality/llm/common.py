@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,9 +40,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The tables that ``written`` makes inside are deleted at the end, but for those that are to ``stay``."""
+    paths: list[str] = []
+    outer = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(outer)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, label: str, stay: bool = False) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, label)
+    if not stay and (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

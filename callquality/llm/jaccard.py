@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callquality.llm.common import fresh, row_blocks, shingle_hashes, small_side, text_bytes, written
+from callquality.llm.common import fresh, row_blocks, scratch, shingle_hashes, small_side, text_bytes, written
 
 #: Counters of the frequency sketch that orders n-grams: a fixed number, whatever the corpus.
 SKETCH_BITS, CHUNK = 22, 1 << 16
@@ -345,8 +345,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def near_duplicates_dropped(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents without those that a document with a smaller id in their component stands for; rows with a null
     id stay. Equal ids stay together."""
-    found = jaccard_components(docs, key, text, **how)
     own = fresh(docs, "away")
-    away = found.filter("component_id < doc_id").select(F.col("doc_id").alias(own)).distinct()
-    away = small_side(written(away, "near-duplicates"), ID_ROWS)
+    with scratch(docs.sparkSession):
+        found = jaccard_components(docs, key, text, **how)
+        away = found.filter("component_id < doc_id").select(F.col("doc_id").alias(own)).distinct()
+        away = written(away, "near-duplicates", stay=True)
+    away = small_side(away, ID_ROWS)
     return docs.join(away, docs[key].cast("long") == F.col(own), "left_anti")

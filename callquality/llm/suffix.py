@@ -296,6 +296,7 @@ def open_rows(joined: DataFrame, how: Parsing, buckets: int) -> DataFrame:
     def run(batches):
         held, entries = {"open": [], "many": []}, 0
         for batch in batches:
+            batch = batch.filter(batch.column("codes").is_valid())
             data, offsets = text_bytes(batch.column("text"))
             ids, seen = batch.column("doc").to_numpy(), {}
             codes, starts = _codes_of(batch)
@@ -321,7 +322,8 @@ def open_rows(joined: DataFrame, how: Parsing, buckets: int) -> DataFrame:
         if entries:
             yield send(held)
 
-    return joined.filter("codes IS NOT NULL").select("doc", "text", "codes").mapInArrow(run, "bucket int, payload binary")
+    # All columns, and no filter that Spark can move below the join: so the last step reads the shuffle of the texts again.
+    return joined.filter("codes IS NOT NULL OR doc IS NULL").mapInArrow(run, "bucket int, payload binary")
 
 
 def _codes_of(batch):

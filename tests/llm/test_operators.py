@@ -2,6 +2,7 @@ import hashlib
 import io
 import os
 import random
+import re
 import sys
 import zlib
 from collections import Counter
@@ -410,6 +411,22 @@ def test_passages_with_many_neighbours(spark, monkeypatch):
         assert {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans) // 2, hashlib.sha256(r.kept).hexdigest()) for r in got} == want
 
 
+def test_texts_are_shuffled_once(spark, docs):
+    """The step that sends open phrases and the last one read the same shuffle of the texts."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for keep in ((), ("lang", "source")):
+            found = suffix.repeated_bytes(docs, keep=keep)
+            found.collect()
+            plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+            assert plan.count("SortMergeJoin") == 3
+            of_texts = re.findall(r"ReusedExchange \[doc#\w+, text#[^\n]*\], Exchange hashpartitioning", plan)
+            assert len(of_texts) == 1 and plan.count("- Exchange hashpartitioning(doc#") == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_long_texts_are_cut_into_segments_alike(monkeypatch):
     rnd = np.random.default_rng(5)
     data = rnd.integers(97, 101, 6000).astype(np.uint8)

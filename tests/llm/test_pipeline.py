@@ -5,6 +5,7 @@ from collections import Counter
 from hashlib import md5
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -12,6 +13,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from helpers import SCHEMA, linked, some_docs, words_of  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
+from callquality.llm.common import scratch, shared_dir, written  # noqa: E402
 from callquality.llm.quality import quality_rules  # noqa: E402
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -135,3 +137,29 @@ def test_stages_with_columns_of_any_name(spark):
         assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names)
         assert Counter(tuple(r[c] for c in COLUMNS) for r in got.collect()) == Counter(tuple(r[c] for c in COLUMNS) for r in want.collect())
     assert corpus_pipeline.STAGES[-1][1](spark, wide, "").count() == corpus_pipeline.STAGES[-1][1](spark, docs, "").count()
+
+
+def tables_of(spark):
+    folder = shared_dir(spark).removeprefix("file:")
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def test_near_duplicates_leave_only_the_table_of_their_result(spark):
+    docs = spark.createDataFrame(some_docs(40, 7), SCHEMA)
+    before = tables_of(spark)
+    kept = corpus_pipeline.distinct_documents(spark, docs, "")
+    left = tables_of(spark) - before
+    assert [x.rsplit("-", 1)[0] for x in left] == ["near-duplicates"]
+    near = linked(some_docs(40, 7), 5, 80)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, *_ in some_docs(40, 7) if i is None or near[i] == i)
+
+
+def test_scratch_tables_go_after_a_failure_too(spark):
+    before = tables_of(spark)
+    with pytest.raises(RuntimeError), scratch(spark):
+        written(spark.range(3), "goes")
+        stays = written(spark.range(4), "stays", stay=True)
+        raise RuntimeError
+    after = written(spark.range(5), "after")
+    assert sorted(x.rsplit("-", 1)[0] for x in tables_of(spark) - before) == ["after", "stays"]
+    assert (stays.count(), after.count()) == (4, 5)
