@@ -429,7 +429,8 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                                 if mask >> s & 1:
                                     gone[base + p.first[a + k] + s] += 1
                                     gone[base + p.first[a + k] + s + how.length] -= 1
-            away = np.cumsum(gone[:-1]) > 0
+            away = np.cumsum(gone[:-1], out=gone[:-1]) > 0  # in place: a batch holds megabytes of text
+            del gone
             spans, kept = [], []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 own = away[a:b]
