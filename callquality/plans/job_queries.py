@@ -87,16 +87,19 @@ _TRUTH = "SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_partkey % 1
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as truths, and each row's place in the table: its file and its row there."""
     part = F.col("l_partkey")
     ref = F.when(part % 13 == 0, "n/a").otherwise((F.col("l_suppkey") % 3).cast("string"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), ref.alias("ref"), (part % 3).cast("string").alias("short"), (part % 2).cast("string").alias("long"), F.col("l_tax").cast("string").alias("pure"))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), ref.alias("ref"), (part % 3).cast("string").alias("short"), (part % 2).cast("string").alias("long"), F.col("l_tax").cast("string").alias("pure"), *place)
 
 
 @query(f"""WITH t AS ({_TRUTH}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line) AS k FROM t WHERE id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))
   SELECT id, try_cast(ref AS DOUBLE) AS reference, coalesce(try_cast(short AS DOUBLE) = try_cast(ref AS DOUBLE) AND try_cast(long AS DOUBLE) = try_cast(ref AS DOUBLE), false) AS is_reference, try_cast(pure AS DOUBLE) AS purity FROM r WHERE k = 1""")
 def reference_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
-    return jobs.reference_table(_truth(spark, sf_dir), ids, "id", ["line"], "ref", "short", "long", "pure")
+    # lines repeat in an order: of those, the first in the table
+    return jobs.reference_table(_truth(spark, sf_dir), ids, "id", ["line", "file", "row"], "ref", "short", "long", "pure")
 
 
 @query(f"""WITH t AS ({_TRUTH}) SELECT CASE WHEN ref = 'n/a' THEN NULL ELSE NOT (short = ref AND long = ref) END AS variant, count(*) AS n FROM t GROUP BY ALL""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from callquality.operators import ml, scoring
 from callquality.operators.joins import GuardError
+from callquality.plans import job_queries
 from callquality.sources import io, merges
 
 NODES = "regime string, head string, iter int, class int, node_id int, is_leaf boolean, value double, feature int, threshold double, missing_left boolean, `left` int, `right` int"
@@ -124,3 +125,12 @@ def test_merge_guards_and_skip(spark, tmp_path):
         merge(here.filter("source = 't' OR locus_id <> 1"), there)
     with pytest.raises(GuardError, match="different columns"):
         merge(here, there.drop("v"))
+
+
+def test_repeated_line_of_a_reference_is_the_first_in_the_table(spark, tmp_path):
+    (tmp_path / "lineitem.parquet").mkdir()
+    line = lambda n, of: spark.range(n).selectExpr("id AS l_orderkey", f"{of} AS l_partkey", f"{of} AS l_suppkey", "1 AS l_linenumber", f"{of} / 100D AS l_tax").coalesce(1).toPandas()
+    for name, n, of in (("a", 1, 2), ("b", 5000, 4)):  # Spark reads the larger file first
+        line(n, of).to_parquet(tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    spark.range(2).selectExpr("id AS o_orderkey", "'F' AS o_orderstatus").write.parquet(str(tmp_path / "orders.parquet"))
+    assert {r["id"]: r["purity"] for r in job_queries.reference_table(spark, str(tmp_path)).collect()} == {0: 0.02, 1: 0.04}
