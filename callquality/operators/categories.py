@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -95,10 +96,34 @@ def re_paired(df: DataFrame, entity: Sequence[str], value: str, truth: str, orde
     return moved.select(*[F.col(f"_new_{c}").alias(c) if c in (value, *along) else F.col(c) for c in df.columns])
 
 
+def paired_variants(df: DataFrame, entity: Sequence[str], values: dict[str, Column], truth: str, order: Sequence[str], name: str) -> DataFrame:
+    """``re_paired`` for several variants of the value, as rows with ``variant``: within an entity the k-th smallest of a
+    variant's values, in ``name``, meets the row with the k-th smallest truth. Entities without a key meet nothing.
+
+    Rows are dealt by entity once, whatever the variants; the rest are sorts within tasks, as each row and each of its
+    values take their places, and a place's values read the row there. No join."""
+    keyed = reduce(DataFrame.filter, [F.col(c).isNotNull() for c in entity], df)
+    known = keyed.withColumn("_order", F.row_number().over(W.partitionBy(*entity).orderBy(*order)))
+    none = F.lit(None).cast("double")
+    # kind 0 is the row itself with its truth, the others are its values
+    events = F.array(*[F.struct(F.lit(k).alias("_kind"), v.alias(name)) for k, v in enumerate((none, *values.values()))])
+    flat = known.withColumn("_event", F.explode(events)).select(*df.columns, "_order", "_event.*")
+    by = W.partitionBy(*entity, "_kind").orderBy(F.when(F.col("_kind") == 0, F.col(truth)).asc_nulls_last(), F.col(name).asc_nulls_last(), "_order")
+    placed = flat.withColumn("_k", F.row_number().over(by))
+    place = W.partitionBy(*entity, "_k").orderBy("_kind")
+    rows = placed.select(*[F.col(c) if c in entity else F.first(c).over(place).alias(c) for c in df.columns], "_kind", name)
+    variant = F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_kind"))
+    return rows.filter("_kind > 0").select(*df.columns, variant.alias("variant"), name)
+
+
 def corrected_categories(df: DataFrame, entity: Sequence[str], order: Sequence[str], called: str, truth: str, reference: str, factor: str, p_ok: str, threshold: float = 0.5) -> DataFrame:
     """Adds ``category``: corrected where the gate fires, re-paired with the truth, classified."""
     value = df.withColumn("_effective", corrected(called, factor, gate_fires(p_ok, factor, threshold)))
-    paired = re_paired(value, entity, "_effective", truth, order)
+    return classified(re_paired(value, entity, "_effective", truth, order), entity, truth, reference)
+
+
+def classified(paired: DataFrame, entity: Sequence[str], truth: str, reference: str) -> DataFrame:
+    """Adds ``category`` to rows whose ``_effective`` call is paired with their truth."""
     off = half_even(F.col("_effective")) - half_even(reference)
     marked = paired.withColumn("_ref", F.coalesce(off == 0, F.lit(False))).withColumn("_all_ref", all_in_group(F.col("_ref"), entity))
     e = F.col("_effective")

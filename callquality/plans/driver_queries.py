@@ -15,8 +15,12 @@ from callquality.functions import exprs as E
 from callquality.functions import motifs as M
 from callquality.functions import parse as P
 from callquality.operators import categories, compare, components, intervals, joins, metrics, ordering, sampling, scoring, splits
+from callquality.operators.shared import counted_broadcast
 from callquality.streaming import streams
 
+#: Rows of a broadcast of suppliers.
+MOST_SUPPLIERS = 1_000_000
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -45,10 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The calls with labels: size, tol, dir_code, corrected, and fixed (corrected where the gate fires)."""
+def calls(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """The calls with labels: size, tol, dir_code, corrected, and fixed (corrected where the gate fires).
+
+    ``dealt``: by entity, before keys and labels are derived, as table columns take less disk; suppliers meet the lines by
+    a broadcast if they are at most ``MOST_SUPPLIERS``."""
     l, p, s = (table(spark, sf_dir, n) for n in ("lineitem", "part", "supplier"))  # noqa: E741
+    s = counted_broadcast(s, MOST_SUPPLIERS) if dealt else s
     j = l.join(p, l["l_partkey"] == p["p_partkey"]).join(s, l["l_suppkey"] == s["s_suppkey"])
+    j = j.repartition("l_orderkey") if dealt else j
     tax, q, d = F.col("l_tax"), F.col("l_quantity"), F.col("l_discount")
     r3 = lambda c: F.round(c, 3)
     rk = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", q.cast("int"), F.round(F.col("l_extendedprice") * 100).cast("long"))

@@ -70,7 +70,7 @@ _FIXED_BY = "CASE WHEN variant <> 'raw' AND (variant <> 'longer units' OR motif_
 def categories_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, lcf = F.col("p_ok"), F.col("lcf")
     variants = {"raw": (None, None), "gated": (lcf, p), "longer units": (lcf, F.when(F.col("motif_size") > 1, p)), "short sizes": (lcf, F.when(F.col("size") < 120, p))}
-    made = jobs.all_categories(calls(spark, sf_dir).withColumn("reference", F.lit(25.0)), variants, ["locus_id"], ["rk"], "called", "truth", "reference")
+    made = jobs.all_categories(calls(spark, sf_dir, dealt=True).withColumn("reference", F.lit(25.0)), variants, ["locus_id"], ["rk"], "called", "truth", "reference")
     return made.groupBy("variant", "category").agg(n_rows())
 
 

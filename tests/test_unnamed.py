@@ -3,10 +3,12 @@
 import datetime
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callquality.operators import ml, scoring
+from callquality.operators import categories as C
+from callquality.operators import jobs, ml, scoring
 from callquality.operators.joins import GuardError
 from callquality.plans import job_queries
 from callquality.sources import io, merges
@@ -134,3 +136,18 @@ def test_repeated_line_of_a_reference_is_the_first_in_the_table(spark, tmp_path)
         line(n, of).to_parquet(tmp_path / "lineitem.parquet" / f"{name}.parquet")
     spark.range(2).selectExpr("id AS o_orderkey", "'F' AS o_orderstatus").write.parquet(str(tmp_path / "orders.parquet"))
     assert {r["id"]: r["purity"] for r in job_queries.reference_table(spark, str(tmp_path)).collect()} == {0: 0.02, 1: 0.04}
+
+
+def test_all_variants_are_categorised_in_one_shuffle(spark):
+    rnd = np.random.default_rng(7)
+    some = lambda values: [None if rnd.random() < 0.1 else float(x) for x in rnd.choice(values, 300)]
+    entities = [None if e == 0 else int(e) for e in rnd.integers(0, 60, 300)]
+    data = list(zip(entities, [str(o) for o in rnd.permutation(300)], some([5, 9, 25, 40, math.nan]), some([5, 25, 26, 60]), some([0.5, 1, 1.3]), some([0.2, 0.8]), strict=True))
+    df = spark.createDataFrame(data, "e int, o string, c double, t double, f double, p double").withColumn("r", F.lit(25.0))
+    variants = {"raw": (None, None), "gated": (F.col("f"), F.col("p")), "always": (F.col("f"), F.lit(0.0))}
+    made = jobs.all_categories(df, variants, ["e"], ["o"], "c", "t", "r")
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = sorted(str(tuple(r)) for r in made.collect())
+    single = lambda f, p: C.corrected_categories(df.withColumns({"_f": F.lit(None).cast("double") if f is None else f, "_p": F.lit(None).cast("double") if p is None else p}), ["e"], ["o"], "c", "t", "r", "_f", "_p")
+    want = [single(*v).withColumn("variant", F.lit(name)).select(made.columns).collect() for name, v in variants.items()]
+    assert got == sorted(str(tuple(r)) for part in want for r in part) and len(got) == 3 * sum(e is not None for e in entities)
